@@ -1 +1,37 @@
+"""Registered queries on the given tables, each with its SQL where SQL can say it."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The Parquet tables of one folder, read when asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """Registers a function from tables to a result under its own name."""
+    def register(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[fn.__name__] = lambda spark, folder: fn(Tables(spark, folder))
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def load_all() -> None:
+    from archivolt.plans import audit, dialogue, enrichment, exams, library, search, streams, web  # noqa: F401
