@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from archivolt import fixed
-from archivolt.functions.text import _col, first_group, has_any, strip, title_preview, words
+from archivolt.functions.text import _col, first_group, has_any, strip, title_preview
 
 
 def question_topic(c) -> Column:
@@ -32,25 +32,28 @@ def is_format_rule(c) -> Column:
     return has_any(F.lower(_col(c)), fixed.RULE_FORMAT)
 
 
-def parse_rule(c) -> Column:
-    """Struct of a rule: topic words and their answer, and an answer to anything.
+def parse_rules(rules: DataFrame, rule: str = "rule") -> DataFrame:
+    """Adds ``topics`` with ``topic_answer``, and ``any_answer``, to a table of rules.
 
-    Either answer is null when the rule has no such part.
+    ``topics`` is empty and ``any_answer`` null where a rule has no such part.
     """
-    low = F.lower(_col(c))
     plain, accented = fixed.RULE_ANSWER
-    pieces = F.when(F.contains(low, F.lit(plain)), F.split(low, plain)).otherwise(F.split(low, accented))
+    low, pieces = F.col("_low"), F.col("_pieces")
     asks = F.contains(low, F.lit(fixed.RULE_ASK)) & has_any(low, fixed.RULE_ANSWER) & (F.size(pieces) == 2)
-    topic = words(F.replace(F.get(pieces, F.lit(0)), F.lit(fixed.RULE_ASK), F.lit("")))
-    answer = strip(F.btrim(F.btrim(strip(F.get(pieces, F.lit(1))), F.lit('"')), F.lit("'")))
-    always = low.startswith(fixed.RULE_ALWAYS[0]) | low.startswith(fixed.RULE_ALWAYS[1])
     rest = low
     for phrase in fixed.RULE_ALWAYS:
         rest = F.replace(rest, F.lit(phrase), F.lit(""))
-    return F.struct(
-        F.when(asks, topic).otherwise(F.array().cast("array<string>")).alias("topics"),
-        F.when(asks, answer).alias("topic_answer"),
-        F.when(always, strip(rest)).alias("any_answer"),
+    always = low.startswith(fixed.RULE_ALWAYS[0]) | low.startswith(fixed.RULE_ALWAYS[1])
+    answer = strip(F.btrim(F.btrim(strip(F.get(pieces, F.lit(1))), F.lit('"')), F.lit("'")))
+    # Step by step, so that no expression is written out more than once.
+    return (
+        rules.withColumn("_low", F.lower(rule))
+        .withColumn("_pieces", F.when(F.contains(low, F.lit(plain)), F.split(low, plain)).otherwise(F.split(low, accented)))
+        .withColumn("_topic", F.when(asks, strip(F.replace(F.get(pieces, F.lit(0)), F.lit(fixed.RULE_ASK), F.lit("")))))
+        .withColumn("topics", F.filter(F.split(F.coalesce("_topic", F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+        .withColumn("topic_answer", F.when(asks, answer))
+        .withColumn("any_answer", F.when(always, strip(rest)))
+        .drop("_low", "_pieces", "_topic")
     )
 
 
@@ -86,5 +89,5 @@ def chat_title(name, first_message, default: str = "Nuevo chat") -> Column:
 
 __all__ = [
     "chat_title", "diary_category", "is_content_rule", "is_format_rule", "memory_note",
-    "parse_rule", "question_topic", "route_label",
+    "parse_rules", "question_topic", "route_label",
 ]

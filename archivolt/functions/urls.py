@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -29,43 +29,31 @@ def parts(c) -> Column:
     )
 
 
-def _query_pairs(query: Column) -> Column:
-    return F.array_sort(F.filter(F.split(query, "&"), lambda p: p != ""))
-
-
 def canonical(c) -> Column:
     """One spelling per page: lower scheme and host, no default port, no
-    fragment, sorted query.  Null without a host or with a bad port.
-
-    Queries of plain characters stay in the JVM; only rows whose query needs
-    percent-decoding go through :func:`canonical_query`.
+    fragment, decoded and sorted query.  Null without a host or with a bad port.
     """
     p = parts(c)
-    return _assemble(p, _plain_query(p["query"]))
+    return _assemble(p, _canonical_query(p["query"]))
 
 
-def _plain_query(query: Column) -> Column:
-    pairs = F.transform(_query_pairs(query), lambda kv: F.struct(
-        F.substring_index(kv, "=", 1).alias("k"),
-        F.when(F.contains(kv, F.lit("=")), F.regexp_extract(kv, r"(?s)^[^=]*=(.*)$", 1)).otherwise(F.lit("")).alias("v")))
-    return F.array_join(F.transform(F.array_sort(pairs), lambda kv: F.concat(kv["k"], F.lit("="), kv["v"])), "&")
+def _decoded(piece: Column) -> Column:
+    """Percent-decoded text; a broken escape leaves it as it is."""
+    return F.coalesce(F.try_url_decode(piece), piece)
 
 
-@F.pandas_udf(T.StringType())
-def canonical_query(query: pd.Series) -> pd.Series:
-    """Decode, sort and re-encode a query string; blanks values are kept."""
-    return query.map(lambda q: None if q is None else urlencode(sorted(parse_qsl(q, keep_blank_values=True))))
+def _encoded(piece: Column) -> Column:
+    # Java spares '*' and escapes '~'; URLs want it the other way round.
+    return F.replace(F.replace(F.url_encode(piece), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def needs_decoding(c) -> Column:
-    """True when a query holds anything but plain unreserved characters."""
-    return ~parts(c)["query"].rlike(r"^[A-Za-z0-9_.~&=-]*$")
-
-
-def canonical_exact(c) -> Column:
-    """:func:`canonical` with full percent-decoding of the query (Arrow)."""
-    p = parts(c)
-    return _assemble(p, canonical_query(p["query"]))
+def _canonical_query(query: Column) -> Column:
+    """Pairs of a query decoded, sorted and encoded again; blank values are kept."""
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda kv: F.named_struct(
+        F.lit("k"), _decoded(F.substring_index(kv, "=", 1)),
+        F.lit("v"), _decoded(F.regexp_extract(kv, r"(?s)^[^=]*=(.*)$", 1))))
+    return F.array_join(F.transform(F.array_sort(pairs), lambda kv: F.concat(
+        _encoded(kv["k"]), F.lit("="), _encoded(kv["v"]))), "&")
 
 
 def _assemble(p: Column, query: Column) -> Column:

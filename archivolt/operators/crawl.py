@@ -22,8 +22,8 @@ from archivolt.session import checkpoint
 def page_links(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """Links between pages of one site: src, dst in canonical form, junk left out."""
     read = pages.select(F.col(url).alias("_url"), html.page_content(source).alias("c"))
-    out = read.select(urls.canonical("_url").alias("src"), F.explode(urls.join_links("_url", "c.hrefs")).alias("_to"))
-    out = out.select("src", urls.canonical("_to").alias("dst"), urls.rejection("_to").alias("_why"))
+    out = read.select("_url", F.explode(urls.join_links("_url", "c.hrefs")).alias("_to"))
+    out = out.select(urls.canonical("_url").alias("src"), urls.canonical("_to").alias("dst"), urls.rejection("_to").alias("_why"))
     return out.filter(
         F.col("_why").isNull() & F.col("dst").isNotNull() & F.col("src").isNotNull()
         & urls.same_origin("src", "dst") & ~urls.is_skipped("dst")).select("src", "dst").distinct()

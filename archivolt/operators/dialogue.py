@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from archivolt import fixed
-from archivolt.functions.dialogue import parse_rule, question_topic
+from archivolt.functions.dialogue import parse_rules, question_topic
 from archivolt.operators.ordered import following, joined_text, newest, positions
 
 # Rule tables up to this size travel with the plan as one value.
@@ -71,38 +71,37 @@ def forced_answers(questions: DataFrame, rules: DataFrame, text: str = "text") -
     ``rules`` holds rule_pos and rule.  A short list becomes one array value
     that every task scans; a long one is matched through :func:`holds_word`.
     """
-    parsed = rules.select(F.col("rule_pos").cast("long").alias("rule_pos"), parse_rule("rule").alias("r")).select("rule_pos", "r.*")
-    active = parsed.filter((F.size("topics") > 0) | F.col("any_answer").isNotNull())
-    few = active.limit(MAX_INLINE_RULES + 1).count() <= MAX_INLINE_RULES
-    return _inline_rules(questions, active, text) if few else _matched_rules(questions, active, text)
+    parsed = parse_rules(rules.select(F.col("rule_pos").cast("long").alias("rule_pos"), "rule"))
+    few = rules.limit(MAX_INLINE_RULES + 1).count() <= MAX_INLINE_RULES
+    return _inline_rules(questions, parsed, text) if few else _matched_rules(questions, parsed, text)
 
 
-def _inline_rules(questions: DataFrame, active: DataFrame, text: str) -> DataFrame:
-    listed = active.agg(F.array_sort(F.collect_list(
+def _inline_rules(questions: DataFrame, parsed: DataFrame, text: str) -> DataFrame:
+    listed = parsed.agg(F.array_sort(F.collect_list(
         F.struct("rule_pos", "topics", "topic_answer", "any_answer"))).alias("rules")).scalar()
     low = F.lower(F.col(text))
 
     def topic_hit(rule: Column) -> Column:
         return F.exists(rule["topics"], lambda w: F.contains(low, w))
 
-    out = questions.withColumn("_first", F.get(F.filter(
-        listed, lambda rule: topic_hit(rule) | rule["any_answer"].isNotNull()), F.lit(0)))
+    out = questions.withColumn("_rules", listed).withColumn("_first", F.get(F.filter(
+        "_rules", lambda rule: topic_hit(rule) | rule["any_answer"].isNotNull()), F.lit(0)))
     first = F.col("_first")
     # Which half of the rule spoke: its topic, else its answer to anything.
     return out.withColumn("rule_pos", first["rule_pos"]).withColumn(
-        "forced", F.when(topic_hit(first), first["topic_answer"]).otherwise(first["any_answer"])).drop("_first")
+        "forced", F.when(topic_hit(first), first["topic_answer"]).otherwise(first["any_answer"])).drop("_rules", "_first")
 
 
-def _matched_rules(questions: DataFrame, active: DataFrame, text: str) -> DataFrame:
+def _matched_rules(questions: DataFrame, parsed: DataFrame, text: str) -> DataFrame:
     numbered = questions.withColumn("_row", F.monotonically_increasing_id())
     from archivolt.session import checkpoint
 
     numbered = checkpoint(numbered)  # the numbers must not change between the two reads
-    needles = active.select("rule_pos", "topic_answer", F.explode("topics").alias("word"))
+    needles = parsed.select("rule_pos", "topic_answer", F.explode("topics").alias("word"))
     hits = holds_word(numbered.select("_row", F.lower(text).alias("_low")), needles, "_low", "word")
     by_topic = hits.groupBy("_row").agg(F.min(F.struct("rule_pos", F.col("topic_answer").alias("answer"))).alias("_topic"))
-    always = active.filter(F.col("any_answer").isNotNull()).agg(
-        F.min(F.struct("rule_pos", F.col("any_answer").alias("answer")))).scalar()
+    always = parsed.agg(F.min(F.when(
+        F.col("any_answer").isNotNull(), F.struct("rule_pos", F.col("any_answer").alias("answer"))))).scalar()
     best = numbered.join(by_topic, "_row", "left").withColumn("_any", always)
     topic_wins = F.col("_topic").isNotNull() & (
         F.col("_any").isNull() | (F.col("_topic.rule_pos") <= F.col("_any.rule_pos")))

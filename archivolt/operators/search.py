@@ -247,27 +247,3 @@ def model_vectors(df: DataFrame, make_model, text: str = "text", out: str = "emb
             yield frame[schema.names]
 
     return df.mapInPandas(run, schema)
-
-
-def near_index(corpus: DataFrame, bucket_length: float = 0.5, tables: int = 4, seed: int = 7):
-    """Opt-in approximate search: a fitted LSH model on unit vectors and its table."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = corpus.withColumn("_vector", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = BucketedRandomProjectionLSH(
-        inputCol="_vector", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(vectors)
-    return model, model.transform(vectors)
-
-
-def near_search(model, table: DataFrame, questions: DataFrame, k: int, max_distance: float, key: str = "chunk_id") -> DataFrame:
-    """Approximate hits within a cosine distance; may miss some, never invents one."""
-    from pyspark.ml.functions import array_to_vector
-
-    asked = questions.select("query_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("_vector"))
-    # On unit vectors |a-b|^2 = 2 (1 - cos).
-    pairs = model.approxSimilarityJoin(asked, table, float(np.sqrt(2 * max_distance)) + 1e-12, "_d")
-    hits = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col(f"datasetB.{key}").alias(key),
-                        F.round(F.col("_d") * F.col("_d") / 2, 6).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", key)
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
