@@ -24,7 +24,7 @@ def parts(c) -> Column:
     get = lambda i: F.regexp_extract(url, _URL, i)
     return F.struct(
         F.lower(get(1)).alias("scheme"), get(2).alias("userinfo"),
-        F.lower(F.regexp_replace(get(3), r"[\[\]]", "")).alias("host"),
+        F.lower(F.translate(get(3), "[]", "")).alias("host"),
         get(4).alias("port"), get(5).alias("path"), get(6).alias("query"),
     )
 

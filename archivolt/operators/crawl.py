@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from archivolt import fixed
 from archivolt.functions import html, urls
 from archivolt.functions.text import useful_content
+from archivolt.operators.ordered import first_seen, settled
 from archivolt.session import checkpoint
 
 
@@ -23,10 +24,9 @@ def page_links(pages: DataFrame, url: str = "url", source: str = "html") -> Data
     """Links between pages of one site: src, dst in canonical form, junk left out."""
     read = pages.select(F.col(url).alias("_url"), html.page_content(source).alias("c"))
     out = read.select("_url", F.explode(urls.join_links("_url", "c.hrefs")).alias("_to"))
-    out = out.select(urls.canonical("_url").alias("src"), urls.canonical("_to").alias("dst"), urls.rejection("_to").alias("_why"))
-    return out.filter(
-        F.col("_why").isNull() & F.col("dst").isNotNull() & F.col("src").isNotNull()
-        & urls.same_origin("src", "dst") & ~urls.is_skipped("dst")).select("src", "dst").distinct()
+    out = settled(out, src=urls.canonical("_url"), dst=urls.canonical("_to"), _why=urls.rejection("_to"))
+    out = settled(out, _ok=urls.same_origin("src", "dst") & ~urls.is_skipped("dst"))
+    return out.filter(F.col("_why").isNull() & F.col("_ok")).select("src", "dst").distinct()
 
 
 def admit(urls_df: DataFrame, addresses: DataFrame, url: str = "url") -> DataFrame:
@@ -37,8 +37,8 @@ def admit(urls_df: DataFrame, addresses: DataFrame, url: str = "url") -> DataFra
     """
     judged = addresses.groupBy("host").agg(
         F.min(F.coalesce(urls.address_is_public("ip"), F.lit(False))).alias("_public"))
-    out = urls_df.withColumn("canonical", urls.canonical(url)).withColumn("_why", urls.rejection(url))
-    out = out.withColumn("host", F.rtrim(urls.parts(url)["host"], F.lit("."))).join(judged, "host", "left")
+    out = settled(urls_df, canonical=urls.canonical(url), _why=urls.rejection(url), host=F.rtrim(urls.parts(url)["host"], F.lit(".")))
+    out = out.join(judged, "host", "left")
     reason = F.coalesce("_why", F.when(F.col("canonical").isNull(), "port").when(F.col("_public").isNull(), "unresolved").when(
         ~F.col("_public"), "address"))
     return out.withColumn("reason", reason).withColumn(
@@ -243,8 +243,6 @@ def widen_results(primary: DataFrame, alternative: DataFrame, enough: int = 3) -
 
     Both hold query_id, pos, url; each address counts once, first results first.
     """
-    from archivolt.operators.ordered import first_seen
-
     valid = primary.filter(urls.is_web_url("url"))
     counted = valid.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= enough)
     more = alternative.filter(urls.is_web_url("url")).join(counted, "query_id", "left_anti")

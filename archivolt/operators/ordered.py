@@ -76,6 +76,17 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once, however often later steps use them.
+
+    Spark moves filters below a projection by writing its expressions out
+    again.  It does not do so below a generator, so the values pass through a
+    one-element one.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def joined_text(df: DataFrame, keys: list[str], order: list[str], text: str, separator: str,
                 out: str = "text") -> DataFrame:
     """Texts of a group joined in order; only for groups of a bounded size."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from archivolt.functions import paths, text as tx
 from archivolt.operators import index as ix
@@ -20,6 +21,14 @@ def strip_sql(c: str) -> str:
     return f"trim({c}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's shared one; below /tmp where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/archivolt-{uuid.uuid4().hex}"
+
+
 # --- paths ---------------------------------------------------------------------
 
 PATH_SQL = r"source || '\' || lang || '\doc_' || doc_id || CASE lang WHEN 'en' THEN '.MD' WHEN 'es' THEN '.txt' WHEN 'fr' THEN '.log' ELSE '.pdf' END"
@@ -414,12 +423,7 @@ def document_deletion(t: Tables) -> DataFrame:
 @query(f"WITH {ITEMS_SQL} SELECT rel_path, status FROM items")
 def stored_index_sync(t: Tables) -> DataFrame:
     """A real index folder: version 1 is indexed, then version 2 is synchronised."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    folder = tempfile.mkdtemp(prefix="spark-index-", dir=base if base.startswith("/") else "/tmp") if "://" not in base else None
-    if folder is None:
-        import uuid
-
-        folder = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+    folder = scratch_folder(t.spark)
     index = ChunkIndex(t.spark, folder)
     index.sync_table(_v1(t), "2024-01-01T00:00:00+00:00")
     return index.sync_table(_v2(t), "2024-02-01T00:00:00+00:00").select("rel_path", "status")

@@ -119,12 +119,15 @@ def write_operational_log(records: DataFrame, path: str, column: str = "record")
 
 def read_operational_log(spark: SparkSession, path: str) -> DataFrame:
     """Fixed fields of each JSON line, the rest as a map; broken lines are dropped."""
-    raw = spark.read.text(path)
-    parsed = raw.select("value", F.from_json("value", "map<string,string>").alias("m")).filter(
-        F.col("m").isNotNull() & (F.size("m") > 0))
-    fixed_keys = F.array(*[F.lit(k) for k in ("timestamp", "event_id", "component", "event")])
+    return parse_operational(spark.read.text(path))
+
+
+def parse_operational(lines: DataFrame, column: str = "value") -> DataFrame:
+    parsed = lines.select(F.from_json(column, "map<string,string>").alias("m")).filter(F.size("m") > 0)
+    names = ("timestamp", "event_id", "component", "event")
+    fixed_keys = F.array(*[F.lit(k) for k in names])
     return parsed.select(
-        *[F.col("m")[k].alias(k) for k in ("timestamp", "event_id", "component", "event")],
+        *[F.col("m")[k].alias(k) for k in names],
         F.map_filter("m", lambda k, v: ~F.array_contains(fixed_keys, k)).alias("payload"))
 
 
