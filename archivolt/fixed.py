@@ -27,6 +27,7 @@ ANALYSIS_MIN_ANSWER = 50
 
 # --- chapter words, tried in this order ------------------------------------
 CHAPTER_WORDS = ["cap[íi]tulo", "t[íi]tulo", "secci[óo]n"]
+CHAPTER_STEMS = ["tulo", "secci"]   # every chapter word holds one of these in lower case
 ROMAN_VALUES = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
 # --- phrases that mark a prompt-injection attempt --------------------------

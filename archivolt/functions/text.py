@@ -128,10 +128,14 @@ def chunk_text(c, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERL
     """
     if size <= overlap:
         return F.array().cast(_CHUNK)
-    paragraphs = F.transform(
-        F.split(_col(c), r"\n\n"),
-        lambda p: F.struct(p.alias("text"), F.length(p).alias("n"), chapter_label(p).alias("chapter")),
-    )
+    def cut(label):
+        return F.transform(F.split(_col(c), r"\n\n"), lambda p: F.struct(
+            p.alias("text"), F.length(p).alias("n"), label(p).alias("chapter")))
+
+    # Most texts name no chapter at all, which one look at the whole text tells.
+    low = F.lower(_col(c))
+    may_name = has_any(low, fixed.CHAPTER_STEMS)
+    paragraphs = F.when(may_name, cut(chapter_label)).otherwise(cut(lambda p: F.lit(None).cast("string")))
     start = F.struct(
         F.array().cast(_CHUNK).alias("done"),
         F.lit("").alias("open"),
@@ -140,7 +144,7 @@ def chunk_text(c, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERL
 
     def step(acc, p):
         chapter = F.coalesce(p["chapter"], acc["chapter"])
-        full = (F.length(acc["open"]) + p["n"] > size) & (acc["open"] != "")
+        full = (acc["open"] != "") & (F.length(acc["open"]) + p["n"] > size)
         closed = F.array(F.struct(strip(acc["open"]).alias("text"), chapter.alias("chapter")))
         return F.struct(
             F.when(full, F.concat(acc["done"], closed)).otherwise(acc["done"]).alias("done"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from archivolt import fixed
 from archivolt.functions.dialogue import parse_rules, question_topic
-from archivolt.operators.ordered import following, joined_text, newest, positions
+from archivolt.operators.ordered import following, joined_text, newest, positions, settled
 
 # Rule tables up to this size travel with the plan as one value.
 MAX_INLINE_RULES = 2000
@@ -79,17 +79,17 @@ def forced_answers(questions: DataFrame, rules: DataFrame, text: str = "text") -
 def _inline_rules(questions: DataFrame, parsed: DataFrame, text: str) -> DataFrame:
     listed = parsed.agg(F.array_sort(F.collect_list(
         F.struct("rule_pos", "topics", "topic_answer", "any_answer"))).alias("rules")).scalar()
-    low = F.lower(F.col(text))
 
     def topic_hit(rule: Column) -> Column:
-        return F.exists(rule["topics"], lambda w: F.contains(low, w))
+        return F.exists(rule["topics"], lambda w: F.contains(F.col("_low"), w))
 
-    out = questions.withColumn("_rules", listed).withColumn("_first", F.get(F.filter(
+    out = settled(questions.withColumn("_rules", listed), _low=F.lower(F.col(text)))
+    out = out.withColumn("_first", F.get(F.filter(
         "_rules", lambda rule: topic_hit(rule) | rule["any_answer"].isNotNull()), F.lit(0)))
     first = F.col("_first")
     # Which half of the rule spoke: its topic, else its answer to anything.
     return out.withColumn("rule_pos", first["rule_pos"]).withColumn(
-        "forced", F.when(topic_hit(first), first["topic_answer"]).otherwise(first["any_answer"])).drop("_rules", "_first")
+        "forced", F.when(topic_hit(first), first["topic_answer"]).otherwise(first["any_answer"])).drop("_rules", "_low", "_first")
 
 
 def _matched_rules(questions: DataFrame, parsed: DataFrame, text: str) -> DataFrame:
@@ -127,7 +127,8 @@ def holds_word(texts: DataFrame, needles: DataFrame, text: str, needle: str) ->
     for size in (1, 2, 3):
         rows = keyed.filter(F.length("_piece") == size)
         cut = texts.withColumn("_piece", F.explode(pieces(size)))
-        met = cut.join(rows, "_piece").filter(F.contains(F.col(text), F.col(needle))).drop("_piece")
+        same = cut["_piece"] == rows["_piece"]
+        met = cut.join(rows, same & F.contains(cut[text], rows[needle])).drop("_piece")
         out = met if out is None else out.unionByName(met)
     return out
 

@@ -105,5 +105,6 @@ def run_counts(done: DataFrame) -> DataFrame:
 def insert_new(stored: DataFrame, found: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """Rows of ``found`` whose key is new, each key once, first row first."""
     keyed = found.withColumn("_key", key).filter("_key <> ''")
-    fresh = keyed.join(stored.select(key.alias("_key")).distinct(), "_key", "left_anti")
-    return first_seen(fresh, ["_key"], order).drop("_key")
+    # Repeats go first, so that a key of many rows reaches the join as one.
+    once = first_seen(keyed, ["_key"], order)
+    return once.join(stored.select(key.alias("_key")), "_key", "left_anti").drop("_key")

@@ -9,7 +9,7 @@ from archivolt.functions.text import chunk_text, is_indexable
 
 MANIFEST_SCHEMA = (
     "rel_path string, content_sha256 string, size_bytes long, modified_us long, indexed_at string, "
-    "chunk_count long, last_operation string, last_error string"
+    "chunk_count long, last_operation string, last_error string, segment string"
 )
 
 
@@ -37,21 +37,22 @@ def stat_changes(library: DataFrame, manifest: DataFrame, rebuild: bool = False)
         .otherwise("check")))
 
 
+def change_of_checked(rebuild: bool = False) -> Column:
+    """Change of a row whose content was looked at: look, content_sha256, _sha, _last."""
+    equal = (F.col("content_sha256") == F.col("_sha")) & (F.col("_last") != "failed")
+    return F.when(F.col("look") == "new", "new").when(~F.lit(rebuild) & equal, "touched").otherwise("modified")
+
+
 def settle_changes(looks: DataFrame, hashes: DataFrame, rebuild: bool = False) -> DataFrame:
     """Final change of every path, with the hashes of the paths to be checked.
 
     ``change``: new, modified, touched (only the time moved), unchanged, deleted.
     """
     checked = looks.join(hashes.select("rel_path", "content_sha256"), "rel_path", "left")
-    equal = (F.col("content_sha256") == F.col("_sha")) & (F.col("_last") != "failed")
-    change = (
+    return checked.withColumn("change", (
         F.when(F.col("look") == "deleted", "deleted")
-        .when(F.col("look") == "new", "new")
         .when(F.col("look") == "same", "unchanged")
-        .when(~F.lit(rebuild) & equal, "touched")
-        .otherwise("modified")
-    )
-    return checked.withColumn("change", change)
+        .otherwise(change_of_checked(rebuild))))
 
 
 def detect_changes(library: DataFrame, manifest: DataFrame, rebuild: bool = False) -> DataFrame:
@@ -151,8 +152,9 @@ def sync_summary(items: DataFrame, mode: str = "sync") -> DataFrame:
     ).withColumn("mode", F.lit(mode))
 
 
-def next_manifest(manifest: DataFrame, changes: DataFrame, items: DataFrame, indexed_at: str) -> DataFrame:
-    """The manifest after a run.
+def next_manifest(manifest: DataFrame, changes: DataFrame, items: DataFrame, indexed_at: str,
+                  segment: str | None = None) -> DataFrame:
+    """The manifest after a run, whose chunks are in ``segment``.
 
     Indexed documents get fresh rows, touched ones the new size and time;
     a failure keeps the last good state of a known document and adds no row
@@ -165,6 +167,7 @@ def next_manifest(manifest: DataFrame, changes: DataFrame, items: DataFrame, ind
     good, bad, moved = F.col("status") == "indexed", F.col("status") == "failed", F.col("change") == "touched"
     pick = lambda when, new, old: F.when(F.coalesce(when, F.lit(False)), new).otherwise(old)
     known = F.col("last_operation").isNotNull()
+    old_segment = F.col("segment") if "segment" in manifest.columns else F.lit(None).cast("string")
     return state.filter((F.coalesce("change", F.lit("unchanged")) != "deleted") & (known | good)).select(
         "rel_path",
         pick(good, F.col("_h"), F.col("content_sha256")).alias("content_sha256"),
@@ -173,6 +176,7 @@ def next_manifest(manifest: DataFrame, changes: DataFrame, items: DataFrame, ind
         pick(good, F.lit(indexed_at), F.col("indexed_at")).alias("indexed_at"),
         pick(good, F.col("_n"), F.col("chunk_count")).alias("chunk_count"),
         pick(good, F.lit("indexed"), pick(bad, F.lit("failed"), F.col("last_operation"))).alias("last_operation"),
-        pick(good, F.lit(None).cast("string"), pick(bad, F.col("error"), F.col("last_error"))).alias("last_error"))
+        pick(good, F.lit(None).cast("string"), pick(bad, F.col("error"), F.col("last_error"))).alias("last_error"),
+        pick(good, F.lit(segment).cast("string"), old_segment).alias("segment"))
 
 

@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from archivolt import fixed
 from archivolt.functions.text import strip
 from archivolt.operators.ordered import first_seen, joined_text
+from archivolt.session import checkpoint
 
 # One block of questions: at most this many rows and bytes are sent to tasks.
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 64 << 20
+# Up to this many hits (of about 100 bytes each) are broadcast.
+BROADCAST_HITS = 500_000
 FILTERS = ("category", "chapter", "name_has")
 
 
@@ -107,8 +110,11 @@ def top_k(corpus: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id"
     if hits is None:
         hits = corpus.select(F.lit("").alias("query_id"), F.lit(0).alias("sub"), key, F.lit(0.0).alias("distance")).limit(0)
     order = Window.partitionBy("query_id", "sub").orderBy("distance", key)
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+    best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "sub", "rank", key, "distance")
+    # A few rows per question, used more than once from here on: written down,
+    # so that the chunks are scanned once.
+    return checkpoint(best)
 
 
 def _blocks(questions: DataFrame) -> Iterator[pd.DataFrame]:
@@ -134,8 +140,13 @@ def _blocks(questions: DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def with_payload(hits: DataFrame, corpus: DataFrame, columns: list[str], key: str = "chunk_id") -> DataFrame:
-    """Hits with columns of their chunks, fetched only for the chunks that won."""
-    return hits.join(corpus.select(key, *columns), key)
+    """Hits with columns of their chunks.
+
+    Hits are counted; as long as they are few they go to the chunks, which
+    then stay where they are.  More of them meet the chunks in a shuffle.
+    """
+    few = hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+    return corpus.select(key, *columns).join(F.broadcast(hits) if few else hits, key)
 
 
 # --- the kinds of search -------------------------------------------------------
@@ -165,7 +176,9 @@ def hybrid_search(corpus: DataFrame, questions: DataFrame, k: int = fixed.HYBRID
     """Plain search, unless its hits hold too little text and there are keywords."""
     asked = questions.withColumn("query_id", F.col("query_id").cast("string"))
     plain = top_k(corpus, asked.select("query_id", "embedding"), k, key)
-    sized = with_payload(plain, corpus.select(key, F.length("text").alias("_n")), ["_n"], key)
+    # A stored length spares the scan of all texts.
+    length = F.col("n_chars") if "n_chars" in corpus.columns else F.length("text")
+    sized = with_payload(plain, corpus.select(key, length.alias("_n")), ["_n"], key)
     total = sized.groupBy("query_id").agg(F.sum("_n").alias("_total"))
     verdict = asked.join(total, "query_id", "left").withColumn(
         "_keep", (F.coalesce("_total", F.lit(0)) >= threshold) | F.coalesce(F.size("keywords") == 0, F.lit(True)))

@@ -23,7 +23,7 @@ def _phrased() -> Column:
 @query(f"""WITH p AS (SELECT doc_id, list_filter({LIST_SQL}, lambda p: contains(lower({PHRASED_SQL}), p)) AS found FROM documents)
 SELECT doc_id, len(found) = 0 AS safe, array_to_string(found, ',') AS phrases FROM p""")
 def injection_scan(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", security.is_safe(_phrased()).alias("safe"), F.array_join(security.injection_phrases(_phrased()), ",").alias("phrases"))
 
 

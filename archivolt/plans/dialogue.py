@@ -136,16 +136,13 @@ def diary_categories(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT conv_id, string_split('# Diario' || string_agg(chr(10) || '## ' || turn || chr(10) || text || chr(10) || '---', '' ORDER BY turn), '---') AS p
-  FROM conversations GROUP BY conv_id),
-k AS (SELECT conv_id, CASE WHEN len(p) > 5 THEN p[len(p) - 4:] WHEN len(p) > 1 THEN p[2:] ELSE p END AS kept FROM d)
-SELECT conv_id, (generate_subscripts(kept, 1) - 1)::INT AS pos, unnest(kept) AS entry FROM k""")
+WITH d AS (SELECT doc_id, string_split('# Diario' || chr(10) || replace(text, chr(10), chr(10) || '---' || chr(10)), '---') AS p FROM documents),
+k AS (SELECT doc_id, CASE WHEN len(p) > 5 THEN p[len(p) - 4:] WHEN len(p) > 1 THEN p[2:] ELSE p END AS kept FROM d)
+SELECT doc_id, (generate_subscripts(kept, 1) - 1)::INT AS pos, unnest(kept) AS entry FROM k""")
 def diary_entries(t: Tables) -> DataFrame:
-    """A day's diary is the text of a conversation, one entry per turn."""
-    entry = F.concat(F.lit("\n## "), F.col("turn").cast("string"), F.lit("\n"), "text", F.lit("\n---"))
-    days = ordered.joined_text(t.conversations.withColumn("_e", entry), ["conv_id"], ["turn"], "_e", "")
-    days = days.withColumn("text", F.concat(F.lit("# Diario"), "text"))
-    return records.diary_entries(days, 5, "conv_id")
+    """A document is a day's diary, its lines are the entries."""
+    day = F.concat(F.lit("# Diario\n"), F.replace("text", F.lit("\n"), F.lit("\n---\n")))
+    return records.diary_entries(t.documents.select("doc_id", day.alias("text")), 5, "doc_id")
 
 
 # --- rules: every benchmark passage gives one ------------------------------------------

@@ -34,7 +34,7 @@ parts AS (SELECT doc_id, part, substr(text, off + 1, coalesce(lead(off) OVER (PA
 
 
 def _spaced(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "source", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return t.spread("documents").select("doc_id", "source", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
 
 
 @query(f"""WITH RECURSIVE {PARTS_SQL} SELECT doc_id, part::INT AS part, parts::INT AS parts, length(t)::INT AS n_chars, md5(t) AS text_md5 FROM parts""")
@@ -126,7 +126,7 @@ s AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'cached' WHEN length(t) < 50 THE
 
 
 def _study(t: Tables) -> tuple[DataFrame, DataFrame]:
-    docs = t.documents.select(F.col("doc_id").alias("key"), F.struct("n_chars", "lang").alias("fingerprint"), "text")
+    docs = t.spread("documents").select(F.col("doc_id").alias("key"), F.struct("n_chars", "lang").alias("fingerprint"), "text")
     cache = t.labels.join(t.documents.select("doc_id", "n_chars", "lang"), "doc_id").select(
         F.col("doc_id").alias("key"), F.struct((F.col("n_chars") + F.when(F.col("quality") == 1, 0).otherwise(1)).alias("n_chars"), "lang").alias("fingerprint"),
         F.lit("from the cache").alias("result"))

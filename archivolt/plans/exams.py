@@ -97,7 +97,7 @@ def _grades(t: Tables) -> DataFrame:
             raise ValueError("bad prompt")
         return f"Puntaje: {n % 14}" + (f"\nFEEDBACK: Bien\nhecho {n}\n" if n % 2 == 0 else "")
 
-    answers = t.documents.select(
+    answers = t.spread("documents").select(
         "doc_id", F.col("source").alias("exam"), F.lit(10).alias("points"), "text",
         F.concat(F.lit("¿Qué es "), F.repeat(F.lit("x"), F.lit(130)), F.col("lang"), F.lit("?")).alias("statement"),
         F.repeat(F.lit("y"), F.lit(250)).alias("answer"))

@@ -225,14 +225,14 @@ chunks AS (
 SELECT doc_id || ':chunk:' || chunk_ix AS chunk_id, doc_id, chunk_ix::BIGINT AS chunk_ix, chapter, length(text)::BIGINT AS n_chars, md5(text) AS text_md5
 FROM chunks""")
 def chunk_paragraphs(t: Tables) -> DataFrame:
-    return _chunk_digest(ix.make_chunks(t.documents.select("doc_id", _paragraphs().alias("text"))))
+    return _chunk_digest(ix.make_chunks(t.spread("documents").select("doc_id", _paragraphs().alias("text"))))
 
 
 @query(f"""WITH RECURSIVE {chunks_sql('SELECT doc_id, text FROM documents')}
 SELECT doc_id || ':chunk:' || chunk_ix AS chunk_id, doc_id, chunk_ix::BIGINT AS chunk_ix, chapter, length(text)::BIGINT AS n_chars, md5(text) AS text_md5
 FROM chunks""")
 def chunk_raw_texts(t: Tables) -> DataFrame:
-    return _chunk_digest(ix.make_chunks(t.documents.select("doc_id", "text")))
+    return _chunk_digest(ix.make_chunks(t.spread("documents").select("doc_id", "text")))
 
 
 def _chunk_digest(chunks: DataFrame) -> DataFrame:
@@ -248,8 +248,8 @@ def chunk_statistics(t: Tables) -> DataFrame:
     """Clean, gate, chunk and count: the way of a document into the index."""
     cleaned = tx.clean_text(F.replace(tx.strip("text"), F.lit("\n"), F.lit("\n\n")))
     # Counted per document first, so that no chunk text is shuffled.
-    chunked = t.documents.select("doc_id", "source", cleaned.alias("text")).filter(tx.is_indexable("text")).select(
-        "source", tx.chunk_text("text").alias("c"))
+    texts = ordered.settled(t.spread("documents").select("doc_id", "source", "text"), cleaned=cleaned)
+    chunked = ordered.settled(texts.filter(tx.is_indexable("cleaned")), c=tx.chunk_text("cleaned"))
     sized = chunked.select("source", F.size("c").alias("n"), F.aggregate(
         F.transform("c", lambda k: F.length(k["text"]).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b).alias("chars"))
     return sized.filter("n > 0").groupBy("source").agg(
@@ -296,13 +296,13 @@ changes AS (SELECT coalesce(v1.rel_path, v2.rel_path) AS rel_path, CASE WHEN v2.
 
 
 def _v1(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return t.spread("documents").select(
         F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), "text",
         F.octet_length("text").cast("long").alias("size_bytes"), (F.col("doc_id") * 1000).alias("modified_us"))
 
 
 def _v2(t: Tables) -> DataFrame:
-    d = t.documents.join(t.labels, "doc_id", "left").filter(F.coalesce("toxic", F.lit(0)) == 0)
+    d = t.spread("documents").join(t.labels, "doc_id", "left").filter(F.coalesce("toxic", F.lit(0)) == 0)
     text = F.when(F.col("quality") == 1, F.concat("text", F.lit("\nRevised."))).otherwise(F.col("text"))
     kept = d.select(
         F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), text.alias("text"),

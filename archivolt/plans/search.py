@@ -131,7 +131,7 @@ def sources_used(t: Tables) -> DataFrame:
 @query()
 def lexical_search(t: Tables) -> DataFrame:
     """Benchmark passages look for their nearest chunks by hashed words."""
-    chunks = ix.make_chunks(t.documents.select("doc_id", "text")).select("chunk_id", "text")
+    chunks = ix.make_chunks(t.spread("documents").select("doc_id", "text")).select("chunk_id", "text")
     asked = se.lexical_vectors(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
     return se.top_k(se.lexical_vectors(chunks), asked, 5)
 

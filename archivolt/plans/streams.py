@@ -84,3 +84,6 @@ class Streamed:
     def __init__(self, t: Tables):
         self.documents = _stream(t, "documents")
 
+    def spread(self, name: str) -> DataFrame:
+        return getattr(self, name)
+

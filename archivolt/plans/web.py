@@ -36,7 +36,7 @@ RUNS = "regexp_split_to_array({c}, '<!--.*?-->|<[^>]*>')"
 WITH r AS (SELECT page_id, list_filter({RUNS.format(c=without_tags_sql('html', fixed.HTML_HIDDEN_TAGS))}, lambda x: x <> '') AS runs FROM pages)
 SELECT page_id, md5({unescape_sql("array_to_string(runs, ' ')")}) AS text_md5 FROM r""")
 def html_document_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.md5(html.document_text("html")).alias("text_md5"))
+    return t.spread("pages").select("page_id", F.md5(html.document_text("html")).alias("text_md5"))
 
 
 @query(f"""
@@ -44,7 +44,7 @@ WITH r AS (SELECT page_id, html, list_filter(list_transform({RUNS.format(c=witho
 h AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1))) AS hrefs FROM pages)
 SELECT page_id, md5({unescape_sql("array_to_string(runs, ' ')")}) AS text_md5, len(hrefs)::INT AS links, md5({unescape_sql("array_to_string(hrefs, ' ')")}) AS links_md5 FROM r JOIN h USING (page_id)""")
 def page_text_and_links(t: Tables) -> DataFrame:
-    read = t.pages.select("page_id", html.page_content("html").alias("c"))
+    read = t.spread("pages").select("page_id", html.page_content("html").alias("c"))
     return read.select(
         "page_id", F.md5("c.text").alias("text_md5"), F.size("c.hrefs").alias("links"),
         F.md5(F.array_join(F.array_sort("c.hrefs"), " ")).alias("links_md5"))
@@ -56,7 +56,7 @@ TEXT_SQL = f"""w AS (SELECT page_id, regexp_split_to_array({strip_sql("regexp_re
 @query(f"""WITH {TEXT_SQL}
 SELECT page_id, len(words) >= 40 AND len(list_filter(words, lambda x: length({unescape_sql('x')}) > 5)) >= 5 AS useful FROM w""")
 def useful_pages(t: Tables) -> DataFrame:
-    read = t.pages.select("page_id", html.page_content("html")["text"].alias("text"))
+    read = t.spread("pages").select("page_id", html.page_content("html")["text"].alias("text"))
     return read.select("page_id", tx.useful_content("text").alias("useful"))
 
 
@@ -86,12 +86,12 @@ p AS (SELECT page_id, u, lower(regexp_extract(u, '^([A-Za-z]+):', 1)) AS scheme,
   regexp_extract(u, '^[^?#]*[?]([^#]*)', 1) AS query, contains(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1), '@') AS creds FROM u)"""
 CANONICAL_SQL = """scheme || '://' || host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END
   || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(list_transform(string_split(query, '&'),
-  lambda x: split_part(x, '=', 1) || '=' || CASE WHEN contains(x, '=') THEN replace(replace(substr(x, strpos(x, '=') + 1), '?', '%3F'), '=', '%3D') ELSE '' END)), '&') END"""
+  lambda x: split_part(x, '=', 1) || '=' || CASE WHEN contains(x, '=') THEN replace(replace(replace(substr(x, strpos(x, '=') + 1), '?', '%3F'), '=', '%3D'), '/', '%2F') ELSE '' END)), '&') END"""
 
 
 @query(f"WITH {PARTS_SQL} SELECT page_id, {CANONICAL_SQL} AS canonical FROM p")
 def canonical_urls(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", urls.canonical(_url()).alias("canonical"))
+    return t.spread("pages").select("page_id", urls.canonical(_url()).alias("canonical"))
 
 
 @query(f"""WITH {PARTS_SQL},
@@ -198,7 +198,7 @@ l AS (SELECT DISTINCT origin, u, unnest(regexp_extract_all(html, '<a [^>]*href="
 SELECT array_to_string(list_transform([u], lambda x: CASE WHEN contains(x, '?') THEN regexp_replace(x, '[?].*', '') || '?' ||
     array_to_string(list_sort(string_split(regexp_extract(x, '[?](.*)', 1), '&')), '&') ELSE x END), '') AS src, origin || href AS dst FROM l WHERE starts_with(href, '/')""")
 def page_links(t: Tables) -> DataFrame:
-    return crawl.page_links(t.pages)
+    return crawl.page_links(t.spread("pages"))
 
 
 ROBOTS = """User-agent: *

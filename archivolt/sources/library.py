@@ -49,23 +49,26 @@ def _relative(files: DataFrame, base: str) -> DataFrame:
     )
 
 
-def read_bodies(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """Bodies of the files in ``wanted`` (column ``rel_path``), as bytes.
+def read_bodies(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Bodies of the files in ``wanted`` (by ``rel_path``), joined with its columns.
 
     A short list of paths is read directly; a long one would burden the
     driver, so then the folder is read and joined with the list instead.
+    Without a list all library files are read.
     """
     base = _root_uri(spark, root)
-    listed = [r[0] for r in wanted.select("rel_path").limit(MAX_LISTED_PATHS + 1).collect()]
-    reader = spark.read.format("binaryFile")
+    folder = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    columns = ["path", "length", "modificationTime", "content"]
+    if wanted is None:
+        return _relative(folder.load(root).select(*columns), base).filter(is_library_file("rel_path"))
+    listed = [base + r[0] for r in wanted.select("rel_path").limit(MAX_LISTED_PATHS + 1).collect()]
     if not listed:
-        files = reader.option("recursiveFileLookup", "true").load(root).limit(0)
+        files = folder.load(root).limit(0)
     elif len(listed) <= MAX_LISTED_PATHS:
-        files = reader.load([base + p for p in listed])
+        files = spark.read.format("binaryFile").load(listed)
     else:
-        files = reader.option("recursiveFileLookup", "true").load(root)
-    full = _relative(files.select("path", "length", "modificationTime", "content"), base)
-    return full if len(listed) <= MAX_LISTED_PATHS else full.join(wanted.select("rel_path"), "rel_path", "left_semi")
+        files = folder.load(root)
+    return _relative(files.select(*columns), base).join(wanted, "rel_path")
 
 
 def decode_text(content) -> Column:

@@ -7,10 +7,11 @@ Layout below the index folder::
     dead/<run>/              (doc_id, segment) pairs that a run retired
     manifest/<run>/          one row per document
 
-A run writes only what changed and then creates its commit file; readers see
-either the old or the new version.  Live chunks are those whose (doc_id,
-segment) is not retired, an anti join with a table as small as the changes
-since the last :meth:`ChunkIndex.compact`.
+A run writes only what changed, and the manifest, and then creates its commit
+file; readers see either the old or the new version.  Live chunks are those
+whose (doc_id, segment) is not retired, an anti join with a table as small as
+the changes since the last :meth:`ChunkIndex.compact`.  The manifest names the
+segment of every document, so a run never reads the chunks of earlier ones.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from archivolt import fixed
+from archivolt.functions.paths import normalise
 from archivolt.operators import index as ops
 from archivolt.sources import library as lib
 
+# Up to this many paths (some 100 bytes each) are sent to the texts, which stay in place.
+BROADCAST_PATHS = 1_000_000
 DEAD_SCHEMA = "doc_id string, segment string"
 EMPTY = {"version": 0, "segments": [], "dead": [], "manifest": None, "batches": {}}
 
@@ -125,10 +129,9 @@ class ChunkIndex:
         version = self._next_version()
         new = {**state, "version": version, "segments": list(state["segments"]), "dead": list(state["dead"]),
                "batches": dict(state["batches"])}
-        old = self.chunks(state)
-        if old is not None:
-            dead = old.select("doc_id", "segment").join(retired, "doc_id", "left_semi").distinct()
-            dead.write.parquet(f"{self.path}/dead/{run}")
+        if state["manifest"] is not None:
+            dead = self.manifest(state).select(F.col("rel_path").alias("doc_id"), "segment").join(retired, "doc_id", "left_semi")
+            dead.filter(F.col("segment").isNotNull()).write.parquet(f"{self.path}/dead/{run}")
             new["dead"].append(f"dead/{run}")
         if segment:
             new["segments"].append(run)
@@ -139,13 +142,14 @@ class ChunkIndex:
         self._publish(new)
         return version
 
-    def sync(self, library: DataFrame, hashes_and_texts: Callable[[DataFrame], DataFrame], indexed_at: str, *,
+    def sync(self, library: DataFrame, fetch: Callable[[DataFrame | None], DataFrame], indexed_at: str, *,
              rebuild: bool = False, remove_missing: bool = True, batch: tuple[str, int] | None = None) -> DataFrame:
         """Brings the index up to the library and returns the outcome per path.
 
-        ``library`` holds rel_path, size_bytes and modified_us.  Only for the
-        paths that need it, ``hashes_and_texts`` is asked for rel_path,
-        content_sha256, name, category, size_kb, ok, text and error.
+        ``library`` holds rel_path, size_bytes and modified_us.  ``fetch`` is
+        asked only for the paths that need a look at their content, or with
+        None for all of them; it gives rel_path, content_sha256, name,
+        category, size_kb, ok, text and error, joined with what it was given.
         """
         run, state = uuid.uuid4().hex, self.state()
         manifest = self.manifest(state)
@@ -156,19 +160,30 @@ class ChunkIndex:
         stage = f"{self.path}/stage/{run}"
         looks.write.parquet(f"{stage}/looks")
         looks = self.spark.read.parquet(f"{stage}/looks")
-        asked = hashes_and_texts(looks.filter("look in ('new', 'check')").select("rel_path"))
-        asked.write.parquet(f"{stage}/texts")
+        seen = looks.agg(
+            F.count(F.lit(1)).alias("all"), F.count_if(F.col("look") == "new").alias("new"),
+            F.count_if(F.col("look").isin("new", "check")).alias("wanted")).first()
+        wanted = looks.filter("look in ('new', 'check')").select("rel_path", "look", "_sha", "_last")
+        if seen["new"] == seen["all"]:
+            # A first build wants every text: nothing to join with.
+            asked = fetch(None).select("*", F.lit("new").alias("look"), *[F.lit(None).cast("string").alias(c) for c in ("_sha", "_last")])
+        else:
+            asked = fetch(F.broadcast(wanted) if seen["wanted"] <= BROADCAST_PATHS else wanted)
+        # The change of a fetched document shows on its own row; texts of
+        # documents that were merely touched are let go here.
+        asked = asked.withColumn("change", ops.change_of_checked(rebuild))
+        moved = F.col("change").isin("new", "modified")
+        asked.withColumn("text", F.when(moved, F.col("text"))).write.parquet(f"{stage}/texts")
         asked = self.spark.read.parquet(f"{stage}/texts")
         changes = ops.settle_changes(looks, asked, rebuild)
 
-        todo = asked.join(changes.filter("change in ('new', 'modified')").select("rel_path"), "rel_path", "left_semi")
-        usable = todo.filter("ok").select(
-            F.col("rel_path").alias("doc_id"), "text", "name", "category", "size_kb")
-        ops.make_chunks(usable).write.parquet(f"{self.path}/chunks/{run}")
+        usable = asked.filter(moved & F.col("ok")).select(F.col("rel_path").alias("doc_id"), "text", "name", "category", "size_kb")
+        chunks = ops.make_chunks(usable).withColumn("n_chars", F.length("text"))
+        chunks.write.parquet(f"{self.path}/chunks/{run}")
         fresh = self.spark.read.parquet(f"{self.path}/chunks/{run}")
         counts = fresh.groupBy(F.col("doc_id").alias("rel_path")).agg(F.count(F.lit(1)).alias("chunk_count"))
         items = ops.sync_items(changes, counts)
-        reasons = todo.filter("not ok").select("rel_path", F.col("error").alias("_why"))
+        reasons = asked.filter(moved & ~F.col("ok")).select("rel_path", F.col("error").alias("_why"))
         items = items.join(reasons, "rel_path", "left").withColumn("error", F.coalesce("_why", "error")).drop("_why")
         items.write.parquet(f"{stage}/items")
         items = self.spark.read.parquet(f"{stage}/items")
@@ -179,41 +194,42 @@ class ChunkIndex:
         if work["moved"] or batch:
             retired = items.filter("status in ('indexed', 'deleted')").select(F.col("rel_path").alias("doc_id"))
             self._apply(run, bool(work["indexed"]), retired,
-                        ops.next_manifest(manifest, changes, items, indexed_at), state, batch)
+                        ops.next_manifest(manifest, changes, items, indexed_at, run), state, batch)
         return items
 
     def sync_folder(self, root: str, indexed_at: str, *, extracted: DataFrame | None = None,
                     rebuild: bool = False) -> DataFrame:
         """:meth:`sync` with the files below ``root``; bodies are read only where needed."""
-        def fetch(wanted: DataFrame) -> DataFrame:
+        def fetch(wanted: DataFrame | None) -> DataFrame:
             bodies = lib.read_bodies(self.spark, root, wanted)
-            hashed = bodies.withColumn("content_sha256", F.sha2("content", 256))
-            return lib.load_documents(hashed, extracted)
+            return lib.load_documents(bodies.withColumn("content_sha256", F.sha2("content", 256)), extracted)
 
         return self.sync(lib.scan(self.spark, root), fetch, indexed_at, rebuild=rebuild)
 
     def sync_table(self, documents: DataFrame, indexed_at: str, **options) -> DataFrame:
         """:meth:`sync` with a table of rel_path, size_bytes, modified_us and text."""
-        def fetch(wanted: DataFrame) -> DataFrame:
-            rows = documents.select("rel_path", "size_bytes", "text").join(wanted, "rel_path", "left_semi")
+        def fetch(wanted: DataFrame | None) -> DataFrame:
+            rows = documents.select("rel_path", "size_bytes", "text")
+            rows = rows if wanted is None else rows.join(wanted, "rel_path")
             return lib.envelope(rows.withColumn("content_sha256", ops.content_hash("text")))
 
         return self.sync(documents, fetch, indexed_at, **options)
 
     def delete(self, wanted: DataFrame) -> DataFrame:
         """Removes documents (rel_path in ``doc_id``); asking twice does no harm."""
-        from archivolt.functions.paths import normalise
-
         wanted = wanted.select(normalise("doc_id").alias("doc_id")).distinct()
         run, state = uuid.uuid4().hex, self.state()
-        manifest, chunks = self.manifest(state), self.chunks(state)
-        if chunks is None:
-            chunks = self.spark.createDataFrame([], "doc_id string")
-        ops.delete_report(chunks, wanted, manifest).write.parquet(f"{self.path}/stage/{run}/report")
+        manifest = self.manifest(state)
+        known = manifest.select(F.col("rel_path").alias("doc_id"), "chunk_count")
+        report = wanted.join(known, "doc_id", "left").select(
+            "doc_id", F.when(F.col("chunk_count").isNull(), "not_found").otherwise("deleted").alias("status"),
+            F.coalesce("chunk_count", F.lit(0)).alias("chunks"))
+        report.write.parquet(f"{self.path}/stage/{run}/report")
         report = self.spark.read.parquet(f"{self.path}/stage/{run}/report")
-        if report.filter("status = 'deleted'").limit(1).count():
-            kept = manifest.join(wanted.select(F.col("doc_id").alias("rel_path")), "rel_path", "left_anti")
-            self._apply(run, False, wanted, kept, state)
+        gone = report.filter("status = 'deleted'").select("doc_id")
+        if not gone.isEmpty():
+            kept = manifest.join(gone.select(F.col("doc_id").alias("rel_path")), "rel_path", "left_anti")
+            self._apply(run, False, gone, kept, state)
         return report
 
     def compact(self) -> int:
@@ -224,5 +240,20 @@ class ChunkIndex:
             return state["version"]
         run, version = uuid.uuid4().hex, self._next_version()
         live.drop("segment").write.parquet(f"{self.path}/chunks/{run}")
-        self._publish({**state, "version": version, "segments": [run], "dead": []})
+        self.manifest(state).withColumn("segment", F.lit(run)).write.parquet(f"{self.path}/manifest/{run}")
+        self._publish({**state, "version": version, "segments": [run], "dead": [], "manifest": f"manifest/{run}"})
         return version
+
+    def vacuum(self) -> None:
+        """Deletes working files and what the newest version no longer uses.
+
+        Not to be called while another run writes or an old version is read.
+        """
+        state = self.state()
+        used = {f"chunks/{s}" for s in state["segments"]} | set(state["dead"]) | {state["manifest"]}
+        for kind in ("chunks", "dead", "manifest", "stage"):
+            folder = self._path(f"{self.path}/{kind}")
+            if self._fs.exists(folder):
+                for entry in self._fs.listStatus(folder):
+                    if f"{kind}/{entry.getPath().getName()}" not in used:
+                        self._fs.delete(entry.getPath(), True)

@@ -50,7 +50,8 @@ def compare(spark, con, fn, sql: str, folder: str) -> list[str]:
             out.append(f"type of {f.name}: {f.dataType.simpleString()} != {types[f.name]}")
     if len(got) != len(want):
         out.append(f"rows {len(got)} != {len(want)}")
-    extra, missing = [r for r in got if r not in set(want)], [r for r in want if r not in set(got)]
+    have, need = set(got), set(want)
+    extra, missing = [r for r in got if r not in need], [r for r in want if r not in have]
     if extra or missing:
         out.append(f"{len(extra)} extra, {len(missing)} missing; extra {extra[:2]} missing {missing[:2]}")
     elif got != want and len(got) == len(want):
