@@ -118,7 +118,7 @@ class ChunkIndex:
             every = every.unionByName(part, allowMissingColumns=True)
         if state["dead"]:
             dead = self.spark.read.schema(DEAD_SCHEMA).parquet(*[f"{self.path}/{d}" for d in state["dead"]]).distinct()
-            every = every.join(dead, ["doc_id", "segment"], "left_anti")
+            every = every.join(dead, ["doc_id", "segment"], "left_anti").select(*every.columns)
         return every
 
     # --- writing -----------------------------------------------------------

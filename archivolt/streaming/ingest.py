@@ -12,10 +12,13 @@ from archivolt.sources import library as lib
 from archivolt.sources.store import ChunkIndex
 
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def landing_files(spark: SparkSession, root: str, per_batch: int = 10_000) -> DataFrame:
     """Stream of plain-text library files that appear below ``root``."""
     files = (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+        spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", per_batch).load(root))
     rows = lib._relative(files.select("path", "length", "modificationTime", "content"), lib._root_uri(spark, root))
     rows = rows.filter(lib.is_library_file("rel_path", [".md", ".txt"]))
