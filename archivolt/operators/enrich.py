@@ -17,8 +17,8 @@ def enrich(df: DataFrame, make_client: Callable[[], Callable[[list[str]], list[s
 
     ``make_client`` runs once per task and gives a function from a list of
     prompts to a list of answers.  A batch that fails is tried again row by
-    row, so one bad row costs only itself.  ``partitions`` spreads the calls
-    evenly when the input is skewed.
+    row, so one bad row costs only itself.  A null prompt is not asked.
+    ``partitions`` spreads the calls evenly when the input is skewed.
     """
     if partitions:
         df = df.repartition(partitions)
@@ -30,25 +30,24 @@ def enrich(df: DataFrame, make_client: Callable[[], Callable[[list[str]], list[s
         client = None
         for frame in batches:
             client = client or make_client()
-            answers: list[str | None] = []
-            errors: list[str | None] = []
             prompts = frame[prompt].tolist()
-            for at in range(0, len(prompts), batch_size):
-                part = prompts[at:at + batch_size]
+            asked = [i for i, p in enumerate(prompts) if p is not None]
+            answers: list[str | None] = [None] * len(prompts)
+            errors: list[str | None] = [None] * len(prompts)
+            for at in range(0, len(asked), batch_size):
+                places = asked[at:at + batch_size]
                 try:
-                    got = list(client(part))
-                    if len(got) != len(part):
-                        raise ValueError(f"{len(got)} answers to {len(part)} prompts")
-                    answers += got
-                    errors += [None] * len(part)
-                except Exception:  # noqa: BLE001 - the row keeps the message
-                    for one in part:
+                    got = list(client([prompts[i] for i in places]))
+                    if len(got) != len(places):
+                        raise ValueError(f"{len(got)} answers to {len(places)} prompts")
+                    for i, answer in zip(places, got):
+                        answers[i] = answer
+                except Exception:  # noqa: BLE001 - each row keeps its own message
+                    for i in places:
                         try:
-                            answers.append(client([one])[0])
-                            errors.append(None)
+                            answers[i] = client([prompts[i]])[0]
                         except Exception as exc:  # noqa: BLE001
-                            answers.append(None)
-                            errors.append(f"{type(exc).__name__}: {exc}")
+                            errors[i] = f"{type(exc).__name__}: {exc}"
             result = frame.drop(columns=[c for c in (out, error) if c in frame.columns])
             result[out], result[error] = answers, errors
             yield result[schema.names]
@@ -61,32 +60,23 @@ def per_row(fn: Callable[[str], str]) -> Callable[[], Callable[[list[str]], list
     return lambda: (lambda prompts: [fn(p) for p in prompts])
 
 
-def with_cache(df: DataFrame, cache: DataFrame, run: Callable[[DataFrame], DataFrame], *, key: str = "key",
-               fingerprint: str = "fingerprint", result: str = "result",
-               eligible: Column | None = None) -> DataFrame:
-    """Reuses a stored result when key and fingerprint match, else runs ``run``.
+def with_cache(df: DataFrame, cache: DataFrame, make_client: Callable, prompt: str, *, key: str = "key",
+               fingerprint: str = "fingerprint", result: str = "result", partitions: int | None = None) -> DataFrame:
+    """Reuses a stored result when key and fingerprint match, else asks the model.
 
-    ``run`` gets the misses and adds ``result`` (and maybe ``error``).  Rows
-    carry ``origin``: ``cached``, ``new``, ``failed`` or ``omitted``.  The
-    cache has one row per key, so the join is on a unique key.
+    A null prompt marks a row that is not worth asking about.  Rows carry
+    ``origin``: ``cached``, ``new``, ``failed`` or ``omitted``.  One pass: the
+    cache has one row per key, and its hits go through the model step unasked.
     """
-    stored = cache.select(
-        F.col(key), F.col(fingerprint).alias("_old"), F.col(result).alias(result))
-    looked = df.join(stored, key, "left")
+    stored = cache.select(F.col(key), F.col(fingerprint).alias("_old"), F.col(result).alias("_stored"))
     hit = F.col("_old").isNotNull() & (F.col("_old") == F.col(fingerprint))
-    eligible = F.lit(True) if eligible is None else eligible
-    hits = looked.filter(F.coalesce(hit, F.lit(False))).select(
-        *df.columns, result, F.lit(None).cast("string").alias("error"), F.lit("cached").alias("origin"))
-    missed = looked.filter(~F.coalesce(hit, F.lit(False))).select(*df.columns)
-    omitted = missed.filter(~eligible).select(
-        *df.columns, F.lit(None).cast("string").alias(result), F.lit(None).cast("string").alias("error"),
-        F.lit("omitted").alias("origin"))
-    fresh = run(missed.filter(eligible))
-    if "error" not in fresh.columns:
-        fresh = fresh.withColumn("error", F.lit(None).cast("string"))
-    fresh = fresh.select(*df.columns, result, "error",
-                         F.when(F.col("error").isNull(), "new").otherwise("failed").alias("origin"))
-    return hits.unionByName(fresh).unionByName(omitted)
+    looked = df.join(stored, key, "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    looked = looked.withColumn("_ask", F.when(~F.col("_hit"), F.col(prompt))).withColumn("_open", F.col("_ask").isNotNull())
+    rest = [c for c in df.columns if c != prompt]
+    asked = enrich(looked.select(*rest, "_hit", "_stored", "_open", "_ask"), make_client, "_ask", "_new", "error", partitions=partitions)
+    origin = (
+        F.when(F.col("_hit"), "cached").when(~F.col("_open"), "omitted").when(F.col("error").isNull(), "new").otherwise("failed"))
+    return asked.select(*rest, F.when(F.col("_hit"), F.col("_stored")).otherwise(F.col("_new")).alias(result), "error", origin.alias("origin"))
 
 
 def updated_cache(cache: DataFrame, done: DataFrame, *, key: str = "key", fingerprint: str = "fingerprint",

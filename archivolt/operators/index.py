@@ -59,7 +59,8 @@ def detect_changes(library: DataFrame, manifest: DataFrame, rebuild: bool = Fals
     """Both steps for a library that carries its text (a table, not files)."""
     looks = stat_changes(library, manifest, rebuild)
     wanted = looks.filter("look in ('new', 'check')").select("rel_path")
-    hashes = library.join(wanted, "rel_path", "left_semi").select("rel_path", content_hash("text").alias("content_sha256"))
+    # Hashed where the text is; only the hashes travel to the join.
+    hashes = library.select("rel_path", content_hash("text").alias("content_sha256")).join(wanted, "rel_path")
     return settle_changes(looks, hashes, rebuild)
 
 

@@ -47,14 +47,14 @@ def split_large(max_chars: int = fixed.LARGE_TEXT_CHARS):
 
 
 def text_parts(documents: DataFrame, key: str, text: str = "text", max_chars: int = fixed.LARGE_TEXT_CHARS) -> DataFrame:
-    """Documents as parts: key, part, parts, part_text.  Short texts stay in the JVM."""
+    """Documents as parts: key, part, parts, part_text."""
     rest = [c for c in documents.columns if c != text]
     big = F.length(text) > max_chars
-    small = documents.filter(~big).select(
-        *rest, F.lit(0).alias("part"), F.lit(1).alias("parts"), F.col(text).alias("part_text"))
-    large = documents.filter(big).withColumn("_parts", split_large(max_chars)(text)).select(
-        *rest, F.size("_parts").alias("parts"), F.posexplode("_parts").alias("part", "part_text"))
-    return small.unionByName(large.select(*rest, "part", "parts", "part_text"))
+    # Short texts go through Python as nulls.
+    cut = documents.withColumn("_large", split_large(max_chars)(F.when(big, F.col(text))))
+    cut = cut.withColumn("_parts", F.when(big, F.col("_large")).otherwise(F.array(F.col(text))))
+    return cut.select(*rest, F.size("_parts").alias("parts"), F.posexplode("_parts").alias("part", "part_text")).select(
+        *rest, "part", "parts", "part_text")
 
 
 def digest(documents: DataFrame, client: Client, key: str = "doc_id", text: str = "text", source: str = "source",
@@ -143,15 +143,11 @@ def study_notes(documents: DataFrame, cache: DataFrame, client: Client, key: str
 
     Texts are cleaned, gated at 50 characters and cut at 5000 for the prompt.
     """
-    cleaned = documents.select(key, fingerprint, clean_text(text).alias("_text"))
-
-    def run(misses: DataFrame) -> DataFrame:
-        prompts = misses.withColumn("_prompt", F.substring("_text", 1, fixed.NOTES_CHARS))
-        return enrich(prompts, client, "_prompt", "result", "error").drop("_prompt")
-
-    done = with_cache(cleaned, cache, run, key=key, fingerprint=fingerprint, result="result",
-                      eligible=F.length("_text") >= fixed.MIN_DOCUMENT_CHARS)
-    return done.drop("_text")
+    cleaned = clean_text(text)
+    prompt = F.when(F.length(cleaned) >= fixed.MIN_DOCUMENT_CHARS, F.substring(cleaned, 1, fixed.NOTES_CHARS))
+    # Cut before the join, so that no more than the prompt is shuffled.
+    return with_cache(documents.select(key, fingerprint, prompt.alias("_prompt")), cache, client, "_prompt",
+                      key=key, fingerprint=fingerprint)
 
 
 # --- exams ---------------------------------------------------------------------------
@@ -171,9 +167,9 @@ def exam_prompts(requests: DataFrame, contexts: DataFrame, key: str = "request_i
 def exam_questions(prompts: DataFrame, client: Client, prompt: str, key: str = "request_id") -> DataFrame:
     """Questions of the generated exams, one row each; a failed call keeps its error."""
     asked = enrich(prompts, client, prompt, "_answer", "error")
-    good = asked.filter(F.col("error").isNull()).select(key, F.posexplode(ex.parse_questions("_answer")).alias("place", "q"))
-    bad = asked.filter(F.col("error").isNotNull()).select(key, "error")
-    return good.select(key, "place", "q.*", F.lit(None).cast("string").alias("error")).unionByName(bad, allowMissingColumns=True)
+    # One pass, so that the model is asked once: a failed row has no questions.
+    parsed = F.when(F.col("error").isNull(), ex.parse_questions("_answer"))
+    return asked.select(key, "error", F.posexplode_outer(parsed).alias("place", "q")).select(key, "place", "q.*", "error")
 
 
 def grade_answers(answers: DataFrame, client: Client, prompt: str, max_points: str = "points") -> DataFrame:

@@ -3,7 +3,8 @@
 A plain window sends a whole group to one task.  When one conversation or
 source may hold a third of all rows that task never ends, so each group is
 cut in spans of the order column: work inside a span is a window keyed by
-(group, span), and one small row per span carries the rest across.
+(group, span), and one small row per span carries the rest across.  The order
+column is a whole number.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ SPAN = 1 << 16
 
 
 def _span(order: str, span: int) -> Column:
-    return F.floor(F.col(order) / F.lit(span)).cast("long")
+    return F.expr(f"`{order}` div {span}")
 
 
 def positions(df: DataFrame, keys: list[str], order: str, out: str = "position", span: int = SPAN) -> DataFrame:
@@ -76,6 +77,20 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
 
 
+# Up to this many keys (of about 100 bytes) are sent to the rows they select.
+BROADCAST_KEYS = 1_000_000
+
+
+def rows_of(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is in ``keys`` (unique), joined with its columns.
+
+    The keys are counted; while they are few the rows, which may carry whole
+    texts, stay where they are.
+    """
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, on)
+
+
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that are computed once, however often later steps use them.
 

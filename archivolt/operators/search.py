@@ -17,14 +17,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from archivolt import fixed
 from archivolt.functions.text import strip
-from archivolt.operators.ordered import first_seen, joined_text
+from archivolt.operators.ordered import first_seen, joined_text, rows_of
 from archivolt.session import checkpoint
 
 # One block of questions: at most this many rows and bytes are sent to tasks.
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 64 << 20
-# Up to this many hits (of about 100 bytes each) are broadcast.
-BROADCAST_HITS = 500_000
 FILTERS = ("category", "chapter", "name_has")
 
 
@@ -140,13 +138,8 @@ def _blocks(questions: DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def with_payload(hits: DataFrame, corpus: DataFrame, columns: list[str], key: str = "chunk_id") -> DataFrame:
-    """Hits with columns of their chunks.
-
-    Hits are counted; as long as they are few they go to the chunks, which
-    then stay where they are.  More of them meet the chunks in a shuffle.
-    """
-    few = hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
-    return corpus.select(key, *columns).join(F.broadcast(hits) if few else hits, key)
+    """Hits with columns of their chunks; the chunks stay where they are."""
+    return rows_of(corpus.select(key, *columns), hits, key)
 
 
 # --- the kinds of search -------------------------------------------------------

@@ -12,6 +12,7 @@ from archivolt.operators import index as ix
 from archivolt.operators import jobs, ordered
 from archivolt.plans import Tables, query
 from archivolt.sources import library as lib, records
+from archivolt.session import checkpoint
 from archivolt.sources.store import ChunkIndex
 
 NL = "chr(10)"
@@ -344,10 +345,11 @@ def deleted_documents(t: Tables) -> DataFrame:
 
 
 def _items(t: Tables, rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Changes and outcomes, each worked out once and written down."""
     v2 = _v2(t)
-    changes = ix.detect_changes(v2, _manifest(t), rebuild)
-    todo = v2.join(changes.filter("change in ('new', 'modified')").select("rel_path"), "rel_path", "left_semi")
-    return changes, ix.sync_items(changes, ix.chunk_counts(todo, doc_id="rel_path"))
+    changes = checkpoint(ix.detect_changes(v2, _manifest(t), rebuild))
+    todo = ordered.rows_of(v2, changes.filter("change in ('new', 'modified')").select("rel_path"), "rel_path")
+    return changes, checkpoint(ix.sync_items(changes, ix.chunk_counts(todo, doc_id="rel_path")))
 
 
 @query(f"WITH {ITEMS_SQL} {SUMMARY_SQL}, 'sync' AS mode FROM items")
@@ -385,7 +387,7 @@ def chunk_replacement(t: Tables) -> DataFrame:
     old = ix.make_chunks(_v1(t).select(F.col("rel_path").alias("doc_id"), "text"))
     changes, items = _items(t)
     fresh_ids = items.filter("status = 'indexed'").select("rel_path")
-    fresh = ix.make_chunks(_v2(t).join(fresh_ids, "rel_path", "left_semi").select(F.col("rel_path").alias("doc_id"), "text"))
+    fresh = ix.make_chunks(ordered.rows_of(_v2(t), fresh_ids, "rel_path").select(F.col("rel_path").alias("doc_id"), "text"))
     gone = items.filter("status in ('indexed', 'deleted')").select(F.col("rel_path").alias("doc_id"))
     live = ix.without_documents(old, gone).unionByName(fresh)
     return live.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))

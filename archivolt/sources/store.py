@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from archivolt import fixed
 from archivolt.functions.paths import normalise
 from archivolt.operators import index as ops
+from archivolt.operators.ordered import rows_of
 from archivolt.sources import library as lib
 
-# Up to this many paths (some 100 bytes each) are sent to the texts, which stay in place.
-BROADCAST_PATHS = 1_000_000
 DEAD_SCHEMA = "doc_id string, segment string"
 EMPTY = {"version": 0, "segments": [], "dead": [], "manifest": None, "batches": {}}
 
@@ -161,14 +160,13 @@ class ChunkIndex:
         looks.write.parquet(f"{stage}/looks")
         looks = self.spark.read.parquet(f"{stage}/looks")
         seen = looks.agg(
-            F.count(F.lit(1)).alias("all"), F.count_if(F.col("look") == "new").alias("new"),
-            F.count_if(F.col("look").isin("new", "check")).alias("wanted")).first()
+            F.count(F.lit(1)).alias("all"), F.count_if(F.col("look") == "new").alias("new")).first()
         wanted = looks.filter("look in ('new', 'check')").select("rel_path", "look", "_sha", "_last")
         if seen["new"] == seen["all"]:
             # A first build wants every text: nothing to join with.
             asked = fetch(None).select("*", F.lit("new").alias("look"), *[F.lit(None).cast("string").alias(c) for c in ("_sha", "_last")])
         else:
-            asked = fetch(F.broadcast(wanted) if seen["wanted"] <= BROADCAST_PATHS else wanted)
+            asked = fetch(wanted)
         # The change of a fetched document shows on its own row; texts of
         # documents that were merely touched are let go here.
         asked = asked.withColumn("change", ops.change_of_checked(rebuild))
@@ -210,7 +208,7 @@ class ChunkIndex:
         """:meth:`sync` with a table of rel_path, size_bytes, modified_us and text."""
         def fetch(wanted: DataFrame | None) -> DataFrame:
             rows = documents.select("rel_path", "size_bytes", "text")
-            rows = rows if wanted is None else rows.join(wanted, "rel_path")
+            rows = rows if wanted is None else rows_of(rows, wanted, "rel_path")
             return lib.envelope(rows.withColumn("content_sha256", ops.content_hash("text")))
 
         return self.sync(documents, fetch, indexed_at, **options)

@@ -201,8 +201,28 @@ def test_one_bad_row_costs_only_itself(spark):
 
 
 def test_cache_reuses_and_replaces(spark):
-    docs = spark.createDataFrame([("a", "1", True), ("b", "2", True), ("c", "1", False)], "key string, fingerprint string, fit boolean")
+    docs = spark.createDataFrame([("a", "1", "p"), ("b", "2", "p"), ("c", "1", None), ("d", "1", "bad")], "key string, fingerprint string, prompt string")
     cache = spark.createDataFrame([("a", "1", "old"), ("b", "1", "stale")], "key string, fingerprint string, result string")
-    done = en.with_cache(docs, cache, lambda m: m.withColumn("result", F.lit("new")), eligible=F.col("fit"))
-    assert {r["key"]: (r["result"], r["origin"]) for r in done.collect()} == {"a": ("old", "cached"), "b": ("new", "new"), "c": (None, "omitted")}
+
+    def one(prompt):
+        if prompt == "bad":
+            raise ValueError("no")
+        return "new"
+
+    done = en.with_cache(docs, cache, en.per_row(one), "prompt")
+    assert {r["key"]: (r["result"], r["origin"]) for r in done.collect()} == {
+        "a": ("old", "cached"), "b": ("new", "new"), "c": (None, "omitted"), "d": (None, "failed")}
     assert {r["key"]: r["result"] for r in en.updated_cache(cache, done).collect()} == {"a": "old", "b": "new"}
+
+
+def test_model_is_asked_once_per_row(spark, scratch):
+    """Rows that failed and rows that did not come from one pass."""
+    def one(prompt):
+        with open(f"{scratch}/calls", "a") as f:
+            f.write(prompt + "\n")
+        return "PREGUNTA 1:\nENUNCIADO: x\nPUNTAJE: 1"
+
+    made = jobs.exam_questions(spark.createDataFrame([(1, "p1"), (2, "p2")], "request_id int, p string"), en.per_row(one), "p")
+    assert made.count() == 2
+    with open(f"{scratch}/calls") as f:
+        assert sorted(f.read().split()) == ["p1", "p2"]
