@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application.
+
+    Functions that run in Python workers are looked up by module there.  Not
+    needed where the package is installed on every machine.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "archivolt.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("archivolt", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(application)
+
 
 def local_session(cpus: int | str = "*", app: str = "archivolt", **conf: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""

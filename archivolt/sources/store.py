@@ -160,7 +160,11 @@ class ChunkIndex:
         looks.write.parquet(f"{stage}/looks")
         looks = self.spark.read.parquet(f"{stage}/looks")
         seen = looks.agg(
-            F.count(F.lit(1)).alias("all"), F.count_if(F.col("look") == "new").alias("new")).first()
+            F.count(F.lit(1)).alias("all"), F.count_if(F.col("look") == "new").alias("new"),
+            F.count_if(F.col("look") == "same").alias("same")).first()
+        if seen["same"] == seen["all"] and not batch:
+            none = self.manifest(state).select("rel_path", "chunk_count").limit(0)
+            return ops.sync_items(looks.withColumn("change", F.lit("unchanged")), none)
         wanted = looks.filter("look in ('new', 'check')").select("rel_path", "look", "_sha", "_last")
         if seen["new"] == seen["all"]:
             # A first build wants every text: nothing to join with.

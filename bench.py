@@ -56,7 +56,7 @@ def main() -> None:
         timed(name, lambda: full(plans.QUERIES[name](spark, folder)))
 
     docs = _v1(t)
-    chunks = t.documents.select("doc_id", "text")
+    chunks = t.spread("documents").select("doc_id", "text")
     timed("chunk_all_documents", lambda: full(ix.make_chunks(chunks)))
     counts["documents_per_second"] = round(t.documents.count() / times["chunk_all_documents"], 1)
 

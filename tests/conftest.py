@@ -10,11 +10,12 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 @pytest.fixture(scope="session")
 def spark():
-    from archivolt.session import local_session
+    from archivolt.session import local_session, ship_package
 
     session = local_session(8, "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    ship_package(session)
     yield session
     session.stop()
 
