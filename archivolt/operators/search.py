@@ -222,19 +222,35 @@ def sources_used(hits: DataFrame) -> DataFrame:
 
 # --- vectors -----------------------------------------------------------------------
 
-def lexical_vectors(df: DataFrame, text: str = "text", dims: int = 256, out: str = "embedding") -> DataFrame:
+def _hashed_words(df: DataFrame, text: str, dims: int) -> DataFrame:
+    from pyspark.ml.feature import HashingTF
+
+    split = df.withColumn("_words", F.split(F.lower(strip(text)), r"(?U)\W+"))
+    return HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(split)
+
+
+def word_weights(df: DataFrame, text: str = "text", dims: int = 256):
+    """Weights of hashed words by their rarity in ``df`` (a fitted model of ``dims`` numbers)."""
+    from pyspark.ml.feature import IDF
+
+    return IDF(inputCol="_tf", outputCol="_weighted").fit(_hashed_words(df, text, dims))
+
+
+def lexical_vectors(df: DataFrame, text: str = "text", dims: int = 256, out: str = "embedding", weights=None) -> DataFrame:
     """Unit vectors of hashed words, for use without a model.
 
     They compare words, not meaning.  Each row is hashed on its own, so this
-    needs no pass over the corpus and no shuffle.
+    needs no pass over the corpus and no shuffle; ``weights`` of
+    :func:`word_weights` (one pass) let rare words count for more.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    split = df.withColumn("_words", F.split(F.lower(strip(text)), r"(?U)\W+"))
-    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(split)
-    unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
-    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
+    counted = _hashed_words(df, text, dims)
+    if weights is not None:
+        counted = weights.transform(counted)
+    unit = Normalizer(inputCol="_tf" if weights is None else "_weighted", outputCol="_unit", p=2.0).transform(counted)
+    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_weighted", "_unit")
 
 
 def model_vectors(df: DataFrame, make_model, text: str = "text", out: str = "embedding", batch_size: int = 256) -> DataFrame:

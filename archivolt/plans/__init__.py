@@ -25,12 +25,14 @@ class Tables:
 
     def spread(self, name: str) -> DataFrame:
         """A table for heavy work per row: a small file that Spark would read
-        in fewer tasks than there are cores is dealt out first.  A table with
-        tasks enough is left as it is.
+        in fewer tasks than there are cores is dealt out first, in pieces of
+        no less than 256 KiB.  A table with tasks enough is left as it is.
         """
         table = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+        size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        wanted = min(self.spark.sparkContext.defaultParallelism, 1 + size // (256 << 10))
+        # A file of one row group is one task, in however many splits it is cut.
+        return table.repartition(wanted) if wanted > 1 and table.rdd.getNumPartitions() <= wanted else table
 
 
 def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:

@@ -240,3 +240,19 @@ def newest_first(t: Tables) -> DataFrame:
     """A newest-first listing: top rows by date, without a full sort."""
     top = t.orders.select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
     return top.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+
+
+@query("""SELECT CASE lang WHEN 'en' THEN 'id' || doc_id ELSE 'file' || doc_id END AS id, CASE lang WHEN 'fr' THEN 'Sin nombre' ELSE source END AS name,
+  n_chars::VARCHAR AS created, 'local' AS engine, len(string_split(text, chr(10)))::INT AS messages FROM documents WHERE lang <> 'de'""")
+def chat_sessions(t: Tables) -> DataFrame:
+    """A document is a chat in JSON, a line is a message; those of one language are broken."""
+    lang = F.col("lang")
+    messages = F.transform(F.split("text", "\n"), lambda line, i: F.struct(
+        F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), line.alias("content")))
+    chat = F.to_json(F.struct(
+        F.when(lang == "en", F.concat(F.lit("id"), F.col("doc_id").cast("string"))).alias("id"),
+        F.when(lang != "fr", F.col("source")).alias("nombre"), F.col("n_chars").cast("string").alias("creado"), messages.alias("messages")))
+    rows = t.documents.select(
+        F.concat(F.lit("file"), F.col("doc_id").cast("string")).alias("file"),
+        F.when(lang == "de", F.substring(chat, 1, 20)).otherwise(chat).alias("chat"))
+    return records.chat_listing(records.parse_chats(rows, "chat", "file")).select("id", "name", "created", "engine", "messages")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from archivolt.plans import Tables, query
 from archivolt.plans.dialogue import PAIRS_SQL
-from archivolt.plans.library import _v1, scratch_folder, strip_sql
+from archivolt.plans.library import _v1, strip_sql
+from archivolt.session import scratch_folder
 from archivolt.sources.store import ChunkIndex
 from archivolt.streaming import counters, history, ingest
 

@@ -33,6 +33,17 @@ def read_chats(spark: SparkSession, folder: str, default_engine: str = "local")
         .option("pathGlobFilter", "*.json").json(folder)
         .withColumn("_file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
     )
+    return _chat_columns(raw, default_engine)
+
+
+def parse_chats(rows: DataFrame, column: str, file_name: str, default_engine: str = "local") -> DataFrame:
+    """The same for chats that are JSON texts in a column."""
+    raw = rows.select(F.col(file_name).alias("_file"), F.from_json(
+        column, CHAT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("c"))
+    return _chat_columns(raw.select("_file", "c.*"), default_engine)
+
+
+def _chat_columns(raw: DataFrame, default_engine: str) -> DataFrame:
     good = raw.filter(F.col("_corrupt_record").isNull())
     return good.select(
         F.coalesce("id", "_file").alias("id"),

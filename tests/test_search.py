@@ -92,6 +92,13 @@ def test_lexical_vectors_are_unit_and_compare_words(spark):
     assert np.allclose(rows[1], rows[2]) and abs(np.linalg.norm(rows[1]) - 1) < 1e-6 and rows[1] @ rows[3] < 0.5
 
 
+def test_rare_words_weigh_more(spark):
+    df = spark.createDataFrame([(i, f"comun palabra{i}") for i in range(6)], "i int, text string")
+    plain = {r["i"]: np.array(r["embedding"]) for r in se.lexical_vectors(df, dims=512).collect()}
+    weighted = {r["i"]: np.array(r["embedding"]) for r in se.lexical_vectors(df, dims=512, weights=se.word_weights(df, dims=512)).collect()}
+    assert weighted[0] @ weighted[1] < plain[0] @ plain[1] and abs(np.linalg.norm(weighted[0]) - 1) < 1e-6
+
+
 def test_lexical_search_equals_brute_force(spark):
     texts = ["el muestreo aleatorio simple", "derecho constitucional argentino", "muestreo por conglomerados", "receta de cocina"]
     corpus = se.lexical_vectors(spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string"))
