@@ -4,7 +4,8 @@ A plain window sends a whole group to one task.  When one conversation or
 source may hold a third of all rows that task never ends, so each group is
 cut in spans of the order column: work inside a span is a window keyed by
 (group, span), and one small row per span carries the rest across.  The order
-column is a whole number.
+column is a whole number.  A row whose key or order is null is in no group: it
+is kept, and its new columns are null.
 """
 
 from __future__ import annotations
@@ -18,16 +19,23 @@ def _span(order: str, span: int) -> Column:
     return F.expr(f"`{order}` div {span}")
 
 
+def _grouped(keys: list[str], order: str) -> Column:
+    found = F.col(order).isNotNull()
+    for key in keys:
+        found = found & F.col(key).isNotNull()
+    return found
+
+
 def positions(df: DataFrame, keys: list[str], order: str, out: str = "position", span: int = SPAN) -> DataFrame:
     """1-based place of every row in its group, by ``order`` (unique per group)."""
     cut = df.withColumn("_span", _span(order, span))
-    counts = cut.groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut.filter(_grouped(keys, order)).groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_span").orderBy(order)
     return (
-        cut.join(offsets, [*keys, "_span"])
-        .withColumn(out, F.col("_before") + F.row_number().over(inside))
+        cut.join(offsets, [*keys, "_span"], "left")
+        .withColumn(out, F.when(_grouped(keys, order), F.col("_before") + F.row_number().over(inside)))
         .drop("_span", "_before")
     )
 
@@ -37,26 +45,26 @@ def following(df: DataFrame, keys: list[str], order: str, columns: list[str], pr
     """Adds the named columns of the next row of the group, null at its end."""
     cut = df.withColumn("_span", _span(order, span))
     row = F.struct(F.col(order), *[F.col(c) for c in columns])
-    heads = cut.groupBy(*keys, "_span").agg(F.min_by(row, F.col(order)).alias("_head"))
+    heads = cut.filter(_grouped(keys, order)).groupBy(*keys, "_span").agg(F.min_by(row, F.col(order)).alias("_head"))
     across = Window.partitionBy(*keys).orderBy("_span")
     heads = heads.select(*keys, "_span", F.lead("_head").over(across).alias("_after"))
     inside = Window.partitionBy(*keys, "_span").orderBy(order)
-    near = cut.withColumn("_near", F.lead(row).over(inside)).join(heads, [*keys, "_span"])
-    found = F.coalesce("_near", "_after")
+    near = cut.withColumn("_near", F.lead(row).over(inside)).join(heads, [*keys, "_span"], "left")
+    found = F.when(_grouped(keys, order), F.coalesce("_near", "_after"))
     return near.select(*df.columns, *[found[c].alias(prefix + c) for c in columns])
 
 
 def carried(df: DataFrame, keys: list[str], order: str, column: str, out: str, span: int = SPAN) -> DataFrame:
     """Last value of ``column`` that is not null, up to and with the row."""
     cut = df.withColumn("_span", _span(order, span))
-    lasts = cut.groupBy(*keys, "_span").agg(
+    lasts = cut.filter(_grouped(keys, order)).groupBy(*keys, "_span").agg(
         F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(order))).alias("_last"))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     lasts = lasts.select(*keys, "_span", F.last("_last", ignorenulls=True).over(before).alias("_before"))
     inside = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cut.join(lasts, [*keys, "_span"])
-        .withColumn(out, F.coalesce(F.last(column, ignorenulls=True).over(inside), F.col("_before")))
+        cut.join(lasts, [*keys, "_span"], "left")
+        .withColumn(out, F.when(_grouped(keys, order), F.coalesce(F.last(column, ignorenulls=True).over(inside), F.col("_before"))))
         .drop("_span", "_before")
     )
 

@@ -37,6 +37,14 @@ def test_spans_equal_plain_windows(spark, hot, span):
         hot.select("conv_id", "turn", F.last("text", True).over(whole).alias("c")))
 
 
+def test_rows_without_a_group_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, "a"), ("c", None, "b"), ("c", 5, "d"), ("c", 900, "e")], "conv_id string, turn long, text string")
+    assert {r["text"]: r["n"] for r in ordered.positions(df, ["conv_id"], "turn", "n", 10).collect()} == {"a": None, "b": None, "d": 1, "e": 2}
+    assert {r["text"]: r["next_text"] for r in ordered.following(df, ["conv_id"], "turn", ["text"], span=10).collect()} == {
+        "a": None, "b": None, "d": "e", "e": None}
+    assert {r["text"]: r["c"] for r in ordered.carried(df, ["conv_id"], "turn", "text", "c", 10).collect()} == {"a": None, "b": None, "d": "d", "e": "e"}
+
+
 def test_newest_is_cut_before_the_shuffle(spark, hot):
     plan = ordered.newest(hot, ["conv_id"], "turn", 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Partial")
