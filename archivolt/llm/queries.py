@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivolt.llm import near_dedup
+from archivolt.llm import near_dedup, quality
 from archivolt.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ FROM sets s LEFT JOIN low l ON l.a = s.row_id
 def op2_near_duplicates(table):
     """Groups of documents with 85 of 100 three-word shingles in common."""
     return near_dedup.groups(table("documents"), n=3, percent=85)
+
+
+@query()
+def op3_quality(table):
+    """Every text's quality, learnt from labels outside the fold."""
+    return quality.classify(table("documents"), table("labels"))

@@ -158,3 +158,31 @@ def n_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     owner = words.owner()
     inside = np.flatnonzero(owner[:total] == owner[n - 1:])
     return mix(sums[inside] + np.uint64(n)), inside
+
+
+def ranges(words: Words) -> Iterator[tuple[int, int]]:
+    """Ranges of words that lie within about :data:`STRETCH` bytes, in order."""
+    lo, n = 0, len(words.start)
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(words.end, words.start[lo] + STRETCH, "right")))
+        yield lo, hi
+        lo = hi
+
+
+_KIND = np.arange(256, dtype=np.uint8)
+_KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[128:] = ord("0"), ord("A"), ord("a"), 128
+
+
+def shapes(words: Words) -> np.ndarray:
+    """Hash of each word's shape: runs of capitals, small letters, digits, other letters, and signs as they are."""
+    out = np.empty(len(words.hash), np.uint64)
+    for lo, hi in ranges(words):
+        at = words.start[lo]
+        kind = _KIND[words.raw[at:words.end[hi - 1]]]
+        start, end = words.start[lo:hi] - at, words.end[lo:hi] - at
+        new = np.ones(len(kind), bool)
+        new[1:] = kind[1:] != kind[:-1]
+        new[start] = True
+        kept = np.flatnonzero(new)
+        out[lo:hi] = span_hashes(_BYTE[kind[kept]], np.searchsorted(kept, start), np.searchsorted(kept, end))
+    return out
