@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivolt.llm import near_dedup, quality
+from archivolt.llm import near_dedup, quality, toxicity
 from archivolt.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op2_near_duplicates(table):
 def op3_quality(table):
     """Every text's quality, learnt from labels outside the fold."""
     return quality.classify(table("documents"), table("labels"))
+
+
+@query()
+def op5_toxicity(table):
+    """Every text's toxicity, learnt from labels outside the fold."""
+    return toxicity.classify(table("documents"), table("labels"))
