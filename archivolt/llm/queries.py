@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivolt.llm import near_dedup, quality, toxicity
+from archivolt.llm import decontaminate, near_dedup, quality, toxicity
 from archivolt.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op3_quality(table):
 def op5_toxicity(table):
     """Every text's toxicity, learnt from labels outside the fold."""
     return toxicity.classify(table("documents"), table("labels"))
+
+
+@query()
+def op8_decontamination(table):
+    """Documents that hold benchmark items, and which."""
+    return decontaminate.leaks(table("documents"), table("benchmark")).drop("doc_key")
