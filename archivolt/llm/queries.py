@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivolt.llm import decontaminate, near_dedup, quality, toxicity
+from archivolt.llm import decontaminate, mixing, near_dedup, quality, toxicity
 from archivolt.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op5_toxicity(table):
 def op8_decontamination(table):
     """Documents that hold benchmark items, and which."""
     return decontaminate.leaks(table("documents"), table("benchmark")).drop("doc_key")
+
+
+@query()
+def op9_mixing(table):
+    """How many words of each document the mix of sources takes."""
+    return mixing.taken(mixing.mix_sources(table("documents")))
