@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.tables import as_long, map_batches, may_hold, slot_filter
+from archivolt.llm.tables import as_long, doc_key, map_batches, may_hold, slot_filter
 from archivolt.llm.words import _BYTE, LOWER, Words, mix, ranges, span_hashes, stretches, words_of
 
 WINDOW = 8
@@ -155,7 +155,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.4, wide: int = WIN
     ``covered`` words of the item's ``n_words`` lie in windows of one run, at
     least ``share`` of them; ``renamed`` says that some slot differs.  A run
     whose slots are not consistent counts only for windows with equal slots.
-    ``doc_key`` is :func:`doc_key` of the row, so rows with one id and other
+    ``doc_key`` is :func:`tables.doc_key` of the row, so rows with one id and other
     texts are told apart; repeated rows give one answer.  Null or empty texts
     and empty tables give no rows; other columns are not read.
 
@@ -203,11 +203,6 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.4, wide: int = WIN
     ).select("doc_key", "doc_id", "item_id", "covered", "n_words", "renamed")
 
 
-def doc_key(docs: DataFrame):
-    """Tells rows of documents apart by id and text."""
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-
-
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     found = leaks(docs, items).select(F.col("doc_key").alias("_held")).distinct()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.llm.tables import checkpoint, count_words, map_batches
+from archivolt.llm.tables import checkpoint, count_words, doc_key, map_batches
 from archivolt.llm.words import mix
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -76,7 +76,7 @@ def _ranked(sizes: DataFrame) -> DataFrame:
 
 
 def streams(docs: DataFrame) -> DataFrame:
-    """``doc_id, source_key, size, begin``: where each document's words begin in its source's stream.
+    """``doc_id, doc_key, source_key, size, begin``: where each document's words begin in its source's stream.
 
     The order inside a source is by hash of the id, then id and size; rows equal
     in these are interchangeable.  A source is cut in pieces by the same hash,
@@ -84,16 +84,16 @@ def streams(docs: DataFrame) -> DataFrame:
     of pieces are added up first, so no task orders a whole source.
     """
     order = F.xxhash64("doc_id", F.lit(11))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _code(F.col("source")).alias("source_key"), count_words(F.col("text").cast("string")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key(docs).alias("doc_key"), _code(F.col("source")).alias("source_key"), count_words(F.col("text").cast("string")).alias("size"))
     rows = checkpoint(rows.withColumn("order", order))
     pieces = max(1, rows.count() // PIECE)
     rows = rows.withColumn("piece", F.floor((F.shiftrightunsigned("order", 32) * pieces) / F.lit(float(1 << 32))))
-    own = Window.partitionBy("source_key", "piece").orderBy(F.shiftrightunsigned("order", 32), "order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source_key", "piece").orderBy(F.shiftrightunsigned("order", 32), "order", "doc_id", "size", "doc_key").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source_key", "piece").agg(F.sum("size").alias("sum"))
     earlier = Window.partitionBy("source_key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("source_key", "piece", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
     return rows.join(before, ["source_key", "piece"]).select(
-        "doc_id", "source_key", "size", (F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))).alias("begin")
+        "doc_id", "doc_key", "source_key", "size", (F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))).alias("begin")
     )
 
 
@@ -147,7 +147,7 @@ class Tree:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = 1) -> DataFrame:
-    """``doc_id, source_key, size, source_size, target, pieces`` for each document.
+    """``doc_id, doc_key, source_key, size, source_size, target, pieces`` for each document.
 
     ``pieces`` are its parts of the mix: ``(shard, turn, start, words, place)``,
     ``words`` words of the text from ``start`` in the ``turn``-th pass, ``place``
@@ -212,17 +212,37 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
         place = mix(mix(begin[d].astype(np.uint64) + a[head].astype(np.uint64)) + (source[d] * 64 + turn[head]).astype(np.uint64)).view(np.int64)
         values = [shard[head].astype(np.int32), turn[head].astype(np.int32), a[head] - begin[d], b[tail] - a[head], place]
         lists = pa.ListArray.from_arrays(np.searchsorted(d, np.arange(len(source) + 1)).astype(np.int32), pa.StructArray.from_arrays([pa.array(v) for v in values], fields=list(fields)))
-        yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3, 8)] + [lists], ["doc_id", "source_key", "size", "source_size", "target", "pieces"])
+        yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3, 9)] + [lists], ["doc_id", "doc_key", "source_key", "size", "source_size", "target", "pieces"])
 
-    ready = rows.join(aims, "source_key").select("place", "size", "begin", "doc_id", "source_key", F.col("size").alias("own_size"), "source_size", "target")
-    return map_batches(ready, work, "doc_id long, source_key string, size long, source_size long, target double, "
+    ready = rows.join(aims, "source_key").select("place", "size", "begin", "doc_id", "doc_key", "source_key", F.col("size").alias("own_size"), "source_size", "target")
+    return map_batches(ready, work, "doc_id long, doc_key long, source_key string, size long, source_size long, target double, "
                        "pieces array<struct<shard:int,turn:int,start:long,words:long,place:long>>")
 
 
 def taken(mixed: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken``: words of each document in the mix, repeats counted."""
-    words = F.aggregate("pieces", F.lit(0).cast("long"), lambda total, p: total + p["words"])
-    return mixed.select("doc_id", "size", "source_size", "target", words.alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
+
+
+def _taken() -> Column:
+    return F.aggregate("pieces", F.lit(0).cast("long"), lambda total, p: total + p["words"])
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The documents that the mix takes words of, with ``size, source_size, target, taken, pieces`` beside their columns.
+
+    Columns of these names that the table has already are replaced.
+    """
+    added = ["size", "source_size", "target", "taken", "pieces"]
+    mixed = mix_sources(docs, **settings)
+    mixed = mixed.withColumn("taken", _taken()).where("taken > 0")
+    # Rows of one id and text are interchangeable and numbered on either side.
+    number = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(key))
+    right = mixed.select(F.col("doc_key").alias("_key"), number("doc_key").alias("_number"), *(F.col(c).alias(f"_{c}") for c in added))
+    kept = docs.drop(*added)
+    left = kept.withColumn("_own_key", doc_key(docs)).withColumn("_own_number", number("_own_key"))
+    both = left.join(right, (F.col("_own_key") == F.col("_key")) & (F.col("_own_number") == F.col("_number")))
+    return both.select(*kept.columns, *(F.col(f"_{c}").alias(c) for c in added))
 
 
 def shard_rows(mixed: DataFrame) -> DataFrame:

@@ -28,9 +28,9 @@ from archivolt.llm.tables import as_long, checkpoint, map_batches, may_hold, slo
 from archivolt.llm.words import Words, mix, n_grams, stretches
 
 #: Places of a signature and places of a band.  Two sets of similarity 0.85 miss
-#: each other in all 16 bands with a chance of (1 - 0.85**4)**16 = 7e-6, of
-#: similarity 0.8 with 2e-4.
-PLACES, ROWS = 64, 4
+#: each other in all 21 bands with a chance of (1 - 0.85**3)**21 = 2e-9, of
+#: similarity 0.8 with 3e-7.
+PLACES, ROWS = 63, 3
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.labelled import held_out, rate, sample
-from archivolt.llm.tables import map_batches
+from archivolt.llm.tables import filter_texts, map_batches
 from archivolt.llm.words import Words, mix, n_grams, shapes, stretches
 
 BITS, SCALE = 18, 10.0
@@ -86,6 +86,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     return w
 
 
+def chances(w: np.ndarray, words: Words) -> np.ndarray:
+    """The chance of label 1 of each text."""
+    at, owner = features(words)
+    texts = len(words.first) - 1
+    total = np.bincount(owner, w[at], texts) / np.maximum(1, np.bincount(owner, minlength=texts))
+    return 1 / (1 + np.exp(-np.clip(SCALE * total + w[-1], -30, 30)))
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``doc_id, score`` of every text: the chance of label 1.
 
@@ -95,11 +103,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for lo, hi, words in stretches(batch.column(1)):
-            at, owner = features(words)
-            total = np.bincount(owner, w[at], hi - lo) / np.maximum(1, np.bincount(owner, minlength=hi - lo))
-            chance = 1 / (1 + np.exp(-np.clip(SCALE * total + w[-1], -30, 30)))
+            chance = chances(shared.value, words)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(chance)], ["doc_id", "score"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, score double")
@@ -109,3 +114,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
     """``doc_id, held_out, score, predicted`` of every row; a row without an id is held out."""
     found = score(docs, fit(docs, labels, label, folds, fold))
     return found.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def good_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are predicted good, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return filter_texts(docs, lambda words: chances(shared.value, words) >= 0.5)

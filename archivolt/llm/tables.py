@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archivolt.llm.words import Words, stretches
 from archivolt.session import checkpoint, ship_package  # noqa: F401
 
 #: Words of a text as the contracts count them.
@@ -25,7 +26,24 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def doc_key(docs: DataFrame) -> Column:
+    """Tells rows of documents apart by id and text; nulls are told from empty texts."""
+    text = docs["text"].cast("string")
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["doc_id"].isNull(), text, text.isNull())
+
+
+def filter_texts(docs: DataFrame, keep: Callable[[Words], np.ndarray], fold: bool = True) -> DataFrame:
+    """The rows whose text passes ``keep``, a mask over the texts of a stretch; all columns stay, nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo, hi, words in stretches(batch.column(at), fold):
+            yield batch.slice(lo, hi - lo).filter(pa.array(keep(words)))
+
+    return map_batches(docs, work, docs.schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` of a function of one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.labelled import held_out, sample
-from archivolt.llm.tables import map_batches
+from archivolt.llm.tables import filter_texts, map_batches
 from archivolt.llm.words import _BYTE, LOWER, Words, mix, ranges, span_hashes, stretches
 
 WINDOW, STRIDE = 32, 24
@@ -251,6 +251,11 @@ def text_logits(p: dict[str, np.ndarray], words: Words, at_once: int = 1024) ->
     return soft_max(logit, text, texts, float(p["bias"][0]))[0]
 
 
+def chances(p: dict[str, np.ndarray], words: Words) -> np.ndarray:
+    """The chance of label 1 of each text."""
+    return 1 / (1 + np.exp(-np.clip(text_logits(p, words).astype(float), -30, 30)))
+
+
 def score(docs: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
     """``doc_id, score`` of every text: the chance of label 1.
 
@@ -261,8 +266,7 @@ def score(docs: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi, words in stretches(batch.column(1)):
-            chance = 1 / (1 + np.exp(-np.clip(text_logits(shared.value, words), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(chance.astype(float))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(chances(shared.value, words))], ["doc_id", "score"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, score double")
 
@@ -271,3 +275,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     """``doc_id, held_out, score, predicted`` of every row; a row without an id is held out."""
     found = score(docs, fit(docs, labels, label, folds, fold))
     return found.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return filter_texts(docs, lambda words: chances(shared.value, words) < 0.5)
