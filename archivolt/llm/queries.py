@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from archivolt.llm import decontaminate, mixing, near_dedup, quality, toxicity
+from archivolt.llm import decontaminate, mixing, near_dedup, quality, toxicity, warc
 from archivolt.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,24 @@ def op8_decontamination(table):
 def op9_mixing(table):
     """How many words of each document the mix of sources takes."""
     return mixing.taken(mixing.mix_sources(table("documents")))
+
+
+# DuckDB's base 32 is that of four 40-bit numbers, eight signs each.
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, sha1(html) AS hex, strlen(html) AS n, min(page_id) OVER (PARTITION BY html) AS original FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, 10 * k + 1, 10) AS BIGINT) >> (35 - 5 * j)) & 31 AS INTEGER), 1)
+                        FOR k IN [0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3, 3]], '') AS payload_digest,
+       CASE WHEN original IS NULL OR page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN original IS NULL OR page_id = original THEN NULL ELSE original END AS refers_to
+FROM d
+"""
+OP10_SQL = OP10_SQL.replace("(35 - 5 * j)", "(35 - 5 * ((i - 1) % 8))").replace("FOR k IN [", "FOR k, i IN [")
+
+
+@query(OP10_SQL)
+def op10_warc(table):
+    """Pages written as archives and read again; every record is intact."""
+    found = warc.round_trip(table("pages"))
+    return found.where(F.expr("assert_true(intact, 'a record is damaged') IS NULL")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
