@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm import decontaminate, mixing, near_dedup, quality, toxicity, warc
+from archivolt.llm import decontaminate, mixing, near_dedup, quality, topk, toxicity, warc
 from archivolt.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,24 @@ def op10_warc(table):
     """Pages written as archives and read again; every record is intact."""
     found = warc.round_trip(table("pages"))
     return found.where(F.expr("assert_true(intact, 'a record is damaged') IS NULL")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH v AS (
+    SELECT row_number() OVER () AS row_id, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+    SELECT a.row_id, a.vec_id AS query_id, b.vec_id,
+           CAST(list_sum([a.q[i] * b.q[i] FOR i IN range(1, least(len(a.q), len(b.q)) + 1)]) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.row_id <> b.row_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
+@query(OP4_SQL)
+def op4_top_k(table):
+    """The 20 best vectors for every twentieth one."""
+    return topk.nearest(table("embeddings"), lambda vec_id: vec_id % 20 == 0)
