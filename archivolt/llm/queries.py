@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm import decontaminate, mixing, near_dedup, quality, topk, toxicity, warc
+from archivolt.llm import decontaminate, mixing, near_dedup, quality, suffix_tree, topk, toxicity, warc
 from archivolt.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_
 def op4_top_k(table):
     """The 20 best vectors for every twentieth one."""
     return topk.nearest(table("embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+@query()
+def op7_suffix_tree(table):
+    """log10 probabilities of all texts under a suffix tree learnt from most of them."""
+    return suffix_tree.scored(table("documents"))
