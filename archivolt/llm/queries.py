@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm import decontaminate, mixing, near_dedup, quality, suffix_tree, topk, toxicity, warc
+from archivolt.llm import decontaminate, mixing, near_dedup, quality, quotes, suffix_tree, token_counts, topk, toxicity, warc
 from archivolt.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,15 @@ def op4_top_k(table):
 def op7_suffix_tree(table):
     """log10 probabilities of all texts under a suffix tree learnt from most of them."""
     return suffix_tree.scored(table("documents"))
+
+
+@query()
+def op1_token_counts(table):
+    """Unigram pieces of every text."""
+    return token_counts.token_counts(table("documents"), token_counts.vocabulary())
+
+
+@query()
+def op6_chat_quotations(table):
+    """Messages without quotations, with what they reply to and their place in reading order."""
+    return quotes.format_chats(table("conversations")).withColumn("path", F.concat_ws(".", "path"))
