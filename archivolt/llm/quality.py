@@ -80,8 +80,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()])], ["w"])
 
     rows = sample(docs, labels, label, folds, fold, per_class)
-    (w,), share = rows.repartition(1).mapInArrow(work, "w binary").first(), rate(labels, label, folds, fold)
-    w = np.frombuffer(w, np.float32).copy()
+    found, share = rows.repartition(1).mapInArrow(work, "w binary").collect(), rate(labels, label, folds, fold)
+    w = np.frombuffer(found[0][0], np.float32).copy() if found else np.zeros((1 << BITS) + 1, np.float32)
     w[-1] += np.log(share / (1 - share))
     return w
 

@@ -65,7 +65,7 @@ def slot_filter(hashes: DataFrame, column: str) -> np.ndarray:
     """
     slot = F.shiftrightunsigned(F.col(column), 40)
     rows = (
-        hashes.select(slot.alias("slot"))
+        hashes.where(F.col(column).isNotNull()).select(slot.alias("slot"))
         .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
         .collect()

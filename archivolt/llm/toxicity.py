@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
 
     rows = sample(docs, labels, label, folds, fold, per_class).repartition(1).mapInArrow(work, "name string, value binary").collect()
     shapes = {k: v.shape for k, v in fresh().items()}
-    return {name: np.frombuffer(value, np.float32).reshape(shapes[name]) for name, value in rows}
+    return {name: np.frombuffer(value, np.float32).reshape(shapes[name]) for name, value in rows} or fresh()
 
 
 def text_logits(p: dict[str, np.ndarray], words: Words, at_once: int = 1024) -> np.ndarray:
@@ -260,7 +260,8 @@ def score(docs: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
     """``doc_id, score`` of every text: the chance of label 1.
 
     A text that is null, empty or blank has the chance of the bias alone.
-    Repeated rows and equal texts score alike; other columns are not read.
+    Repeated rows and equal texts score alike up to the rounding of single
+    precision; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(p)
 

@@ -174,7 +174,7 @@ _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[128:] = ord("0"), ord("A"), ord
 
 
 def shapes(words: Words) -> np.ndarray:
-    """Hash of each word's shape: runs of capitals, small letters, digits, other letters, and signs as they are."""
+    """Hash of each word's shape: runs of capitals, small letters, digits, other letters and of one sign."""
     out = np.empty(len(words.hash), np.uint64)
     for lo, hi in ranges(words):
         at = words.start[lo]
