@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from archivolt import fixed
 from archivolt.functions.dialogue import parse_rules, question_topic
-from archivolt.operators.ordered import following, joined_text, newest, positions, settled
-
-# Rule tables up to this size travel with the plan as one value.
-MAX_INLINE_RULES = 2000
-
+from archivolt.operators.ordered import following, joined_text, newest, positions
+from archivolt.session import checkpoint
 
 def turn_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """User turns answered by the very next turn: conv, turn, question, answer."""
@@ -65,41 +62,23 @@ def batch_sizes(batched: DataFrame, size: int = fixed.ANALYSIS_INTERVAL, conv: s
 
 # --- rules -------------------------------------------------------------------------
 
-def forced_answers(questions: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
+# Needles are sent to tasks in parts of about so many characters.
+NEEDLE_CHARS = 8 << 20
+
+
+def forced_answers(questions: DataFrame, rules: DataFrame, text: str = "text", part: int = NEEDLE_CHARS) -> DataFrame:
     """Adds ``rule_pos`` and ``forced`` from the first rule that applies, or null.
 
-    ``rules`` holds rule_pos and rule.  A short list becomes one array value
-    that every task scans; a long one is matched through :func:`holds_word`.
+    ``rules`` holds rule_pos and rule.  Of rules with one position the smallest
+    answer counts, an answer to a topic before an answer to anything.
     """
     parsed = parse_rules(rules.select(F.col("rule_pos").cast("long").alias("rule_pos"), "rule"))
-    few = rules.limit(MAX_INLINE_RULES + 1).count() <= MAX_INLINE_RULES
-    return _inline_rules(questions, parsed, text) if few else _matched_rules(questions, parsed, text)
-
-
-def _inline_rules(questions: DataFrame, parsed: DataFrame, text: str) -> DataFrame:
-    listed = parsed.agg(F.array_sort(F.collect_list(
-        F.struct("rule_pos", "topics", "topic_answer", "any_answer"))).alias("rules")).scalar()
-
-    def topic_hit(rule: Column) -> Column:
-        return F.exists(rule["topics"], lambda w: F.contains(F.col("_low"), w))
-
-    out = settled(questions.withColumn("_rules", listed), _low=F.lower(F.col(text)))
-    out = out.withColumn("_first", F.get(F.filter(
-        "_rules", lambda rule: topic_hit(rule) | rule["any_answer"].isNotNull()), F.lit(0)))
-    first = F.col("_first")
-    # Which half of the rule spoke: its topic, else its answer to anything.
-    return out.withColumn("rule_pos", first["rule_pos"]).withColumn(
-        "forced", F.when(topic_hit(first), first["topic_answer"]).otherwise(first["any_answer"])).drop("_rules", "_low", "_first")
-
-
-def _matched_rules(questions: DataFrame, parsed: DataFrame, text: str) -> DataFrame:
-    numbered = questions.withColumn("_row", F.monotonically_increasing_id())
-    from archivolt.session import checkpoint
-
-    numbered = checkpoint(numbered)  # the numbers must not change between the two reads
-    needles = parsed.select("rule_pos", "topic_answer", F.explode("topics").alias("word"))
-    hits = holds_word(numbered.select("_row", F.lower(text).alias("_low")), needles, "_low", "word")
-    by_topic = hits.groupBy("_row").agg(F.min(F.struct("rule_pos", F.col("topic_answer").alias("answer"))).alias("_topic"))
+    # The numbers must not change between the two reads.
+    numbered = checkpoint(questions.withColumn("_row", F.monotonically_increasing_id()))
+    words = parsed.select(F.explode("topics").alias("word"), F.struct("rule_pos", F.col("topic_answer").alias("answer")).alias("_rule"))
+    words = words.groupBy("word").agg(F.min("_rule").alias("_rule"))
+    hits = holds_word(numbered.select("_row", F.lower(text).alias("_low")), words.select("word"), "_row", "_low", "word", part)
+    by_topic = hits.join(words, "word").groupBy("_row").agg(F.min("_rule").alias("_topic"))
     always = parsed.agg(F.min(F.when(
         F.col("any_answer").isNotNull(), F.struct("rule_pos", F.col("any_answer").alias("answer"))))).scalar()
     best = numbered.join(by_topic, "_row", "left").withColumn("_any", always)
@@ -109,26 +88,39 @@ def _matched_rules(questions: DataFrame, parsed: DataFrame, text: str) -> DataFr
     return best.withColumn("rule_pos", pick["rule_pos"]).withColumn("forced", pick["answer"]).drop("_row", "_topic", "_any")
 
 
-def holds_word(texts: DataFrame, needles: DataFrame, text: str, needle: str) -> DataFrame:
-    """Rows of ``texts`` with every needle they hold, without comparing all pairs.
+def holds_word(texts: DataFrame, needles: DataFrame, row: str, text: str, needle: str, part: int = NEEDLE_CHARS) -> DataFrame:
+    """``row, needle`` of every needle that a text holds.
 
-    Texts are split in their distinct pieces of three characters and meet a
-    needle by its first piece; ``contains`` then confirms.  Needles shorter
-    than three characters use pieces of their own length.
+    An automaton of the needles walks each text once, whatever their number;
+    only the row's number and the needle leave it.  Needles beyond one part's
+    size are walked part by part.
     """
-    def pieces(size: int) -> Column:
-        last = F.length(F.col(text)) - size + 1
-        cut = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(text), i, F.lit(size)))
-        return F.when(last >= 1, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
-
-    first = F.substring(F.col(needle), 1, 3)
-    keyed = needles.filter(F.length(needle) > 0).withColumn("_piece", first)
-    out = None
-    for size in (1, 2, 3):
-        rows = keyed.filter(F.length("_piece") == size)
-        cut = texts.withColumn("_piece", F.explode(pieces(size)))
-        same = cut["_piece"] == rows["_piece"]
-        met = cut.join(rows, same & F.contains(cut[text], rows[needle])).drop("_piece")
+    from collections.abc import Iterator
+
+    import ahocorasick
+    import pyarrow as pa
+
+    needles = needles.filter(F.length(needle) > 0).select(needle).distinct()
+    size = needles.agg(F.sum(F.length(needle))).first()[0] or 0
+    parts, out = 1 + int(size) // part, None
+    kind = texts.schema[row].dataType.simpleString()
+    for k in range(parts):
+        words = [r[0] for r in needles.filter(F.pmod(F.xxhash64(needle), F.lit(parts)) == k).collect()]
+
+        def run(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for word in words:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for batch in batches:
+                rows, found = [], []
+                for at, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    for word in {w for _, w in automaton.iter(held.as_py() or "")} if words else ():
+                        rows.append(at)
+                        found.append(word)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, batch.schema.field(0).type), pa.array(found, pa.string())], [row, needle])
+
+        met = texts.select(row, text).mapInArrow(run, f"{row} {kind}, {needle} string")
         out = met if out is None else out.unionByName(met)
     return out
 

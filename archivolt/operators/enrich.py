@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from archivolt.operators.ordered import first_seen
+from archivolt.session import checkpoint
 
 
 def enrich(df: DataFrame, make_client: Callable[[], Callable[[list[str]], list[str]]], prompt: str,
@@ -55,6 +56,14 @@ def enrich(df: DataFrame, make_client: Callable[[], Callable[[list[str]], list[s
     return df.mapInPandas(run, schema)
 
 
+def ask(df: DataFrame, make_client: Callable, prompt: str, out: str = "answer", error: str = "error", **options) -> DataFrame:
+    """:func:`enrich` once and for all: only a row's number and its prompt go to the model, and the answers are written down."""
+    numbered = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
+    asked = numbered.filter(F.col(prompt).isNotNull()).select("_row", prompt)
+    answers = checkpoint(enrich(asked, make_client, prompt, out, error, **options).drop(prompt))
+    return numbered.drop(out, error).join(answers, "_row", "left").drop("_row")
+
+
 def per_row(fn: Callable[[str], str]) -> Callable[[], Callable[[list[str]], list[str]]]:
     """A client factory from a function on one prompt."""
     return lambda: (lambda prompts: [fn(p) for p in prompts])
@@ -65,15 +74,16 @@ def with_cache(df: DataFrame, cache: DataFrame, make_client: Callable, prompt: s
     """Reuses a stored result when key and fingerprint match, else asks the model.
 
     A null prompt marks a row that is not worth asking about.  Rows carry
-    ``origin``: ``cached``, ``new``, ``failed`` or ``omitted``.  One pass: the
-    cache has one row per key, and its hits go through the model step unasked.
+    ``origin``: ``cached``, ``new``, ``failed`` or ``omitted``.  Answers are
+    written down, so that the model is asked once per row however often the
+    result is used.
     """
     stored = cache.select(F.col(key), F.col(fingerprint).alias("_old"), F.col(result).alias("_stored"))
     hit = F.col("_old").isNotNull() & (F.col("_old") == F.col(fingerprint))
     looked = df.join(stored, key, "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))
     looked = looked.withColumn("_ask", F.when(~F.col("_hit"), F.col(prompt))).withColumn("_open", F.col("_ask").isNotNull())
     rest = [c for c in df.columns if c != prompt]
-    asked = enrich(looked.select(*rest, "_hit", "_stored", "_open", "_ask"), make_client, "_ask", "_new", "error", partitions=partitions)
+    asked = ask(looked.select(*rest, "_hit", "_stored", "_open", "_ask"), make_client, "_ask", "_new", "error", partitions=partitions)
     origin = (
         F.when(F.col("_hit"), "cached").when(~F.col("_open"), "omitted").when(F.col("error").isNull(), "new").otherwise("failed"))
     return asked.select(*rest, F.when(F.col("_hit"), F.col("_stored")).otherwise(F.col("_new")).alias(result), "error", origin.alias("origin"))

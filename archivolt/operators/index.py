@@ -52,6 +52,7 @@ def settle_changes(looks: DataFrame, hashes: DataFrame, rebuild: bool = False) -
     return checked.withColumn("change", (
         F.when(F.col("look") == "deleted", "deleted")
         .when(F.col("look") == "same", "unchanged")
+        .when(F.col("look") == "failed", "new")
         .otherwise(change_of_checked(rebuild))))
 
 

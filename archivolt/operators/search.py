@@ -81,9 +81,42 @@ def _scan(corpus: DataFrame, block: pd.DataFrame, k: int, key: str) -> DataFrame
             out.append(_cut(pd.DataFrame({"q": rows[q], "id": ids[mask][c], "distance": distance[q, c]}), k))
         return out
 
+    wanted = {f["category"] for f, _ in groups}
+    if "" not in wanted:
+        # Every question names its category: other chunks need not be read.
+        corpus = corpus.filter(F.col("category").isin(sorted(wanted)))
     return corpus.mapInPandas(run, schema)
 
 
+def near_top_k(corpus: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", *, tables: int = 12, width: float = 0.6,
+               seed: int = 1) -> DataFrame:
+    """Like :func:`top_k` without filters, but only among chunks that share a bucket with the question.
+
+    Random projections of unit vectors are cut in buckets of ``width``;
+    ``tables`` of them are tried.  Approximate by choice: more tables or wider
+    buckets find more.  Chunks and questions meet in a join on (table, bucket),
+    so nothing is sent whole and a chunk far from all questions is never compared.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    def hashed(rows: DataFrame, name: str, model=None):
+        vectors = Normalizer(inputCol="_raw", outputCol="_unit", p=2.0).transform(
+            rows.filter("embedding IS NOT NULL").select(F.col(name), array_to_vector(F.col("embedding").cast("array<double>")).alias("_raw")))
+        model = model or BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_hash", numHashTables=tables, bucketLength=width, seed=seed).fit(vectors)
+        cut = F.posexplode(F.transform("_hash", lambda h: vector_to_array(h)[0]))
+        return model.transform(vectors).select(name, vector_to_array("_unit").alias(f"_{name}"), cut.alias("_table", "_bucket")), model
+
+    left, model = hashed(questions.select(F.col("query_id").cast("string").alias("query_id"), "embedding").dropDuplicates(["query_id"]), "query_id")
+    right, _ = hashed(corpus.select(key, "embedding"), key, model)
+    # A pair that meets in several tables is compared once.
+    pairs = left.join(right, ["_table", "_bucket"]).dropDuplicates(["query_id", key])
+    dot = F.aggregate(F.zip_with("_query_id", f"_{key}", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    scored = pairs.select("query_id", key, (F.round(1.0 - dot, 6) + 0.0).alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", key)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", key, "distance")
+
+
 def top_k(corpus: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """The ``k`` nearest chunks of every question: query_id, sub, rank, key, distance.
 
@@ -100,6 +133,10 @@ def top_k(corpus: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id"
     used = [optional[c] for c in FILTERS if c in have]
     corpus = corpus.select(
         key, "embedding", *[F.col(c).cast("string").alias(c) for c in used])
+    # A search asked twice is one search.  Of different ones under one name the
+    # smallest counts, however many questions there are.
+    same = F.min(F.struct("embedding", *FILTERS)).alias("_ask")
+    questions = questions.groupBy("query_id", "sub").agg(same).select("query_id", "sub", "_ask.*")
     hits = None
     for block in _blocks(questions):
         if len(block):
@@ -115,6 +152,12 @@ def top_k(corpus: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id"
     return checkpoint(best)
 
 
+def _bytes(block: pd.DataFrame) -> int:
+    """What a block of questions takes, its vectors, names and filters."""
+    words = sum(4 * int(block[c].dropna().str.len().sum()) for c in ("query_id", *FILTERS))
+    return words + 8 * sum(len(v) for v in block["embedding"])
+
+
 def _blocks(questions: DataFrame) -> Iterator[pd.DataFrame]:
     """Questions in blocks of a checked size.
 
@@ -125,13 +168,9 @@ def _blocks(questions: DataFrame) -> Iterator[pd.DataFrame]:
     while todo:
         part, depth = todo.pop()
         block = part.limit(BLOCK_ROWS + 1).toPandas()
-        width = 8 * max([len(v) for v in block["embedding"]], default=1)
-        if len(block) <= min(BLOCK_ROWS, max(1, BLOCK_BYTES // width)):
+        if len(block) <= 1 or len(block) <= BLOCK_ROWS and _bytes(block) <= BLOCK_BYTES:
             yield block
             continue
-        if depth == 0:
-            # A search asked twice is one search; repeats could never be divided.
-            part = part.dropDuplicates(["query_id", "sub"])
         # A different hash per level, so that halves halve again.
         half = F.pmod(F.xxhash64("query_id", "sub", F.lit(depth)), F.lit(2))
         todo += [(part.filter(half == 0), depth + 1), (part.filter(half == 1), depth + 1)]

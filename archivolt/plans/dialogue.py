@@ -31,10 +31,19 @@ aged AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) A
 last AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS position, question, {answer} AS answer FROM aged WHERE age <= {n})"""
 
 
-@query(f"WITH {history_sql(2, 0)} SELECT * FROM last")
+# Conversations here have few turns: eight in a row are one long session.
+SESSIONS_SQL = "sessions AS (SELECT conv_id // 8 AS conv_id, conv_id % 8 * 100000 + turn AS turn, role, text FROM conversations)"
+
+
+def _session_pairs(t: Tables) -> DataFrame:
+    return dl.turn_pairs(t.conversations.select(
+        F.expr("conv_id div 8").alias("conv_id"), (F.col("conv_id") % 8 * 100000 + F.col("turn")).alias("turn"), "role", "text"))
+
+
+@query(f"WITH {SESSIONS_SQL}, {history_sql(5, 0).replace('FROM conversations', 'FROM sessions')} SELECT * FROM last")
 def history_window(t: Tables) -> DataFrame:
-    """Conversations here are short, so the window keeps the last two pairs."""
-    return dl.history(_pairs(t), 2)
+    """The last five pairs of every session."""
+    return dl.history(_session_pairs(t))
 
 
 @query(f"""WITH {history_sql(5, 300)}
@@ -51,12 +60,12 @@ def reflection_history(t: Tables) -> DataFrame:
     return dl.reflection_history(_pairs(t))
 
 
-@query(f"""WITH {PAIRS_SQL},
-b AS (SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2)::BIGINT AS batch FROM pairs WHERE length(answer) > 50)
-SELECT conv_id, batch, count(*) AS pairs, min(turn) AS first_turn, max(turn) AS last_turn, count(*) = 2 AS "full" FROM b GROUP BY conv_id, batch""")
+@query(f"""WITH {SESSIONS_SQL}, {PAIRS_SQL.replace('FROM conversations', 'FROM sessions')},
+b AS (SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 5)::BIGINT AS batch FROM pairs WHERE length(answer) > 50)
+SELECT conv_id, batch, count(*) AS pairs, min(turn) AS first_turn, max(turn) AS last_turn, count(*) = 5 AS "full" FROM b GROUP BY conv_id, batch""")
 def analysis_batches(t: Tables) -> DataFrame:
-    """Batches of two, since no conversation here has more than five answers."""
-    return dl.batch_sizes(dl.analysis_batches(_pairs(t), 2), 2)
+    """Answers of every session in batches of five."""
+    return dl.batch_sizes(dl.analysis_batches(_session_pairs(t)))
 
 
 @query("""
@@ -199,9 +208,9 @@ def forced_answers(t: Tables) -> DataFrame:
 
 @query(FORCED_SQL)
 def forced_answers_long_list(t: Tables) -> DataFrame:
-    """The same through the way for rule lists too long for one value."""
+    """The same with the needles sent in several parts."""
     asked = t.conversations.filter("role = 'user'").select("conv_id", "turn", "text")
-    return dl._matched_rules(asked, dlg.parse_rules(_rules(t)), "text").select("conv_id", "turn", "rule_pos", "forced")
+    return dl.forced_answers(asked, _rules(t), part=8).select("conv_id", "turn", "rule_pos", "forced")
 
 
 # --- labels, listings ------------------------------------------------------------------
@@ -227,19 +236,19 @@ def conversation_listing(t: Tables) -> DataFrame:
     return dl.conversation_listing(t.conversations)
 
 
-@query(f"""WITH p AS (SELECT conv_id, {PREVIEW_SQL} AS p FROM conversations WHERE role = 'user' AND turn <= 1)
+@query(f"""WITH p AS (SELECT conv_id, arg_min({PREVIEW_SQL}, turn) AS p FROM conversations WHERE role = 'user' GROUP BY conv_id)
 SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'Chat ' || conv_id WHEN length(p) > 35 THEN substr(p, 1, 32) || '...' ELSE p END AS title FROM p""")
 def chat_titles(t: Tables) -> DataFrame:
-    first = t.conversations.filter("role = 'user' and turn <= 1")
+    first = t.conversations.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     name = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Chat "), F.col("conv_id").cast("string"))).otherwise("Nuevo chat")
     return first.select("conv_id", dlg.chat_title(name, "text").alias("title"))
 
 
-@query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+@query(f"""SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id""")
 def newest_first(t: Tables) -> DataFrame:
-    """A newest-first listing: top rows by date, without a full sort."""
-    top = t.orders.select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
-    return top.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    """The whole listing of conversations, those last written to first."""
+    listed = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.max("turn").alias("last_turn"))
+    return listed.orderBy(F.desc("last_turn"), "conv_id")
 
 
 @query("""SELECT CASE lang WHEN 'en' THEN 'id' || doc_id ELSE 'file' || doc_id END AS id, CASE lang WHEN 'fr' THEN 'Sin nombre' ELSE source END AS name,

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from archivolt import fixed
 from archivolt.functions import html, paths
 from archivolt.functions.text import _col
 
-# Beyond this many changed files their paths are no longer listed one by one.
-MAX_LISTED_PATHS = 20_000
-
-
 def _root_uri(spark: SparkSession, root: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -50,25 +44,23 @@ def _relative(files: DataFrame, base: str) -> DataFrame:
 
 
 def read_bodies(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Bodies of the files in ``wanted`` (by ``rel_path``), joined with its columns.
+    """Bodies of the files in ``wanted`` (rel_path, modified_us), joined with its columns.
 
-    A short list of paths is read directly; a long one would burden the
-    driver, so then the folder is read and joined with the list instead.
-    Without a list all library files are read.
+    The folder is listed by Spark and joined on the path, so names may hold any
+    sign and no list passes the driver.  The reader opens only files whose time
+    lies in the range of the wanted ones; for the changes since a last run that
+    leaves out the old ones.  Without a list all library files are read.
     """
     base = _root_uri(spark, root)
-    folder = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    columns = ["path", "length", "modificationTime", "content"]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime", "content")
     if wanted is None:
-        return _relative(folder.load(root).select(*columns), base).filter(is_library_file("rel_path"))
-    listed = [base + r[0] for r in wanted.select("rel_path").limit(MAX_LISTED_PATHS + 1).collect()]
-    if not listed:
-        files = folder.load(root).limit(0)
-    elif len(listed) <= MAX_LISTED_PATHS:
-        files = spark.read.format("binaryFile").load(listed)
+        return _relative(files, base).filter(is_library_file("rel_path"))
+    first, last = wanted.agg(F.min("modified_us"), F.max("modified_us")).first()
+    if first is None:
+        files = files.limit(0)
     else:
-        files = folder.load(root)
-    return _relative(files.select(*columns), base).join(wanted, "rel_path")
+        files = files.filter(F.col("modificationTime").between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))))
+    return _relative(files, base).join(wanted.drop("modified_us"), "rel_path")
 
 
 def decode_text(content) -> Column:
@@ -139,7 +131,3 @@ def extraction_route(pages: DataFrame, doc: str = "doc_id", text: str = "text")
         F.when(direct, "direct").otherwise("recognise").alias("route"),
         F.when(direct, F.lit(0)).otherwise(F.least(F.col("pages"), F.lit(fixed.OCR_MAX_PAGES))).cast("long").alias("recognise_pages"),
     )
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -5,6 +5,7 @@ Layout below the index folder::
     commits/00000007.json    what version 7 consists of
     chunks/<run>/            chunks written by one run (a segment), never changed
     dead/<run>/              (doc_id, segment) pairs that a run retired
+    failed/<run>/            size and time of documents that gave no chunks
     manifest/<run>/          one row per document
 
 A run writes only what changed, and the manifest, and then creates its commit
@@ -19,7 +20,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from archivolt import fixed
@@ -29,7 +32,30 @@ from archivolt.operators.ordered import rows_of
 from archivolt.sources import library as lib
 
 DEAD_SCHEMA = "doc_id string, segment string"
-EMPTY = {"version": 0, "segments": [], "dead": [], "manifest": None, "batches": {}}
+EMPTY = {"version": 0, "segments": [], "dead": [], "manifest": None, "failed": None, "batches": {}}
+FAILED_SCHEMA = "rel_path string, size_bytes long, modified_us long, error string"
+
+
+# So often a run begins anew because another one was faster.
+TRIES = 5
+
+
+class Overtaken(RuntimeError):
+    """Another run published a version meanwhile."""
+
+
+def _again(run: Callable):
+    """A run that is overtaken begins anew from the state that overtook it."""
+    @wraps(run)
+    def tried(*args, **options):
+        for attempt in range(TRIES):
+            try:
+                return run(*args, **options)
+            except Overtaken:
+                if attempt == TRIES - 1:
+                    raise
+
+    return tried
 
 
 class ChunkIndex:
@@ -49,17 +75,21 @@ class ChunkIndex:
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
     def state(self) -> dict:
-        """The newest readable version; a broken or foreign commit is set aside."""
-        for version in reversed(self._commits()):
+        """The newest readable version.  A broken or foreign commit is passed over and left where it is.
+
+        ``version`` is the newest number in use, so the next run never takes the
+        number of a commit that it could not read.
+        """
+        commits = self._commits()
+        for version in reversed(commits):
             try:
                 state = json.loads(self._read(f"{self.path}/commits/{version:08d}.json"))
                 if state["schema_version"] != fixed.MANIFEST_SCHEMA_VERSION:
                     raise ValueError("other schema version")
-                return {**EMPTY, **state}
+                return {**EMPTY, **state, "version": commits[-1]}
             except (ValueError, KeyError, TypeError):
-                self._fs.rename(self._path(f"{self.path}/commits/{version:08d}.json"),
-                                self._path(f"{self.path}/commits/{version:08d}.json.corrupt"))
-        return dict(EMPTY)
+                continue
+        return {**EMPTY, "version": commits[-1] if commits else 0}
 
     def _read(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
@@ -68,15 +98,13 @@ class ChunkIndex:
         finally:
             stream.close()
 
-    def _next_version(self) -> int:
-        folder = self._path(f"{self.path}/commits")
-        used = [0]
-        if self._fs.exists(folder):
-            used += [int(s.getPath().getName()[:8]) for s in self._fs.listStatus(folder) if s.getPath().getName()[:8].isdigit()]
-        return max(used) + 1
-
     def _publish(self, state: dict) -> None:
-        """Writes the commit aside and renames it; a lost race raises."""
+        """Writes the commit aside and renames it to the number after the state that the run began with.
+
+        The rename does not replace: if another run published meanwhile it
+        fails, and this run has to begin anew from that state.  That takes a
+        file system whose rename is atomic.
+        """
         state = {**state, "schema_version": fixed.MANIFEST_SCHEMA_VERSION}
         final = self._path(f"{self.path}/commits/{state['version']:08d}.json")
         aside = self._path(f"{self.path}/commits/.{uuid.uuid4().hex}.tmp")
@@ -86,9 +114,16 @@ class ChunkIndex:
             stream.hsync() if hasattr(stream, "hsync") else stream.flush()
         finally:
             stream.close()
-        if self._fs.exists(final) or not self._fs.rename(aside, final):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        files = hadoop.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        keep = self.spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            files.rename(self._fs.makeQualified(aside), self._fs.makeQualified(final), keep)
+        except Py4JJavaError as problem:
             self._fs.delete(aside, False)
-            raise RuntimeError(f"version {state['version']} was published by another run")
+            if self._fs.exists(final):
+                raise Overtaken(f"version {state['version']} was published by another run") from problem
+            raise
 
     # --- reading -----------------------------------------------------------
 
@@ -123,9 +158,9 @@ class ChunkIndex:
     # --- writing -----------------------------------------------------------
 
     def _apply(self, run: str, segment: bool, retired: DataFrame, manifest: DataFrame, state: dict,
-               batch: tuple[str, int] | None = None) -> int:
+               batch: tuple[str, int] | None = None, failed: DataFrame | None = None, whole: bool = True) -> int:
         """Publishes a version: the segment of ``run`` in, documents of ``retired`` out."""
-        version = self._next_version()
+        version = state["version"] + 1
         new = {**state, "version": version, "segments": list(state["segments"]), "dead": list(state["dead"]),
                "batches": dict(state["batches"])}
         if state["manifest"] is not None:
@@ -136,19 +171,30 @@ class ChunkIndex:
             new["segments"].append(run)
         manifest.write.parquet(f"{self.path}/manifest/{run}")
         new["manifest"] = f"manifest/{run}"
+        if failed is not None:
+            failed = failed.select("rel_path", "size_bytes", "modified_us", "error")
+            if not whole and state["failed"]:
+                # A part of the library says nothing about the rest.
+                failed = failed.unionByName(self._failed(state).join(failed, "rel_path", "left_anti"))
+            failed.write.parquet(f"{self.path}/failed/{run}")
+            new["failed"] = f"failed/{run}"
         if batch:
             new["batches"][batch[0]] = batch[1]
         self._publish(new)
         return version
 
+    @_again
     def sync(self, library: DataFrame, fetch: Callable[[DataFrame | None], DataFrame], indexed_at: str, *,
-             rebuild: bool = False, remove_missing: bool = True, batch: tuple[str, int] | None = None) -> DataFrame:
+             rebuild: bool = False, remove_missing: bool = True, batch: tuple[str, int] | None = None,
+             again: DataFrame | None = None) -> DataFrame:
         """Brings the index up to the library and returns the outcome per path.
 
         ``library`` holds rel_path, size_bytes and modified_us.  ``fetch`` is
         asked only for the paths that need a look at their content, or with
         None for all of them; it gives rel_path, content_sha256, name,
-        category, size_kb, ok, text and error, joined with what it was given.
+        category, size_kb, ok, text and error, joined with what it was given.  A
+        new document that failed before is not read again while its size and
+        time stay, unless its path is in ``again``.
         """
         run, state = uuid.uuid4().hex, self.state()
         manifest = self.manifest(state)
@@ -157,15 +203,17 @@ class ChunkIndex:
             looks = looks.filter("look <> 'deleted'")
         # Decided once and written down: what follows must not see it change.
         stage = f"{self.path}/stage/{run}"
+        looks = self._failed_before(looks, state, rebuild, again)
         looks.write.parquet(f"{stage}/looks")
         looks = self.spark.read.parquet(f"{stage}/looks")
         seen = looks.agg(
             F.count(F.lit(1)).alias("all"), F.count_if(F.col("look") == "new").alias("new"),
-            F.count_if(F.col("look") == "same").alias("same")).first()
+            F.count_if(F.col("look").isin("same", "failed")).alias("same")).first()
         if seen["same"] == seen["all"] and not batch:
             none = self.manifest(state).select("rel_path", "chunk_count").limit(0)
-            return ops.sync_items(looks.withColumn("change", F.lit("unchanged")), none)
-        wanted = looks.filter("look in ('new', 'check')").select("rel_path", "look", "_sha", "_last")
+            change = F.when(F.col("look") == "failed", "new").otherwise("unchanged")
+            return self._with_reasons(ops.sync_items(looks.withColumn("change", change), none), looks.filter("look = 'failed'").select("rel_path", "_why"))
+        wanted = looks.filter("look in ('new', 'check')").select("rel_path", "look", "_sha", "_last", "modified_us")
         if seen["new"] == seen["all"]:
             # A first build wants every text: nothing to join with.
             asked = fetch(None).select("*", F.lit("new").alias("look"), *[F.lit(None).cast("string").alias(c) for c in ("_sha", "_last")])
@@ -186,7 +234,7 @@ class ChunkIndex:
         counts = fresh.groupBy(F.col("doc_id").alias("rel_path")).agg(F.count(F.lit(1)).alias("chunk_count"))
         items = ops.sync_items(changes, counts)
         reasons = asked.filter(moved & ~F.col("ok")).select("rel_path", F.col("error").alias("_why"))
-        items = items.join(reasons, "rel_path", "left").withColumn("error", F.coalesce("_why", "error")).drop("_why")
+        items = self._with_reasons(items, reasons.unionByName(looks.filter("look = 'failed'").select("rel_path", "_why")))
         items.write.parquet(f"{stage}/items")
         items = self.spark.read.parquet(f"{stage}/items")
 
@@ -196,9 +244,27 @@ class ChunkIndex:
         if work["moved"] or batch:
             retired = items.filter("status in ('indexed', 'deleted')").select(F.col("rel_path").alias("doc_id"))
             self._apply(run, bool(work["indexed"]), retired,
-                        ops.next_manifest(manifest, changes, items, indexed_at, run), state, batch)
+                        ops.next_manifest(manifest, changes, items, indexed_at, run), state, batch,
+                        changes.join(items.filter("status = 'failed' and change = 'new'").select("rel_path", "error"), "rel_path"), remove_missing)
         return items
 
+    def _failed(self, state: dict) -> DataFrame:
+        return self.spark.read.schema(FAILED_SCHEMA).parquet(f"{self.path}/{state['failed']}")
+
+    def _failed_before(self, looks: DataFrame, state: dict, rebuild: bool, again: DataFrame | None) -> DataFrame:
+        """Adds ``_why``; a new document that failed before with the same size and time has the look ``failed`` and is not read."""
+        if not state["failed"] or rebuild:
+            return looks.withColumn("_why", F.lit(None).cast("string"))
+        before = self._failed(state).select("rel_path", F.col("size_bytes").alias("_s"), F.col("modified_us").alias("_m"), F.col("error").alias("_why"))
+        if again is not None:
+            before = before.join(again.select("rel_path").distinct(), "rel_path", "left_anti")
+        same = (F.col("look") == "new") & (F.col("_s") == F.col("size_bytes")) & (F.col("_m") == F.col("modified_us"))
+        return looks.join(before, "rel_path", "left").withColumn("look", F.when(same, "failed").otherwise(F.col("look"))).drop("_s", "_m")
+
+    @staticmethod
+    def _with_reasons(items: DataFrame, reasons: DataFrame) -> DataFrame:
+        return items.join(reasons, "rel_path", "left").withColumn("error", F.coalesce("_why", "error")).drop("_why")
+
     def sync_folder(self, root: str, indexed_at: str, *, extracted: DataFrame | None = None,
                     rebuild: bool = False) -> DataFrame:
         """:meth:`sync` with the files below ``root``; bodies are read only where needed."""
@@ -206,7 +272,7 @@ class ChunkIndex:
             bodies = lib.read_bodies(self.spark, root, wanted)
             return lib.load_documents(bodies.withColumn("content_sha256", F.sha2("content", 256)), extracted)
 
-        return self.sync(lib.scan(self.spark, root), fetch, indexed_at, rebuild=rebuild)
+        return self.sync(lib.scan(self.spark, root), fetch, indexed_at, rebuild=rebuild, again=extracted)
 
     def sync_table(self, documents: DataFrame, indexed_at: str, **options) -> DataFrame:
         """:meth:`sync` with a table of rel_path, size_bytes, modified_us and text."""
@@ -217,6 +283,7 @@ class ChunkIndex:
 
         return self.sync(documents, fetch, indexed_at, **options)
 
+    @_again
     def delete(self, wanted: DataFrame) -> DataFrame:
         """Removes documents (rel_path in ``doc_id``); asking twice does no harm."""
         wanted = wanted.select(normalise("doc_id").alias("doc_id")).distinct()
@@ -234,13 +301,14 @@ class ChunkIndex:
             self._apply(run, False, gone, kept, state)
         return report
 
+    @_again
     def compact(self) -> int:
         """Rewrites the live chunks as one segment, so that reading needs no join."""
         state = self.state()
         live = self.chunks(state)
         if live is None:
             return state["version"]
-        run, version = uuid.uuid4().hex, self._next_version()
+        run, version = uuid.uuid4().hex, state["version"] + 1
         live.drop("segment").write.parquet(f"{self.path}/chunks/{run}")
         self.manifest(state).withColumn("segment", F.lit(run)).write.parquet(f"{self.path}/manifest/{run}")
         self._publish({**state, "version": version, "segments": [run], "dead": [], "manifest": f"manifest/{run}"})
@@ -252,8 +320,8 @@ class ChunkIndex:
         Not to be called while another run writes or an old version is read.
         """
         state = self.state()
-        used = {f"chunks/{s}" for s in state["segments"]} | set(state["dead"]) | {state["manifest"]}
-        for kind in ("chunks", "dead", "manifest", "stage"):
+        used = {f"chunks/{s}" for s in state["segments"]} | set(state["dead"]) | {state["manifest"], state["failed"]}
+        for kind in ("chunks", "dead", "manifest", "failed", "stage"):
             folder = self._path(f"{self.path}/{kind}")
             if self._fs.exists(folder):
                 for entry in self._fs.listStatus(folder):

@@ -69,15 +69,17 @@ RULES = [
 ]
 
 
-@pytest.mark.parametrize("limit", [2000, 1])
-def test_rules(spark, monkeypatch, limit):
-    monkeypatch.setattr(dl, "MAX_INLINE_RULES", limit)
+@pytest.mark.parametrize("part", [dl.NEEDLE_CHARS, 1])
+def test_rules(spark, part):
     rules = spark.createDataFrame(RULES, "rule_pos int, rule string")
     asked = spark.createDataFrame([("¿Cómo está el CLIMA,?",), ("quién es messi",), ("zzz",)], "text string")
-    got = {r["text"]: (r["rule_pos"], r["forced"]) for r in dl.forced_answers(asked, rules).collect()}
+    got = {r["text"]: (r["rule_pos"], r["forced"]) for r in dl.forced_answers(asked, rules, part=part).collect()}
     assert got == {"¿Cómo está el CLIMA,?": (1, "llueve"), "quién es messi": (2, "el mejor"), "zzz": (4, "hola")}
     none = dl.forced_answers(asked, rules.filter("rule_pos = 0")).select("forced").collect()
     assert [r[0] for r in none] == [None] * 3
+    shared = spark.createDataFrame([(1, "si te pregunto por x responde omega"), (1, "si te pregunto por x responde abc"), (1, "siempre responde aa")], "rule_pos int, rule string")
+    one = dl.forced_answers(spark.createDataFrame([("x y",), ("q",)], "text string"), shared, part=part).collect()
+    assert {r["text"]: r["forced"] for r in one} == {"x y": "abc", "q": "aa"}
 
 
 def test_rule_classes(spark):
@@ -223,6 +225,20 @@ def test_cache_reuses_and_replaces(spark):
     assert {r["key"]: r["result"] for r in en.updated_cache(cache, done).collect()} == {"a": "old", "b": "new"}
 
 
+def test_cached_results_ask_once_however_often_they_are_used(spark, scratch):
+    def one(prompt):
+        with open(f"{scratch}/calls", "a") as f:
+            f.write(prompt + "\n")
+        return "new"
+
+    docs = spark.createDataFrame([(f"k{i}", "1", f"p{i}") for i in range(10)], "key string, fingerprint string, prompt string")
+    cache = spark.createDataFrame([("k0", "1", "old")], "key string, fingerprint string, result string")
+    done = en.with_cache(docs, cache, en.per_row(one), "prompt")
+    assert en.updated_cache(cache, done).count() == 10 and en.run_counts(done).first()["new"] == 9 and done.count() == 10
+    with open(f"{scratch}/calls") as f:
+        assert sorted(f.read().split()) == [f"p{i}" for i in range(1, 10)]
+
+
 def test_model_is_asked_once_per_row(spark, scratch):
     """Rows that failed and rows that did not come from one pass."""
     def one(prompt):

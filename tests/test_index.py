@@ -135,16 +135,50 @@ def test_two_runs_cannot_publish_one_version(spark, scratch):
         index._publish({**index.state()})
 
 
-def test_broken_commit_is_set_aside(spark, scratch):
+def test_a_run_that_is_overtaken_begins_anew(spark, scratch, monkeypatch):
+    """Another run publishes between this one's first look and its own commit; both documents are there afterwards."""
+    index, other = ChunkIndex(spark, scratch), ChunkIndex(spark, scratch)
+    index.sync_table(table(spark, V1[:1]), "t1")
+    calls, publish = [], ChunkIndex._publish
+
+    def slow(self, state):
+        if self is index and not calls:
+            calls.append(1)
+            other.sync_table(table(spark, V1[:2]), "other", remove_missing=False)
+        publish(self, state)
+
+    monkeypatch.setattr(ChunkIndex, "_publish", slow)
+    index.sync_table(table(spark, V1[2:3]), "t2", remove_missing=False)
+    assert calls and set(consistent(index)) == {r[0] for r in V1[:3]}
+    assert index.state()["version"] == 3 and not [n for n in os.listdir(scratch + "/commits") if n.endswith(".tmp")]
+
+
+def test_documents_too_short_are_not_read_again(spark, scratch):
+    index = ChunkIndex(spark, scratch)
+    rows = V1 + [("z/short.md", "corto", 1)]
+    first = index.sync_table(table(spark, rows), "t1")
+    assert outcome(first)["z/short.md"] == ("new", "failed")
+    version = index.state()["version"]
+
+    def fetch(wanted):
+        raise AssertionError("a text was asked for")
+
+    again = index.sync(table(spark, rows).drop("text"), fetch, "t2")
+    assert outcome(again)["z/short.md"] == ("new", "failed") and again.filter("status = 'failed'").first()["error"]
+    assert index.state()["version"] == version
+    grown = V1 + [("z/short.md", BODY, 2)]
+    assert outcome(index.sync_table(table(spark, grown), "t3"))["z/short.md"] == ("new", "indexed")
+
+
+def test_broken_commit_is_passed_over(spark, scratch):
     index = ChunkIndex(spark, scratch)
     index.sync_table(table(spark, V1[:2]), "t1")
     with open(f"{scratch}/commits/00000002.json", "w") as f:
         f.write("{broken")
     with open(f"{scratch}/commits/00000003.json", "w") as f:
         f.write('{"schema_version": 99, "version": 3}')
-    assert index.state()["version"] == 1 and len(consistent(index)) == 2
-    assert sorted(n for n in os.listdir(scratch + "/commits") if n.endswith(".corrupt")) == [
-        "00000002.json.corrupt", "00000003.json.corrupt"]
+    assert index.state()["version"] == 3 and len(consistent(index)) == 2
+    assert sorted(os.listdir(scratch + "/commits"))[-2:] == ["00000002.json", "00000003.json"]
     index.sync_table(table(spark, V1), "t2")
     assert index.state()["version"] == 4
 
@@ -191,8 +225,19 @@ def test_stat_look_reads_no_bodies(spark, scratch):
     assert "content" not in plan.split("ReadSchema")[1]
 
 
-def test_long_list_of_paths_is_joined(spark, scratch, monkeypatch):
+def test_names_may_hold_any_sign(spark, scratch):
+    names = ["nota [1].md", "a{b,c}.md", "x*y.md", "q?.md", "back\\slash.md", "plain.md", "50%.md"]
+    names = [n for n in names if "\\" not in n]
+    write(scratch, {f"lib/{n}": (BODY + n).encode() for n in names})
+    index = ChunkIndex(spark, scratch + "/index")
+    index.sync_folder(scratch + "/lib", "t1")
+    assert set(consistent(index)) == set(names)
+    write(scratch, {f"lib/{n}": (BODY * 2 + n).encode() for n in names[:4]})
+    assert {k for k, v in outcome(index.sync_folder(scratch + "/lib", "t2")).items() if v == ("modified", "indexed")} == set(names[:4])
+
+
+def test_bodies_of_wanted_files_only(spark, scratch):
     write(scratch, {f"{i}.md": b"x" * i for i in range(1, 6)})
-    monkeypatch.setattr(lib, "MAX_LISTED_PATHS", 2)
-    wanted = spark.createDataFrame([(f"{i}.md",) for i in (1, 3, 5)], "rel_path string")
+    wanted = lib.scan(spark, scratch).filter("rel_path in ('1.md', '3.md', '5.md')").select("rel_path", "modified_us")
     assert {r[0] for r in lib.read_bodies(spark, scratch, wanted).select("rel_path").collect()} == {"1.md", "3.md", "5.md"}
+    assert lib.read_bodies(spark, scratch, wanted.limit(0)).count() == 0

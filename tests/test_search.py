@@ -39,13 +39,26 @@ def test_top_k(spark, data, monkeypatch, block):
     assert hits(se.top_k(corpus, questions, 7)) == {q: brute(rows, v, 7) for q, v in asked}
 
 
-def test_repeated_questions_are_one_search(spark, data, monkeypatch):
+@pytest.mark.parametrize("block", [2, 2048])
+def test_repeated_questions_are_one_search(spark, data, monkeypatch, block):
     rows, asked, corpus = data
-    monkeypatch.setattr(se, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(se, "BLOCK_ROWS", block)
     questions = spark.createDataFrame(asked[:1] * 9, "query_id string, embedding array<double>")
     assert hits(se.top_k(corpus, questions, 3)) == {"q0": brute(rows, asked[0][1], 3)}
 
 
+def test_buckets_find_most_of_the_nearest(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    rows = [(f"c{i:03d}", [float(x) for x in centres[i % 12] + 0.15 * rng.normal(size=16)]) for i in range(240)]
+    asked = [(f"q{i}", [float(x) for x in centres[i]]) for i in range(12)]
+    corpus = spark.createDataFrame(rows, "chunk_id string, embedding array<double>").repartition(4)
+    questions = spark.createDataFrame(asked + asked[:1], "query_id string, embedding array<double>")
+    near, exact = hits(se.near_top_k(corpus, questions, 5)), hits(se.top_k(corpus, questions, 5))
+    found = sum(len(set(near.get(q, [])) & set(want)) for q, want in exact.items())
+    assert found >= 0.9 * 60 and all(len(v) <= 5 for v in near.values())
+
+
 def test_filters(spark, data):
     rows, asked, corpus = data
     wanted = [(q, v, c, h) for (q, v), (c, h) in zip(asked, [("k1", None), (None, "capitulo_2"), ("k2", "capitulo_1"), ("none", None)])]
