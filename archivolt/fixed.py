@@ -143,6 +143,15 @@ MEMORY_ANSWER_CHARS = 300
 
 # --- exam ------------------------------------------------------------------
 EXAM_DEFAULT_TOTAL = 10
+EXAM_LABELS = ["ENUNCIADO", "OPCIONES", "RESPUESTA", "JUSTIFICACION", "CRITERIOS", "PUNTAJE"]
+# Fixed patterns: what a request says besides its material, cut in this order.
+EXAM_REQUEST_PARTS = [
+    r"^(hazme|dame|quiero|necesito|genera|crea|hacé|da)\s*\d*\s*preguntas?\s*(de|sobre|del)?\s*",
+    r",?\s*\d+\s*preguntas?\s*(?:aleatori[ao]s?)?\s*,?\s*",
+    r",?\s*\d+\s*(?:conceptuales|desarrollo|verdadero\s*y?\s*falso|v/?f).*",
+    r"\b(cap[íi]tulo\s*\d+(\s*(al|a|y|hasta)\s*\d+)?)\b",
+    r"\s*,\s*$",
+]
 EXAM_PASS_SHARE = 0.7
 EXAM_NO_ANSWER = "No especificada"
 EXAM_DEFAULT_CRITERIA = "Evaluar precisión conceptual y completitud"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import functions as F, types as T
@@ -12,52 +13,45 @@ from archivolt import fixed
 _BLANK = " \t\n\r\x0b\x0c"
 
 
-class _Reader(HTMLParser):
-    """Collects runs of text and link targets; ``hidden`` tags lose their text."""
+class _Events(HTMLParser):
+    """Markup as a flat list: ("+", tag, attributes), ("-", tag), ("=", text), ("!",) for a comment."""
 
-    def __init__(self, hidden: list[str], join_runs: bool):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.hidden, self.join_runs = set(hidden), join_runs
-        self.depth, self.fresh = 0, True
-        self.runs: list[str] = []
-        self.hrefs: dict[str, None] = {}
+        self.found: list[tuple] = []
 
     def handle_starttag(self, tag, attrs):
-        self.fresh = True
-        if tag in self.hidden:
-            self.depth += 1
-        if tag == "a":
-            target = dict(attrs).get("href")
-            if target:
-                self.hrefs[target] = None
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        self.handle_endtag(tag)
+        self.found.append(("+", tag, attrs))
 
     def handle_endtag(self, tag):
-        self.fresh = True
-        if tag in self.hidden and self.depth:
-            self.depth -= 1
+        self.found.append(("-", tag))
+
+    def handle_data(self, data):
+        self.found.append(("=", data))
 
     def handle_comment(self, data):
-        self.fresh = True
+        self.found.append(("!",))
 
-    def handle_data(self, data):
-        if self.depth:
-            return
-        if self.join_runs and not self.fresh:
-            self.runs[-1] += data
-        else:
-            self.runs.append(data)
-        self.fresh = False
+
+def _events(html: str) -> list[tuple]:
+    parser = _Events()
+    parser.feed(html)
+    parser.close()
+    return parser.found
 
 
-def _read(html: str, hidden: list[str], join_runs: bool) -> _Reader:
-    reader = _Reader(hidden, join_runs)
-    reader.feed(html)
-    reader.close()
-    return reader
+def _shown(events: list[tuple], hidden: list[str]) -> list[tuple[int, str]]:
+    """Texts outside hidden tags, each with the number of markup events before it."""
+    out, inside, marks = [], 0, 0
+    for kind, *what in events:
+        if kind == "=":
+            if not inside:
+                out.append((marks, what[0]))
+            continue
+        marks += 1
+        if kind in "+-" and what[0] in hidden:
+            inside = inside + 1 if kind == "+" else max(0, inside - 1)
+    return out
 
 
 @F.pandas_udf(T.StringType())
@@ -66,7 +60,9 @@ def document_text(html: pd.Series) -> pd.Series:
     def one(source):
         if source is None:
             return None
-        runs = _read(source, fixed.HTML_HIDDEN_TAGS, True).runs
+        # Texts with no markup between them are one run.
+        shown = groupby(_shown(_events(source), fixed.HTML_HIDDEN_TAGS), key=lambda run: run[0])
+        runs = ["".join(text for _, text in run) for _, run in shown]
         # A run of blanks alone counts as one line end or one space.
         return " ".join(r if r.strip(_BLANK) else ("\n" if "\n" in r else " ") for r in runs)
     return html.map(one)
@@ -79,7 +75,9 @@ def page_content(html: pd.Series) -> pd.DataFrame:
     """Visible text of a web page and its link targets, menus left out of the text."""
     texts, links = [], []
     for source in html:
-        reader = _read(source or "", fixed.HTML_SKIP_TAGS, False)
-        texts.append(" ".join(r.strip() for r in reader.runs if r.strip()))
-        links.append(list(reader.hrefs))
+        events = _events(source or "")
+        shown = (text.strip() for _, text in _shown(events, fixed.HTML_SKIP_TAGS))
+        texts.append(" ".join(text for text in shown if text))
+        targets = (dict(e[2]).get("href") for e in events if e[0] == "+" and e[1] == "a")
+        links.append(list(dict.fromkeys(t for t in targets if t)))
     return pd.DataFrame({"text": texts, "hrefs": links})

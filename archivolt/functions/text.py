@@ -93,11 +93,17 @@ def chapter_label(c) -> Column:
     return F.when(likely & found.isNotNull(), F.concat(F.lit("capitulo_"), number))
 
 
-def chapter_request(c, extra_word: str = "") -> Column:
+# Of a range of chapters so many are named at most; searches look at the first five.
+NAMED_CHAPTERS = 1000
+
+
+def chapter_request(c, extra_word: str = "", named: int = NAMED_CHAPTERS) -> Column:
     """Chapters a question asks for: a range, else a single one, else null.
 
     ``extra_word`` adds another range word (exam requests also say ``hasta``).
-    A range that runs backwards asks for nothing and gives an empty list.
+    A range that runs backwards asks for nothing and gives an empty list; of a
+    longer one than ``named`` the first so many are named, whatever the question
+    says.
     """
     c = _col(c)
     joiner = "al|a|y" + (f"|{extra_word}" if extra_word else "")
@@ -107,7 +113,7 @@ def chapter_request(c, extra_word: str = "") -> Column:
     single = F.nullif(F.regexp_extract(c, r"(?iuU)cap[íi]tulo\s+(\d+)", 1), F.lit(""))
     label = lambda n: F.concat(F.lit("capitulo_"), n.cast("string"))
     return (
-        F.when(low.isNotNull() & high.isNotNull() & (low <= high), F.transform(F.sequence(low, high), label))
+        F.when(low.isNotNull() & high.isNotNull() & (low <= high), F.transform(F.sequence(low, F.least(high, low + (named - 1))), label))
         .when(c.rlike(span), F.array().cast("array<string>"))
         .when(single.isNotNull(), F.array(label(single)))
     )
@@ -116,6 +122,7 @@ def chapter_request(c, extra_word: str = "") -> Column:
 # --- chunks -----------------------------------------------------------------
 
 _CHUNK = "array<struct<text:string,chapter:string>>"
+_RUN = 128
 
 
 def chunk_text(c, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP) -> Column:
@@ -136,7 +143,10 @@ def chunk_text(c, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERL
     low = F.lower(_col(c))
     may_name = has_any(low, fixed.CHAPTER_STEMS)
     paragraphs = F.when(may_name, cut(chapter_label)).otherwise(cut(lambda p: F.lit(None).cast("string")))
+    # Closed chunks gather in runs, and full runs in a list of runs: appending to
+    # one long list would copy it for every chunk of a long text.
     start = F.struct(
+        F.array().cast(f"array<{_CHUNK}>").alias("runs"),
         F.array().cast(_CHUNK).alias("done"),
         F.lit("").alias("open"),
         F.lit(None).cast("string").alias("chapter"),
@@ -146,8 +156,10 @@ def chunk_text(c, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERL
         chapter = F.coalesce(p["chapter"], acc["chapter"])
         full = (acc["open"] != "") & (F.length(acc["open"]) + p["n"] > size)
         closed = F.array(F.struct(strip(acc["open"]).alias("text"), chapter.alias("chapter")))
+        turn = full & (F.size(acc["done"]) >= _RUN)
         return F.struct(
-            F.when(full, F.concat(acc["done"], closed)).otherwise(acc["done"]).alias("done"),
+            F.when(turn, F.concat(acc["runs"], F.array(acc["done"]))).otherwise(acc["runs"]).alias("runs"),
+            F.when(turn, closed).when(full, F.concat(acc["done"], closed)).otherwise(acc["done"]).alias("done"),
             F.when(full, F.concat(F.right(acc["open"], F.lit(overlap)), p["text"]))
             .otherwise(F.concat(acc["open"], F.lit("\n\n"), p["text"])).alias("open"),
             chapter.alias("chapter"),
@@ -156,7 +168,7 @@ def chunk_text(c, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERL
     def close(acc):
         # An empty rest falls to the minimum length below.
         last = F.array(F.struct(strip(acc["open"]).alias("text"), acc["chapter"].alias("chapter")))
-        return F.concat(acc["done"], last)
+        return F.concat(F.flatten(acc["runs"]), acc["done"], last)
 
     gathered = F.aggregate(paragraphs, start, step, close)
     windows = F.flatten(F.transform(gathered, lambda k: F.when(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from archivolt.operators import dialogue as dl, enrich as en, jobs
 from archivolt.plans import Tables, query
+from archivolt.session import scratch_folder
 from archivolt.plans.dialogue import PAIRS_SQL, ROUTE_WORDS
 from archivolt.plans.library import NL, strip_sql
 from archivolt.sources import records
@@ -117,6 +118,15 @@ def memory_view(t: Tables) -> DataFrame:
     return records.memory_view(_notes(t).filter("status = 'saved'"))
 
 
+@query(f"WITH {NOTE_SQL} SELECT category, summary, reason, count(*) AS notes FROM notes WHERE status = 'saved' GROUP BY ALL")
+def memory_table(t: Tables) -> DataFrame:
+    """The memory after two days of notes were added to it, read back from its folder."""
+    notes, folder = _notes(t), f"{scratch_folder(t.spark)}/memory"
+    for day in (0, 1):
+        records.append_memory(notes.filter(F.col("conv_id") % 2 == day), folder)
+    return t.spark.read.parquet(folder).groupBy("category", "summary", "reason").agg(F.count(F.lit(1)).alias("notes"))
+
+
 # --- study notes -------------------------------------------------------------------------
 # Labelled documents are in the cache; where the quality is 0 the fingerprint is old.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from archivolt import fixed
 from archivolt.functions import paths, text as tx
 from archivolt.operators import index as ix
 from archivolt.operators import jobs, ordered
@@ -114,9 +115,7 @@ def length_gates(t: Tables) -> DataFrame:
         (F.length(tx.strip("text")) >= 100).alias("digest"), tx.longer_than("text", 50).alias("answer"))
 
 
-STOP_SQL = "[" + ", ".join(f"'{w}'" for w in (
-    "de la el en un una del los las con por para y e o a al que es se su lo como más entre según todo este esta esto "
-    "clase tema capítulo material").split()) + "]"
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in fixed.STOP_WORDS) + "]"
 
 
 @query(f"""
@@ -225,6 +224,15 @@ def chunk_raw_texts(t: Tables) -> DataFrame:
     return _chunk_digest(ix.make_chunks(t.spread("documents").select("doc_id", "text")))
 
 
+@query(f"""WITH RECURSIVE {chunks_sql('SELECT doc_id, text FROM documents')}
+SELECT coalesce(source, '*') AS category, count(*) AS chunks FROM chunks c JOIN documents d ON c.doc_id = d.doc_id GROUP BY ROLLUP (source)""")
+def index_statistics(t: Tables) -> DataFrame:
+    """Chunks of the index by category and, under a star, in all."""
+    chunks = ix.make_chunks(t.spread("documents").select("doc_id", F.col("source").alias("category"), "text")).select("category")
+    by = checkpoint(ix.index_statistics(chunks, "category"))
+    return by.unionByName(by.agg(F.sum("chunks").alias("chunks")).select(F.lit("*").alias("category"), "chunks"))
+
+
 def _chunk_digest(chunks: DataFrame) -> DataFrame:
     return chunks.select(
         "chunk_id", "doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "chapter",

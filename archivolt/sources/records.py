@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from archivolt import fixed
@@ -225,6 +227,12 @@ def new_recommendations(stored: DataFrame, found: DataFrame) -> DataFrame:
     return insert_new(stored, found, urls.url_key("url"), ["pos"])
 
 
+def category_results(parts: list[tuple[str, DataFrame]], order: list[str], key: Column | None = None) -> DataFrame:
+    """Results of several categories as one list: the first category that has an address keeps it."""
+    every = [rows.withColumn("category", F.lit(name)).withColumn("_place", F.lit(i)) for i, (name, rows) in enumerate(parts)]
+    return unique_results(reduce(DataFrame.unionByName, every), ["_place", *order], key).drop("_place")
+
+
 def unique_results(results: DataFrame, order: list[str], key: Column | None = None) -> DataFrame:
     """First result of each address; rows without one are dropped."""
     key = urls.url_key("url") if key is None else key
