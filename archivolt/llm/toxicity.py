@@ -165,9 +165,12 @@ def soft_max(logit: np.ndarray, text: np.ndarray, texts: int, empty: float) -> t
     return np.where(none, empty, high + np.log(np.where(none, 1, total)) / SHARP), part / total[text]
 
 
-def learn(rows: list[tuple[Inputs, int]], passes: int = 12, batch: int = 24, rate: float = 0.01, seed: int = 3) -> dict[str, np.ndarray]:
-    """Parameters learnt from texts with labels, in an order that the seed fixes."""
-    p = fresh()
+def learn(rows: list[tuple[Inputs, int]], steps: int = 1000, batch: int = 24, rate: float = 0.01, seed: int = 3) -> dict[str, np.ndarray]:
+    """Parameters learnt from texts with labels, in an order that the seed fixes.
+
+    Whole passes over the rows, as many as make up ``steps`` steps.
+    """
+    p, passes = fresh(), -(-steps // max(1, -(-len(rows) // batch)))
     first_moment, second_moment = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     draw, step = np.random.default_rng(seed), 0
     for epoch in range(passes):
