@@ -143,34 +143,39 @@ def chunk_text(c, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERL
     low = F.lower(_col(c))
     may_name = has_any(low, fixed.CHAPTER_STEMS)
     paragraphs = F.when(may_name, cut(chapter_label)).otherwise(cut(lambda p: F.lit(None).cast("string")))
-    # Closed chunks gather in runs, and full runs in a list of runs: appending to
-    # one long list would copy it for every chunk of a long text.
-    start = F.struct(
-        F.array().cast(f"array<{_CHUNK}>").alias("runs"),
-        F.array().cast(_CHUNK).alias("done"),
-        F.lit("").alias("open"),
-        F.lit(None).cast("string").alias("chapter"),
-    )
-
+    # Spark copies what a fold carries at every step.  So paragraphs are folded in
+    # runs: a step carries the chunks of its run, and only a run's end the rest.
     def step(acc, p):
         chapter = F.coalesce(p["chapter"], acc["chapter"])
         full = (acc["open"] != "") & (F.length(acc["open"]) + p["n"] > size)
         closed = F.array(F.struct(strip(acc["open"]).alias("text"), chapter.alias("chapter")))
-        turn = full & (F.size(acc["done"]) >= _RUN)
         return F.struct(
-            F.when(turn, F.concat(acc["runs"], F.array(acc["done"]))).otherwise(acc["runs"]).alias("runs"),
-            F.when(turn, closed).when(full, F.concat(acc["done"], closed)).otherwise(acc["done"]).alias("done"),
+            F.when(full, F.concat(acc["done"], closed)).otherwise(acc["done"]).alias("done"),
             F.when(full, F.concat(F.right(acc["open"], F.lit(overlap)), p["text"]))
             .otherwise(F.concat(acc["open"], F.lit("\n\n"), p["text"])).alias("open"),
             chapter.alias("chapter"),
         )
 
+    def once(value, use):
+        """``use`` of a value that is computed once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def run(ps):
+        def fold(acc, i):
+            start = F.struct(F.array().cast(_CHUNK).alias("done"), acc["open"].alias("open"), acc["chapter"].alias("chapter"))
+            return once(F.aggregate(F.slice(ps, i * _RUN + 1, F.lit(_RUN)), start, step), lambda r: F.struct(
+                F.concat(acc["runs"], F.array(r["done"])).alias("runs"), r["open"].alias("open"), r["chapter"].alias("chapter")))
+        return fold
+
     def close(acc):
         # An empty rest falls to the minimum length below.
         last = F.array(F.struct(strip(acc["open"]).alias("text"), acc["chapter"].alias("chapter")))
-        return F.concat(F.flatten(acc["runs"]), acc["done"], last)
+        return F.concat(F.flatten(acc["runs"]), last)
 
-    gathered = F.aggregate(paragraphs, start, step, close)
+    begin = F.struct(
+        F.array().cast(f"array<{_CHUNK}>").alias("runs"), F.lit("").alias("open"), F.lit(None).cast("string").alias("chapter"))
+    gathered = F.when(_col(c).isNotNull(), once(paragraphs, lambda ps: F.aggregate(
+        F.sequence(F.lit(0), ((F.size(ps) - 1) / _RUN).cast("int")), begin, run(ps), close)))
     windows = F.flatten(F.transform(gathered, lambda k: F.when(
         F.length(k["text"]) > int(size * 1.5), _windows(k, size, size - overlap)).otherwise(F.array(k))))
     return F.filter(windows, lambda k: F.length(k["text"]) > fixed.MIN_CHUNK_CHARS)
