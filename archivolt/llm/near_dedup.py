@@ -318,6 +318,11 @@ def without_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Texts without words are no copies of each other; of rows with one id and no
     words one stays too.
     """
-    found = groups(docs, n, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    # A key that is never null: the join and the choice then share one shuffle of the texts.
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    key = lambda id_: F.coalesce(id_.cast("long").cast("string"), F.lit("none")).alias(name)
+    found = groups(docs, n, percent).where("kept").select(key(F.col("doc_id"))).distinct()
+    rows = docs.select("*", key(docs["doc_id"])).join(found, name, "left_semi")
+    return rows.dropDuplicates([name]).select(*docs.columns)

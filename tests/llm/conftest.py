@@ -4,7 +4,7 @@ import pytest
 @pytest.fixture()
 def frame(spark):
     """A small table in more than one partition, with columns whose names operators use inside."""
-    def make(rows, schema, extra=("_id", "label", "score", "size", "row", "key", "class", "kept")):
+    def make(rows, schema, extra=("_id", "label", "score", "size", "row", "key", "class", "kept", "_key")):
         df = spark.createDataFrame(rows, schema).repartition(3)
         names = {n.lower() for n in df.columns}
         from pyspark.sql import functions as F
