@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.components import components
-from archivolt.llm.tables import as_long, checkpoint, map_batches, may_hold, slot_filter
+from archivolt.llm.tables import WORD, as_long, checkpoint, doc_key, map_batches, may_hold, slot_filter
 from archivolt.llm.words import Words, mix, n_grams, stretches
 
 #: Places of a signature and places of a band.  Two sets of similarity 0.85 miss
@@ -119,10 +119,10 @@ def _class_keys(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, places: int = PLACES, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, class, probe, bands`` for each document.
+    """``doc_id, n_shingles, class, doc_key, bands`` for each document.
 
-    ``class`` is equal for equal sets; ``probe`` tells documents of a class
-    apart.  Both and ``bands`` are null for an empty set.
+    ``class`` is equal for equal sets; ``doc_key`` is :func:`tables.doc_key` of
+    the row.  ``class`` and ``bands`` are null for an empty set.
     """
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi, words in stretches(batch.column(1)):
@@ -131,41 +131,38 @@ def signatures(docs: DataFrame, n: int, places: int = PLACES, rows: int = ROWS)
             bands = band_keys(super_minhash(sets, first, places), rows)
             empty = pa.array(size == 0)
             lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), as_long(bands.ravel()), mask=empty)
-            keys, ids = _class_keys(sets, first), batch.column(0).slice(lo, hi - lo)
+            ids, names = (batch.column(k).slice(lo, hi - lo) for k in (0, 2))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(size), pc.if_else(empty, None, _binary(keys)), pc.if_else(empty, None, as_long(_probes(keys, ids))), lists],
-                ["doc_id", "n_shingles", "class", "probe", "bands"],
+                [ids, pa.array(size), pc.if_else(empty, None, _binary(_class_keys(sets, first))), names, lists],
+                ["doc_id", "n_shingles", "class", "doc_key", "bands"],
             )
 
-    return map_batches(_slim(docs), work, "doc_id long, n_shingles long, class binary, probe long, bands array<long>")
+    return map_batches(_slim(docs), work, "doc_id long, n_shingles long, class binary, doc_key long, bands array<long>")
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), doc_key(docs).alias("doc_key"))
 
 
 def _binary(keys: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in keys], pa.binary())
 
 
-def _probes(keys: np.ndarray, ids: pa.Array) -> np.ndarray:
-    return mix(mix(keys[:, 0] + ids.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)) + keys[:, 1])
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``class, members`` of the classes in ``wanted (class, probe)``: sorted shingle hashes, 8 bytes each.
+    """``class, members`` of the classes in ``wanted (class, doc_key)``: sorted shingle hashes, 8 bytes each.
 
     One document speaks for a class.  The others are kept away early by a filter
     of fixed size and for certain by a join.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(slot_filter(wanted, "probe"))
+    bits = docs.sparkSession.sparkContext.broadcast(slot_filter(wanted, "doc_key"))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, words in stretches(batch.column(1)):
+        names = batch.column(2).to_numpy().view(np.uint64)
+        texts = batch.column(1).filter(pa.array(may_hold(bits.value, names)))
+        for _, _, words in stretches(texts):
             sets, first = shingle_sets(words, n)
             keys = _class_keys(sets, first)
             some = np.flatnonzero(np.diff(first))
-            some = some[may_hold(bits.value, _probes(keys, batch.column(0).slice(lo, hi - lo))[some])]
             members = [sets[first[i]:first[i + 1]].tobytes() for i in some]
             yield pa.RecordBatch.from_arrays([_binary(keys[some]), pa.array(members, pa.binary())], ["class", "members"])
 
@@ -260,18 +257,10 @@ def _links_between(placed: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return rows.groupBy("key", "i", "j").applyInArrow(work, "a binary, b binary")
 
 
-def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each document.
+def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The :func:`signatures` of ``docs``, and ``class, low, root`` of each class.
 
-    Two documents are linked when the sets of their distinct ``n``-word shingles
-    have a similarity of ``percent`` in 100 or more; ``component_id`` is the
-    smallest id that links lead to, ``kept`` says that it is the document's own.
-    A text with fewer than ``n`` words has its whole sequence as one shingle.
-    Texts that are null, empty or blank have no shingles, are linked with
-    nothing and are kept.  A null id is passed over when the smallest is
-    sought; in a group of null ids only, ``component_id`` is null and ``kept``
-    true.  Repeated rows have one id and so the same answer.  Other columns are
-    not read; an empty table gives no rows.
+    ``low`` is its smallest id; classes of one component have one root.
 
     No group is gathered and no group's pairs become rows.  Each class is first
     tested against the pivot that most of its buckets share; a bucket's pivot is
@@ -285,8 +274,8 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # Buckets of one class have no pairs; short hashes of the classes tell.
     shared = bands.groupBy("key").agg(F.min(F.xxhash64("class")).alias("low"), F.max(F.xxhash64("class")).alias("high")).where("low <> high")
     members = checkpoint(bands.join(shared.select("key"), "key").distinct())
-    classes = full.groupBy("class").agg(F.min("doc_id").alias("low"), F.min("probe").alias("probe"))
-    wanted = checkpoint(classes.join(members.select("class").distinct(), "class", "left_semi").select("class", "probe"))
+    classes = full.groupBy("class").agg(F.min("doc_id").alias("low"), F.min("doc_key").alias("doc_key"))
+    wanted = checkpoint(classes.join(members.select("class").distinct(), "class", "left_semi").select("class", "doc_key"))
     sets = checkpoint(_sets(docs, wanted, n))
 
     counts = members.groupBy("key").agg(F.count("*").alias("n"))
@@ -303,8 +292,23 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     placed = checkpoint(placed.join(mixed.select("key", F.col("most.root").alias("main")), "key"))
     links = checkpoint(links.unionByName(_links_between(placed, sets, percent)))
     roots = components(links)
+    return signed, classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("root", "class").alias("root"))
 
-    grouped = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("root", "class").alias("root"))
+
+def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each document.
+
+    Two documents are linked when the sets of their distinct ``n``-word shingles
+    have a similarity of ``percent`` in 100 or more; ``component_id`` is the
+    smallest id that links lead to, ``kept`` says that it is the document's own.
+    A text with fewer than ``n`` words has its whole sequence as one shingle.
+    Texts that are null, empty or blank have no shingles, are linked with
+    nothing and are kept.  A null id is passed over when the smallest is
+    sought; in a group of null ids only, ``component_id`` is null and ``kept``
+    true.  Repeated rows have one id and so the same answer.  Other columns are
+    not read; an empty table gives no rows.
+    """
+    signed, grouped = _linked(docs, n, percent)
     lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     answer = grouped.join(lows, "root").select("class", "component_id")
     return signed.join(answer, "class", "left").select(
@@ -313,16 +317,21 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group stays: that with the smallest id, of repeated rows any one; all columns are kept.
+    """One row of each group stays, that with the smallest id; all columns are kept.
 
-    Texts without words are no copies of each other; of rows with one id and no
-    words one stays too.
+    Rows are told apart by id and text (:func:`tables.doc_key`), so rows with
+    one id or none and other texts are each kept or dropped with their own
+    group.  A null id comes after all others; of repeated rows any one stays.
+    Texts without words are no copies of each other and all stay.
     """
-    # A key that is never null: the join and the choice then share one shuffle of the texts.
     name = "_key"
     while name in docs.columns:
         name += "_"
-    key = lambda id_: F.coalesce(id_.cast("long").cast("string"), F.lit("none")).alias(name)
-    found = groups(docs, n, percent).where("kept").select(key(F.col("doc_id"))).distinct()
-    rows = docs.select("*", key(docs["doc_id"])).join(found, name, "left_semi")
-    return rows.dropDuplicates([name]).select(*docs.columns)
+    signed, grouped = _linked(docs, n, percent)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key")
+    firsts = signed.where("class IS NOT NULL").groupBy("class").agg(F.min(own).alias("first"))
+    kept = firsts.join(grouped, "class").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_key").alias(name))
+    worded = F.coalesce(docs["text"].cast("string").rlike(WORD), F.lit(False))
+    # The join and the choice among repeated rows share one shuffle of the texts.
+    rows = docs.where(worded).withColumn(name, doc_key(docs)).join(kept, name, "left_semi").dropDuplicates([name])
+    return rows.select(*docs.columns).unionByName(docs.where(~worded))

@@ -73,6 +73,22 @@ def test_one_of_each_group_stays_with_all_columns(docs):
     assert sorted((r.doc_id for r in out.collect()), key=repr) == [1, 3, 4, 5, None]
 
 
+def test_each_row_stays_or_goes_with_its_own_group(docs):
+    draw = random.Random(8)
+    text = lambda: " ".join(draw.choice(VOCABULARY) for _ in range(30))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(None, text()) for _ in range(20)] + [(5, text()), (5, text())]
+    # Row (7, a) goes and (7, b) stays; of the rows without an id one of d stays, and c's go.
+    rows += [(1, a), (7, a), (7, b), (8, b.upper()), (None, c), (None, c), (3, c), (None, d), (None, d), (None, d + " end")]
+    rows += [(4, None), (4, ""), (4, ""), (None, None), (None, " \n"), (None, "")]
+    out = [(r.doc_id, r.text) for r in nd.without_copies(docs(rows)).collect()]
+    want = rows[:22] + [(1, a), (7, b), (3, c)] + rows[-6:]
+    extra = list(out)
+    for row in want:
+        extra.remove(row)
+    assert len(extra) == 1 and extra[0] in [(None, d), (None, d + " end")]
+
+
 def test_signatures_estimate_similarity_with_less_variance():
     draw = np.random.default_rng(3)
     agree = []
