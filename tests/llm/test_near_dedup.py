@@ -101,6 +101,12 @@ def test_signatures_estimate_similarity_with_less_variance():
     assert np.std(agree) < np.sqrt(similarity * (1 - similarity) / nd.PLACES) * 1.02
 
 
+@pytest.mark.parametrize("similarity, missed", [(0.85, 3e-9), (0.8, 4e-7)])
+def test_bands_miss_few_pairs(similarity, missed):
+    assert nd.PLACES % nd.ROWS == 0
+    assert (1 - similarity**nd.ROWS) ** (nd.PLACES // nd.ROWS) < missed
+
+
 def test_ranks_of_one_element_are_a_permutation():
     s = nd.super_minhash(np.array([12345], np.uint64), np.array([0, 1, 1]), nd.PLACES)
     assert sorted(np.floor(s[0])) == list(range(nd.PLACES)) and np.isinf(s[1]).all()
