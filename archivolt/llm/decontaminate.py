@@ -7,7 +7,8 @@ that does not begin a sentence.  Windows of :data:`WINDOW` template words are
 joined on their hashes with the benchmark's.  Windows of one item that lie in a
 document as they lie in the item form a run.  A run counts if its slots are
 consistent: equal values in the item stand for equal values in the document and
-the other way round, as when a question is asked anew with other numbers.  A
+the other way round, as when a question is asked anew with other numbers.  An
+inserted or lost word begins a new run; an item's runs in a document are united.  A
 window whose words are mostly slots says little by its template and is hashed
 with its values.
 """
@@ -18,13 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.tables import as_long, doc_key, map_batches, may_hold, slot_filter
 from archivolt.llm.words import _BYTE, LOWER, Words, mix, ranges, span_hashes, stretches, words_of
 
 WINDOW = 8
+#: So many words of an item in a row are a leak, however long the item is.
+ROW = 13
 UNITS = (
     "% $ € £ km m cm mm kg g mg t l ml s h km/h mph kwh mile miles meter meters metre metres foot feet inch inches yard yards gram grams "
     "kilogram kilograms pound pounds ounce ounces ton tons liter liters litre litres second seconds minute minutes hour hours day days week "
@@ -152,8 +155,9 @@ def item_windows(items: DataFrame, wide: int = WINDOW) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, share: float = 0.4, wide: int = WINDOW) -> DataFrame:
     """``doc_key, doc_id, item_id, covered, n_words, renamed`` of each document and item that it holds.
 
-    ``covered`` words of the item's ``n_words`` lie in windows of one run, at
-    least ``share`` of them; ``renamed`` says that some slot differs.  A run
+    ``covered`` words of the item's ``n_words`` lie in windows of runs that
+    count, at least ``share`` of them or :data:`ROW` in a row of one run;
+    ``renamed`` says that some of them lie in no window with equal slots.  A run
     whose slots are not consistent counts only for windows with equal slots.
     ``doc_key`` is :func:`tables.doc_key` of the row, so rows with one id and other
     texts are told apart; repeated rows give one answer.  Null or empty texts
@@ -191,16 +195,32 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.4, wide: int = WIN
     )
     slot, value = F.nullif(F.col("slot.slots"), F.lit(0)), F.nullif(F.col("slot.values"), F.lit(0))
     word = F.col("at") + F.col("k")
+    # A run's words are at most those of its item.
     runs = pieces.groupBy("doc_key", "doc_id", "item_id", "n_words", "run").agg(
-        F.countDistinct(word).alias("covered"), F.countDistinct(F.when(F.col("equal"), word)).alias("equal"),
+        F.collect_set(word).alias("covered"), F.collect_set(F.when(F.col("equal"), word)).alias("equal"),
         F.countDistinct(slot).alias("items"), F.countDistinct(value).alias("values"),
         F.countDistinct(F.when(slot.isNotNull(), F.struct(slot, value))).alias("pairs"),
     )
     consistent = (F.col("pairs") == F.col("items")) & (F.col("pairs") == F.col("values"))
-    counted = runs.withColumn("covered", F.when(consistent, F.col("covered")).otherwise(F.col("equal"))).where(F.col("covered") >= share * F.col("n_words"))
-    return counted.groupBy("doc_key", "doc_id", "item_id", "n_words").agg(
-        F.max("covered").alias("covered"), F.min(F.col("equal") < F.col("covered")).alias("renamed")
-    ).select("doc_key", "doc_id", "item_id", "covered", "n_words", "renamed")
+    counted = runs.withColumn("covered", F.when(consistent, F.col("covered")).otherwise(F.col("equal")))
+    words = counted.withColumn("row", _longest(F.col("covered"))).select(
+        "doc_key", "doc_id", "item_id", "n_words", "row", "equal", F.explode("covered").alias("word"))
+    united = words.groupBy("doc_key", "doc_id", "item_id", "n_words").agg(
+        F.countDistinct("word").alias("covered"), F.max("row").alias("row"),
+        F.countDistinct(F.when(F.array_contains("equal", F.col("word")), F.col("word"))).alias("equal"),
+    ).where((F.col("covered") >= share * F.col("n_words")) | (F.col("row") >= ROW))
+    return united.select("doc_key", "doc_id", "item_id", "covered", "n_words", (F.col("equal") < F.col("covered")).alias("renamed"))
+
+
+def _longest(words: Column) -> Column:
+    """How many of the distinct numbers follow one another without a gap, at most."""
+    none = F.struct(F.lit(-2).cast("long").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+
+    def step(state: Column, word: Column) -> Column:
+        n = F.when(word == state["last"] + 1, state["n"] + 1).otherwise(F.lit(1))
+        return F.struct(word.cast("long").alias("last"), n.alias("n"), F.greatest(state["most"], n).alias("most"))
+
+    return F.aggregate(F.sort_array(words), none, step, lambda state: state["most"])
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -47,6 +47,15 @@ def test_inconsistent_slots_do_not_count(docs, frame):
     assert _found(docs, items, [(1, same), (2, mixed)]) == {(1, 1)}
 
 
+def test_runs_are_united_and_long_rows_found(docs, frame):
+    long = [f"word{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(200)]
+    items = frame([(1, " ".join(long[:40])), (2, " ".join(long[40:]))], "item_id long, text string", extra=())
+    edited = [w for i in range(0, 40, 13) for w in long[i:i + 13] + ["more"]]
+    rows = [(1, " ".join(edited)), (2, "so " + " ".join(long[5:20]) + " ok"), (3, " ".join(long[60:138])), (4, " ".join(long[0:12])), (5, " ".join(long[60:71]))]
+    assert {(r.doc_id, r.item_id, r.covered, r.renamed) for r in d.leaks(docs(rows), items).collect()} == {
+        (1, 1, 39, False), (2, 1, 15, False), (3, 2, 78, False)}
+
+
 def test_empty_tables(docs, items, frame):
     none = frame([], "item_id long, text string", extra=())
     assert d.leaks(docs([]), items).collect() == [] and d.leaks(docs([(1, ITEM)]), none).collect() == []
