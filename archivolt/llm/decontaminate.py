@@ -2,8 +2,9 @@
 
 A text becomes a template: words lose the signs around them and capitals,
 numbers, units and names become placeholders of their kind, and what stood
-there is kept beside them as the slot's value.  A name is a capitalised word
-that does not begin a sentence.  Windows of :data:`WINDOW` template words are
+there is kept beside them as the slot's value.  A name is a capitalised word;
+one that begins a sentence may be a name or not, so windows that hold such words
+have a key for every choice, in items and in documents.  Windows of :data:`WINDOW` template words are
 joined on their hashes with the benchmark's.  Windows of one item that lie in a
 document as they lie in the item form a run.  A run counts if its slots are
 consistent: equal values in the item stand for equal values in the document and
@@ -50,12 +51,13 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def template(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code of every template word, its slot's value (0: a literal), and where each text's begin.
+def template(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code of every template word, its slot's value (0: a literal), where each text's begin, and which words may be names.
 
-    Words of signs only are left out.
+    Those are the capitalised words that begin a sentence; their code is the
+    literal's.  Words of signs only are left out.
     """
-    codes, slots, keep_all = [], [], []
+    codes, slots, maybe, keep_all = [], [], [], []
     # A sentence begins with a text, and after a word that ends in . ! ? or :.
     ends = np.isin(words.raw[words.end - 1], np.frombuffer(b".!?:", np.uint8)) if len(words.end) else np.zeros(0, bool)
     begins = np.ones(len(ends), bool)
@@ -81,75 +83,96 @@ def template(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         digits, uppers, lowers = (s[end] - s[start] for s in sums)
         head = upper[start] | (raw[start] == 0xC3) & upper[np.minimum(start + 1, len(raw) - 1)]
         hashes = span_hashes(_BYTE[LOWER[raw]], start, end)
-        name = head & (uppers == 1) & (lowers > 0) & ~begins[lo:hi] & (digits == 0)
+        name = head & (uppers == 1) & (lowers > 0) & (digits == 0)
         unit = np.isin(hashes, _UNITS)
+        maybe.append((name & begins[lo:hi] & ~unit)[keep])
+        name &= ~begins[lo:hi]
         number = digits > 0
         code = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, hashes)))
         codes.append(code[keep])
         slots.append(np.where(number | unit | name, hashes, np.uint64(0))[keep])
         keep_all.append(keep)
     if not codes:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.zeros(len(words.first), np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.zeros(len(words.first), np.int64), np.empty(0, bool)
     kept = np.concatenate(([0], np.cumsum(np.concatenate(keep_all))))
-    return np.concatenate(codes), np.concatenate(slots), kept[words.first]
+    return np.concatenate(codes), np.concatenate(slots), kept[words.first], np.concatenate(maybe)
 
 
-def window_keys(codes: np.ndarray, slots: np.ndarray, first: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of every window of ``wide`` template words inside one text, and its first word."""
+def window_keys(
+    codes: np.ndarray, slots: np.ndarray, first: np.ndarray, maybe: np.ndarray, wide: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of every window of ``wide`` template words inside one text, its first word, and which words are read as names.
+
+    That is a bit for each word of a window.  A window has a key for every
+    choice of the words in it that may be names, at most ``2**wide``.
+    """
     total = len(codes) - wide + 1
     if total <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    filled = np.concatenate(([0], np.cumsum(slots != 0)))
-    exact = 2 * (filled[wide:] - filled[:-wide]) > wide
-    sums = np.full(total, wide, np.uint64)
+    inside = np.flatnonzero(owner[:total] == owner[wide - 1:])
+    open_ = np.zeros(len(inside), np.int64)
+    for k in range(wide):
+        open_ |= maybe[inside + k].astype(np.int64) << k
+    at, names = [inside], [np.zeros(len(inside), np.int64)]
+    for choice in np.unique(open_[open_ > 0]):
+        own, part = inside[open_ == choice], int(choice)
+        while part:  # all parts of the choice but the empty one
+            at.append(own)
+            names.append(np.full(len(own), part))
+            part = (part - 1) & int(choice)
+    at, names = np.concatenate(at), np.concatenate(names)
+    filled = np.zeros(len(at), np.int64)
+    sums = np.full(len(at), wide, np.uint64)
     for k in range(wide):
-        sums = mix(sums) + codes[k:k + total]
-    keys = sums.copy()
-    if exact.any():
-        some = np.flatnonzero(exact)
-        sums = keys[some]
+        named = (names >> k & 1) > 0
+        filled += named | (slots[at + k] != 0)
+        sums = mix(sums) + np.where(named, _NAME, codes[at + k])
+    some = np.flatnonzero(2 * filled > wide)
+    if len(some):
+        exact = sums[some]
         for k in range(wide):
-            sums = mix(sums) + slots[some + k]
-        keys[some] = sums
-    inside = np.flatnonzero(owner[:total] == owner[wide - 1:])
-    return mix(keys[inside]), inside
+            exact = mix(exact) + np.where(names[some] >> k & 1, codes[at[some] + k], slots[at[some] + k])
+        sums[some] = exact
+    return mix(sums), at, names
 
 
-def _slot_lists(slots: np.ndarray, at: np.ndarray, wide: int) -> pa.Array:
-    flat = slots[at[:, None] + np.arange(wide)].ravel()
+def _slot_lists(codes: np.ndarray, slots: np.ndarray, at: np.ndarray, names: np.ndarray, wide: int) -> pa.Array:
+    place, named = at[:, None] + np.arange(wide), (names[:, None] >> np.arange(wide) & 1) > 0
+    flat = np.where(named, codes[place], slots[place]).ravel()
     return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, wide, dtype=np.int32), as_long(flat))
 
 
 def item_windows(items: DataFrame, wide: int = WINDOW) -> DataFrame:
-    """``key, wide, item_id, at, slots, n_words`` of all windows of the items.
+    """``key, wide, item_id, at, slots, loose, n_words`` of all windows of the items.
 
     An item shorter than a window is one window.  Of items with equal templates
     and slots the smallest id stands for all; items without words have none.
+    ``loose`` windows read words that begin sentences as names.
     """
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi, words in stretches(batch.column(1), fold=False):
-            codes, slots, first = template(words)
+            codes, slots, first, maybe = template(words)
             for i in range(hi - lo):
                 own = slice(int(first[i]), int(first[i + 1]))
                 n = own.stop - own.start
                 if not n:
                     continue
                 w = min(n, wide)
-                keys, at = window_keys(codes[own], slots[own], np.array([0, n]), w)
+                keys, at, names = window_keys(codes[own], slots[own], np.array([0, n]), maybe[own], w)
                 whole = mix(np.array([n], np.uint64) + np.add.reduce(mix(codes[own] + np.arange(n, dtype=np.uint64)) ^ mix(slots[own] + np.arange(n, dtype=np.uint64))))
                 same = lambda value, kind: pa.array([value] * len(keys), kind)
                 yield pa.RecordBatch.from_arrays(
-                    [as_long(keys), same(w, pa.int32()), same(batch.column(0)[lo + i].as_py(), pa.int64()), pa.array(at), _slot_lists(slots[own], at, w),
+                    [as_long(keys), same(w, pa.int32()), same(batch.column(0)[lo + i].as_py(), pa.int64()), pa.array(at), _slot_lists(codes[own], slots[own], at, names, w), pa.array(names > 0),
                      same(n, pa.int64()), same(int(whole.view(np.int64)[0]), pa.int64())],
-                    ["key", "wide", "item_id", "at", "slots", "n_words", "whole"],
+                    ["key", "wide", "item_id", "at", "slots", "loose", "n_words", "whole"],
                 )
 
     rows = map_batches(
         items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), work,
-        "key long, wide int, item_id long, at long, slots array<long>, n_words long, whole long",
+        "key long, wide int, item_id long, at long, slots array<long>, loose boolean, n_words long, whole long",
     )
-    return rows.groupBy("key", "wide", "at", "slots", "n_words", "whole").agg(F.min("item_id").alias("item_id")).drop("whole")
+    return rows.groupBy("key", "wide", "at", "slots", "loose", "n_words", "whole").agg(F.min("item_id").alias("item_id")).drop("whole")
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = 0.4, wide: int = WINDOW) -> DataFrame:
@@ -158,7 +181,8 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.4, wide: int = WIN
     ``covered`` words of the item's ``n_words`` lie in windows of runs that
     count, at least ``share`` of them or :data:`ROW` in a row of one run;
     ``renamed`` says that some of them lie in no window with equal slots.  A run
-    whose slots are not consistent counts only for windows with equal slots.
+    whose slots are not consistent counts only for windows that read no word
+    which begins a sentence as a name, or else for windows with equal slots.
     ``doc_key`` is :func:`tables.doc_key` of the row, so rows with one id and other
     texts are told apart; repeated rows give one answer.  Null or empty texts
     and empty tables give no rows; other columns are not read.
@@ -173,36 +197,43 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.4, wide: int = WIN
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi, words in stretches(batch.column(2), fold=False):
-            codes, slots, first = template(words)
+            codes, slots, first, maybe = template(words)
             for w in widths:
-                keys, at = window_keys(codes, slots, first, w)
+                keys, at, names = window_keys(codes, slots, first, maybe, w)
                 some = np.flatnonzero(may_hold(bits.value, keys))
                 if len(some):
-                    own = np.searchsorted(first, at[some], "right") - 1
+                    at, names = at[some], names[some]
+                    own = np.searchsorted(first, at, "right") - 1
                     rows = pa.array(lo + own)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(rows), batch.column(1).take(rows), as_long(keys[some]), pa.array(np.full(len(some), w, np.int32)),
-                         pa.array(at[some] - first[own]), _slot_lists(slots, at[some], w)],
-                        ["doc_key", "doc_id", "key", "wide", "place", "values"],
+                         pa.array(at - first[own]), _slot_lists(codes, slots, at, names, w), pa.array(names > 0)],
+                        ["doc_key", "doc_id", "key", "wide", "place", "values", "names"],
                     )
 
     texts = docs.select(doc_key(docs).alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = map_batches(texts, work, "doc_key long, doc_id long, key long, wide int, place long, values array<long>")
+    found = map_batches(texts, work, "doc_key long, doc_id long, key long, wide int, place long, values array<long>, names boolean")
     met = found.join(windows, ["key", "wide"])
     pieces = met.select(
         "doc_key", "doc_id", "item_id", "n_words", (F.col("place") - F.col("at")).alias("run"), "at", (F.col("slots") == F.col("values")).alias("equal"),
+        (~(F.col("loose") | F.col("names")) | (F.col("slots") == F.col("values"))).alias("strict"),
         F.posexplode(F.arrays_zip("slots", "values")).alias("k", "slot"),
     )
     slot, value = F.nullif(F.col("slot.slots"), F.lit(0)), F.nullif(F.col("slot.values"), F.lit(0))
     word = F.col("at") + F.col("k")
+
+    def fits(some: Column) -> Column:
+        count = lambda column: F.countDistinct(F.when(some, column))
+        pairs = count(F.when(slot.isNotNull(), F.struct(slot, value)))
+        return (pairs == count(slot)) & (pairs == count(value))
+
     # A run's words are at most those of its item.
     runs = pieces.groupBy("doc_key", "doc_id", "item_id", "n_words", "run").agg(
         F.collect_set(word).alias("covered"), F.collect_set(F.when(F.col("equal"), word)).alias("equal"),
-        F.countDistinct(slot).alias("items"), F.countDistinct(value).alias("values"),
-        F.countDistinct(F.when(slot.isNotNull(), F.struct(slot, value))).alias("pairs"),
+        F.collect_set(F.when(F.col("strict"), word)).alias("strict"), fits(F.lit(True)).alias("fits"), fits(F.col("strict")).alias("strict_fits"),
     )
-    consistent = (F.col("pairs") == F.col("items")) & (F.col("pairs") == F.col("values"))
-    counted = runs.withColumn("covered", F.when(consistent, F.col("covered")).otherwise(F.col("equal")))
+    best = F.when(F.col("fits"), F.col("covered")).when(F.col("strict_fits"), F.col("strict")).otherwise(F.col("equal"))
+    counted = runs.withColumn("covered", best)
     words = counted.withColumn("row", _longest(F.col("covered"))).select(
         "doc_key", "doc_id", "item_id", "n_words", "row", "equal", F.explode("covered").alias("word"))
     united = words.groupBy("doc_key", "doc_id", "item_id", "n_words").agg(

@@ -56,6 +56,17 @@ def test_runs_are_united_and_long_rows_found(docs, frame):
         (1, 1, 39, False), (2, 1, 15, False), (3, 2, 78, False)}
 
 
+def test_names_that_begin_sentences(docs, frame):
+    items = frame([(1, "Tom has 3 apples. Anna has 5 apples. Who has more?"), (2, "What is the capital of France?")], "item_id long, text string", extra=())
+    rows = [
+        (1, "So. Peter has 4 apples. Eva has 7 apples. Who has more?"), (2, "Question\nWhat is the capital of France?"), (3, "x. what is the capital of France?"),
+        (4, "and then Peter has 4 apples. Eva has 7 apples. who has more?"), (5, "Peter has 4 apples. Peter has 7 apples. Who has more?"),
+        (6, "Tom has 3 pears. Anna eats 5 apples. Who was it?"),
+    ]
+    got = {(r.doc_id, r.item_id): r.renamed for r in d.leaks(docs(rows), items).collect()}
+    assert got == {(1, 1): True, (2, 2): False, (3, 2): False, (4, 1): True}
+
+
 def test_empty_tables(docs, items, frame):
     none = frame([], "item_id long, text string", extra=())
     assert d.leaks(docs([]), items).collect() == [] and d.leaks(docs([(1, ITEM)]), none).collect() == []
