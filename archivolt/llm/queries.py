@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm import decontaminate, mixing, near_dedup, quality, quotes, suffix_tree, token_counts, topk, toxicity, warc
+from archivolt.llm import decontaminate, mixing, near_dedup, quality, quotes, suffix_tree, token_counts, topk, toxicity, warc, whitening
 from archivolt.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,9 @@ def op1_token_counts(table):
 def op6_chat_quotations(table):
     """Messages without quotations, with what they reply to and their place in reading order."""
     return quotes.format_chats(table("conversations")).withColumn("path", F.concat_ws(".", "path"))
+
+
+@query()
+def op11_whitening(table):
+    """All vectors on the 32 leading components of their covariance, with unit variance."""
+    return whitening.whiten(table("embeddings"))
