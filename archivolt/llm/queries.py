@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm import decontaminate, mixing, near_dedup, quality, quotes, suffix_tree, token_counts, topk, toxicity, warc, whitening
+from archivolt.llm import (
+    decontaminate, mixing, near_dedup, periodic_runs, quality, quotes, suffix_tree, token_counts, topk, toxicity, warc, whitening,
+)
 from archivolt.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +153,9 @@ def op6_chat_quotations(table):
 def op11_whitening(table):
     """All vectors on the 32 leading components of their covariance, with unit variance."""
     return whitening.whiten(table("embeddings"))
+
+
+@query()
+def op13_periodic_runs(table):
+    """Words that repeat one period apart, three times or more, in every text; one text in ten has a tail that the contract makes repeat."""
+    return periodic_runs.periodic_runs(table("documents"), order=periodic_runs.planted).drop("n_words", "runs")
