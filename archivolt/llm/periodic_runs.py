@@ -24,7 +24,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,11 +215,11 @@ def periodic_runs(docs: DataFrame, least: int = 24, copies: int = 3, order: Orde
                 found.append([dict(zip(("period", "start", "end"), f)) for f in fragments(hashes, least, copies)])
                 text = raw[words.start[a]:words.end[b - 1]] if b > a else b""
                 plain.append(None if found[-1] else _collapsed(text.split(), moved, None))
-            some = pa.array([bool(f) for f in found])
+            texts = [batch.column(1)[lo + i].as_py() if f else None for i, f in enumerate(found)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(count.astype(np.int64)), pa.array(plain, pa.string()),
-                    pc.if_else(some, batch.column(1).slice(lo, hi - lo).cast(pa.string()), None), pa.array(found, found_type),
+                    pa.array(texts, pa.string()), pa.array(found, found_type),
                 ],
                 ["doc_id", "doc_key", "n_words", "plain", "text", "fragments"],
             )
