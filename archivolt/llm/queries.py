@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.llm import (
-    decontaminate, mixing, near_dedup, periodic_runs, quality, quotes, suffix_tree, token_counts, topk, toxicity, warc, whitening,
+    decontaminate, language, mixing, near_dedup, periodic_runs, quality, quotes, suffix_tree, token_counts, topk, toxicity, warc, whitening,
 )
 from archivolt.session import ship_package
 
@@ -159,3 +159,9 @@ def op11_whitening(table):
 def op13_periodic_runs(table):
     """Words that repeat one period apart, three times or more, in every text; one text in ten has a tail that the contract makes repeat."""
     return periodic_runs.periodic_runs(table("documents"), order=periodic_runs.planted).drop("n_words", "runs")
+
+
+@query()
+def op12_language(table):
+    """Every text's language by its cosine with profiles learnt outside the fold."""
+    return language.classify(table("documents"))
