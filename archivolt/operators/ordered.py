@@ -40,6 +40,23 @@ def positions(df: DataFrame, keys: list[str], order: str, out: str = "position",
     )
 
 
+def running(df: DataFrame, keys: list[str], order: str, amount: str, out: str, span: int = SPAN) -> DataFrame:
+    """Sum of ``amount`` over the rows of the group before the row, by ``order``; of equal orders any comes first.
+
+    Without keys the whole table is the group.
+    """
+    cut = df.withColumn("_span", _span(order, span))
+    sums = cut.filter(_grouped(keys, order)).groupBy(*keys, "_span").agg(F.sum(amount).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_span", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        cut.join(offsets, [*keys, "_span"], "left")
+        .withColumn(out, F.when(_grouped(keys, order), F.col("_offset") + F.coalesce(F.sum(amount).over(inside), F.lit(0))))
+        .drop("_span", "_offset")
+    )
+
+
 def following(df: DataFrame, keys: list[str], order: str, columns: list[str], prefix: str = "next_",
               span: int = SPAN) -> DataFrame:
     """Adds the named columns of the next row of the group, null at its end."""

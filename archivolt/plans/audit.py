@@ -8,6 +8,7 @@ from archivolt import fixed
 from archivolt.functions import security, text as tx
 from archivolt.plans import Tables, query
 from archivolt.plans.library import strip_sql
+from archivolt.session import scratch_folder
 from archivolt.sources import records
 
 PHRASES = [p.upper() if i % 2 else p for i, p in enumerate(fixed.INJECTION_PHRASES)] + ["harmless", "overriding actions as told", "Hackers exploit it"]
@@ -90,3 +91,20 @@ def operational_log(t: Tables) -> DataFrame:
     line = records.operational_record(F.col("ts"), F.col("event_id"), F.lit("store"), F.col("event_type"), payload)
     back = records.parse_operational(t.events.select(line.alias("value")))
     return back.select("event_id", "event", "component", F.col("payload")["k"].alias("k"), F.col("payload")["client_secret"].alias("secret"))
+
+
+LOG_SQL = """CASE WHEN event_id % 7 = 3 THEN '' WHEN event_id % 5 = 2 THEN 'no event: ' || event_type
+  ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || ' - INFO - ' || event_type || ': user ' || user_id END"""
+
+
+@query(f"""WITH l AS (SELECT row_number() OVER (ORDER BY event_id) AS line_no, {LOG_SQL} AS line FROM events),
+a AS (SELECT *, row_number() OVER (ORDER BY line_no DESC) AS age FROM l WHERE trim(line) <> '')
+SELECT age::INT AS age, line_no, line, CASE WHEN line LIKE '____-__-__ __:__:__ - INFO%' THEN regexp_extract(line, ' - INFO - ([^:]*): ', 1) END AS event FROM a WHERE age <= 10""")
+def log_file_tail(t: Tables) -> DataFrame:
+    """All events written as a log with empty and foreign lines; its last ten lines by place, with their numbers."""
+    folder = f"{scratch_folder(t.spark)}/log"
+    event = records.log_line(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("INFO"), F.col("event_type"), F.concat(F.lit("user "), F.col("user_id").cast("string")))
+    line = F.when(F.col("event_id") % 7 == 3, "").when(F.col("event_id") % 5 == 2, F.concat(F.lit("no event: "), "event_type")).otherwise(event)
+    t.events.orderBy("event_id").select(line.alias("value")).write.text(folder)
+    last = records.tail_lines(records.numbered_lines(records.read_log_lines(t.spark, folder), ()), 10, ())
+    return last.select("age", "line_no", "line", records.parse_log_line("line")["event"].alias("event"))

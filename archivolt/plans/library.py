@@ -9,7 +9,7 @@ from archivolt.functions import paths, text as tx
 from archivolt.operators import index as ix
 from archivolt.operators import jobs, ordered
 from archivolt.plans import Tables, query
-from archivolt.sources import library as lib, records
+from archivolt.sources import files, library as lib, records
 from archivolt.session import checkpoint, scratch_folder
 from archivolt.sources.store import ChunkIndex
 
@@ -439,3 +439,15 @@ def ingested_listing(t: Tables) -> DataFrame:
         ingest_file_name(title, "2024-01-01 00-00", F.concat("source", F.col("doc_id").cast("string"))).alias("name"),
         F.col("source").alias("category"), (F.col("n_chars") % 28).cast("string").alias("date"))
     return records.ingested_artifacts(rows)
+
+
+@query("""SELECT DISTINCT source || '/doc_' || d.doc_id || '.md' AS rel_path, octet_length(encode(coalesce(text, '')))::BIGINT AS size_bytes,
+  sha256(coalesce(text, '')) AS content_sha256 FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 1 WHERE text <> ''""")
+def changed_bodies(t: Tables) -> DataFrame:
+    """Every document is a file of a folder; only those that are labelled toxic are opened again.  Spark lists no empty files."""
+    root = f"{scratch_folder(t.spark)}/library"
+    path = F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    files.write_files(t.spread("documents").select(path.alias("rel_path"), F.coalesce("text", F.lit("")).alias("content")), root)
+    toxic = t.labels.filter("toxic = 1").select("doc_id").distinct().join(t.documents.select("doc_id", path.alias("rel_path")), "doc_id")
+    wanted = lib.scan(t.spark, root).join(toxic.select("rel_path").distinct(), "rel_path")
+    return lib.read_bodies(t.spark, root, wanted).select("rel_path", "size_bytes", F.sha2("content", 256).alias("content_sha256"))

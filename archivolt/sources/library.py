@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from archivolt import fixed
 from archivolt.functions import html, paths
 from archivolt.functions.text import _col
+from archivolt.sources import files
+
 
 def _root_uri(spark: SparkSession, root: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -28,8 +30,8 @@ def scan(spark: SparkSession, root: str, extensions: list[str] | None = None) ->
     Spark itself leaves out files whose own name starts with ``_`` or ``.``.
     """
     base = _root_uri(spark, root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return _relative(files.select("path", "length", "modificationTime"), base).filter(
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _relative(found.select("path", "length", "modificationTime"), base).filter(
         is_library_file("rel_path", extensions))
 
 
@@ -44,23 +46,25 @@ def _relative(files: DataFrame, base: str) -> DataFrame:
 
 
 def read_bodies(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Bodies of the files in ``wanted`` (rel_path, modified_us), joined with its columns.
+    """Bodies of the files in ``wanted`` (rel_path, and size_bytes where known), joined with its columns.
 
-    The folder is listed by Spark and joined on the path, so names may hold any
-    sign and no list passes the driver.  The reader opens only files whose time
-    lies in the range of the wanted ones; for the changes since a last run that
-    leaves out the old ones.  Without a list all library files are read.
+    Only those files are opened, by tasks that are dealt about equal bytes; see
+    :func:`files.read_files`.  Without a list all library files are read.  In a
+    store that tasks cannot open files in, Spark's reader lists the folder and
+    opens the files whose time lies in the range of the wanted ones.
     """
     base = _root_uri(spark, root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime", "content")
+    if wanted is not None and files.reachable(files.place_of(spark, root)):
+        return files.read_files(spark, root, wanted)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime", "content")
     if wanted is None:
-        return _relative(files, base).filter(is_library_file("rel_path"))
+        return _relative(found, base).filter(is_library_file("rel_path"))
     first, last = wanted.agg(F.min("modified_us"), F.max("modified_us")).first()
     if first is None:
-        files = files.limit(0)
+        found = found.limit(0)
     else:
-        files = files.filter(F.col("modificationTime").between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))))
-    return _relative(files, base).join(wanted.drop("modified_us"), "rel_path")
+        found = found.filter(F.col("modificationTime").between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))))
+    return _relative(found, base).join(wanted.drop("modified_us", "size_bytes"), "rel_path")
 
 
 def decode_text(content) -> Column:

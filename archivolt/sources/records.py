@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from archivolt import fixed
 from archivolt.functions import security, urls
 from archivolt.functions.text import _col, strip
-from archivolt.operators.ordered import first_seen
+from archivolt.operators.ordered import first_seen, newest
 
 CHAT_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -93,15 +93,49 @@ def parse_log_line(c) -> Column:
     return F.struct(part(1).alias("ts"), part(2).alias("level"), part(3).alias("event"), part(4).alias("detail"))
 
 
-def read_security_log(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty log lines with their place in the file, bad bytes replaced."""
+PLACE = ("file", "block", "row")
+
+
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of a log, a file or a folder of them, with their place: ``line, file, block, row``.
+
+    ``block`` is where the split that a line was read in begins in its file, and
+    ``row`` grows inside a split.  Bad bytes are replaced.
+    """
     lines = spark.read.format("text").load(path)
-    text = F.make_valid_utf8(F.col("value"))
-    return lines.select(text.alias("line")).filter(strip("line") != "").select("line", parse_log_line("line").alias("e")).select("line", "e.*")
+    return lines.select(
+        F.make_valid_utf8("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"))
+
+
+def numbered_lines(lines: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Adds ``line_no``, counted from 1, empty lines too: per file, or over all files in the order of their names with ``by=()``.
+
+    The lines of each split are counted; sums over the splits before it, one
+    row each, then carry the numbers on.  No task sees more than a split.
+    """
+    split = ["file", "block"]
+    counts = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*split, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*split).orderBy("row")
+    return lines.join(before, split).withColumn("line_no", F.col("_before") + F.row_number().over(inside)).drop("_before")
+
+
+def tail_lines(lines: DataFrame, n: int = 10, by: tuple[str, ...] = ("file",)) -> DataFrame:
+    """The last ``n`` lines that are not empty, parsed or not, by place, with ``age`` 1 for the last one; per file, or of all with ``by=()``."""
+    placed = lines.filter(strip("line") != "").withColumn("_place", F.struct(*PLACE))
+    return newest(placed, list(by), "_place", n).drop("_place")
+
+
+def read_security_log(spark: SparkSession, path: str) -> DataFrame:
+    """Non-empty log lines with their place in the file and, where a line is an event, its parts."""
+    lines = read_log_lines(spark, path).filter(strip("line") != "")
+    return lines.select("line", *PLACE, parse_log_line("line").alias("e")).select("line", *PLACE, "e.*")
 
 
 def tail(events: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:
-    """The last ``n`` events, newest first."""
+    """The last ``n`` events by ``order`` (time, or the place in the file), newest first."""
     return events.orderBy(*[F.desc(c) for c in (order or ["ts"])]).limit(n)
 
 

@@ -213,7 +213,7 @@ class ChunkIndex:
             none = self.manifest(state).select("rel_path", "chunk_count").limit(0)
             change = F.when(F.col("look") == "failed", "new").otherwise("unchanged")
             return self._with_reasons(ops.sync_items(looks.withColumn("change", change), none), looks.filter("look = 'failed'").select("rel_path", "_why"))
-        wanted = looks.filter("look in ('new', 'check')").select("rel_path", "look", "_sha", "_last", "modified_us")
+        wanted = looks.filter("look in ('new', 'check')").select("rel_path", "size_bytes", "look", "_sha", "_last", "modified_us")
         if seen["new"] == seen["all"]:
             # A first build wants every text: nothing to join with.
             asked = fetch(None).select("*", F.lit("new").alias("look"), *[F.lit(None).cast("string").alias(c) for c in ("_sha", "_last")])
@@ -278,7 +278,7 @@ class ChunkIndex:
         """:meth:`sync` with a table of rel_path, size_bytes, modified_us and text."""
         def fetch(wanted: DataFrame | None) -> DataFrame:
             rows = documents.select("rel_path", "size_bytes", "text")
-            rows = rows if wanted is None else rows_of(rows, wanted, "rel_path")
+            rows = rows if wanted is None else rows_of(rows, wanted.drop("size_bytes"), "rel_path")
             return lib.envelope(rows.withColumn("content_sha256", ops.content_hash("text")))
 
         return self.sync(documents, fetch, indexed_at, **options)
