@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from archivolt import fixed
 from archivolt.functions.dialogue import parse_rules, question_topic
+from archivolt.operators.needles import joined_needles
 from archivolt.operators.ordered import following, joined_text, newest, positions
 from archivolt.session import checkpoint
 
@@ -62,11 +63,11 @@ def batch_sizes(batched: DataFrame, size: int = fixed.ANALYSIS_INTERVAL, conv: s
 
 # --- rules -------------------------------------------------------------------------
 
-# Needles are sent to tasks in parts of about so many characters.
+# Needles of at most so many characters are sent to tasks as one automaton; more are joined.
 NEEDLE_CHARS = 8 << 20
 
 
-def forced_answers(questions: DataFrame, rules: DataFrame, text: str = "text", part: int = NEEDLE_CHARS) -> DataFrame:
+def forced_answers(questions: DataFrame, rules: DataFrame, text: str = "text", most: int = NEEDLE_CHARS) -> DataFrame:
     """Adds ``rule_pos`` and ``forced`` from the first rule that applies, or null.
 
     ``rules`` holds rule_pos and rule.  Of rules with one position the smallest
@@ -77,7 +78,7 @@ def forced_answers(questions: DataFrame, rules: DataFrame, text: str = "text", p
     numbered = checkpoint(questions.withColumn("_row", F.monotonically_increasing_id()))
     words = parsed.select(F.explode("topics").alias("word"), F.struct("rule_pos", F.col("topic_answer").alias("answer")).alias("_rule"))
     words = words.groupBy("word").agg(F.min("_rule").alias("_rule"))
-    hits = holds_word(numbered.select("_row", F.lower(text).alias("_low")), words.select("word"), "_row", "_low", "word", part)
+    hits = holds_word(numbered.select("_row", F.lower(text).alias("_low")), words.select("word"), "_row", "_low", "word", most)
     by_topic = hits.join(words, "word").groupBy("_row").agg(F.min("_rule").alias("_topic"))
     always = parsed.agg(F.min(F.when(
         F.col("any_answer").isNotNull(), F.struct("rule_pos", F.col("any_answer").alias("answer"))))).scalar()
@@ -88,12 +89,13 @@ def forced_answers(questions: DataFrame, rules: DataFrame, text: str = "text", p
     return best.withColumn("rule_pos", pick["rule_pos"]).withColumn("forced", pick["answer"]).drop("_row", "_topic", "_any")
 
 
-def holds_word(texts: DataFrame, needles: DataFrame, row: str, text: str, needle: str, part: int = NEEDLE_CHARS) -> DataFrame:
+def holds_word(texts: DataFrame, needles: DataFrame, row: str, text: str, needle: str, most: int = NEEDLE_CHARS) -> DataFrame:
     """``row, needle`` of every needle that a text holds.
 
-    An automaton of the needles walks each text once, whatever their number;
-    only the row's number and the needle leave it.  Needles beyond one part's
-    size are walked part by part.
+    Needles of at most ``most`` characters together become an automaton that
+    walks each text once, whatever their number; only the row's number and the
+    needle leave it.  A larger table is joined, see :mod:`needles`; the answer
+    is the same.
     """
     from collections.abc import Iterator
 
@@ -102,27 +104,25 @@ def holds_word(texts: DataFrame, needles: DataFrame, row: str, text: str, needle
 
     needles = needles.filter(F.length(needle) > 0).select(needle).distinct()
     size = needles.agg(F.sum(F.length(needle))).first()[0] or 0
-    parts, out = 1 + int(size) // part, None
+    if size > most:
+        return joined_needles(texts, needles, row, text, needle)
+    words = [r[0] for r in needles.collect()]
     kind = texts.schema[row].dataType.simpleString()
-    for k in range(parts):
-        words = [r[0] for r in needles.filter(F.pmod(F.xxhash64(needle), F.lit(parts)) == k).collect()]
-
-        def run(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
-            automaton = ahocorasick.Automaton()
-            for word in words:
-                automaton.add_word(word, word)
-            automaton.make_automaton()
-            for batch in batches:
-                rows, found = [], []
-                for at, held in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    for word in {w for _, w in automaton.iter(held.as_py() or "")} if words else ():
-                        rows.append(at)
-                        found.append(word)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, batch.schema.field(0).type), pa.array(found, pa.string())], [row, needle])
-
-        met = texts.select(row, text).mapInArrow(run, f"{row} {kind}, {needle} string")
-        out = met if out is None else out.unionByName(met)
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for at, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for word in {w for _, w in automaton.iter(held.as_py() or "")} if words else ():
+                    rows.append(at)
+                    found.append(word)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, batch.schema.field(0).type), pa.array(found, pa.string())], [row, needle])
+
+    return texts.select(row, text).mapInArrow(run, f"{row} {kind}, {needle} string")
 
 
 # --- topics --------------------------------------------------------------------------

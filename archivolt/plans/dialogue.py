@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from archivolt import fixed
 from archivolt.functions import dialogue as dlg, text as tx
-from archivolt.operators import dialogue as dl, ordered
+from archivolt.operators import dialogue as dl, needles, ordered
 from archivolt.plans import Tables, query
 from archivolt.plans.library import strip_sql
 from archivolt.sources import records
@@ -210,7 +210,7 @@ def forced_answers(t: Tables) -> DataFrame:
 def forced_answers_long_list(t: Tables) -> DataFrame:
     """The same with the needles sent in several parts."""
     asked = t.conversations.filter("role = 'user'").select("conv_id", "turn", "text")
-    return dl.forced_answers(asked, _rules(t), part=8).select("conv_id", "turn", "rule_pos", "forced")
+    return dl.forced_answers(asked, _rules(t), most=8).select("conv_id", "turn", "rule_pos", "forced")
 
 
 # --- labels, listings ------------------------------------------------------------------
@@ -219,6 +219,16 @@ ROUTE_WORDS = ["general", " Researcher ", "el agente MENTOR, creo", "comentario
 ROUTE_SQL = "[" + ", ".join(f"'{w}'" for w in ROUTE_WORDS) + "][((conv_id + turn) % 7 + 1)::INT]"
 
 
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS needle FROM benchmark),
+n AS (SELECT needle FROM w WHERE length(needle) > 0)
+SELECT conv_id, turn, needle FROM conversations JOIN n ON contains(lower(text), needle)""")
+def held_words(t: Tables) -> DataFrame:
+    """Every word of any benchmark item in every turn, found by joins on the words' rarest pieces."""
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("needle"))
+    turns = t.conversations.select(F.struct("conv_id", "turn").alias("at"), F.lower("text").alias("text"))
+    return needles.joined_needles(turns, words, "at", "text", "needle").select("at.*", "needle")
+
+
 @query(f"""WITH r AS (SELECT conv_id, turn, lower({strip_sql(ROUTE_SQL)}) AS r FROM conversations)
 SELECT conv_id, turn, CASE WHEN r IN ('general', 'estadistica', 'researcher', 'mentor', 'arquitecto') THEN r
   ELSE coalesce(nullif(regexp_extract(r, '\\b(general|estadistica|researcher|mentor|arquitecto)\\b', 1), ''), 'general') END AS route FROM r""")

@@ -73,12 +73,12 @@ RULES = [
 def test_rules(spark, part):
     rules = spark.createDataFrame(RULES, "rule_pos int, rule string")
     asked = spark.createDataFrame([("¿Cómo está el CLIMA,?",), ("quién es messi",), ("zzz",)], "text string")
-    got = {r["text"]: (r["rule_pos"], r["forced"]) for r in dl.forced_answers(asked, rules, part=part).collect()}
+    got = {r["text"]: (r["rule_pos"], r["forced"]) for r in dl.forced_answers(asked, rules, most=part).collect()}
     assert got == {"¿Cómo está el CLIMA,?": (1, "llueve"), "quién es messi": (2, "el mejor"), "zzz": (4, "hola")}
     none = dl.forced_answers(asked, rules.filter("rule_pos = 0")).select("forced").collect()
     assert [r[0] for r in none] == [None] * 3
     shared = spark.createDataFrame([(1, "si te pregunto por x responde omega"), (1, "si te pregunto por x responde abc"), (1, "siempre responde aa")], "rule_pos int, rule string")
-    one = dl.forced_answers(spark.createDataFrame([("x y",), ("q",)], "text string"), shared, part=part).collect()
+    one = dl.forced_answers(spark.createDataFrame([("x y",), ("q",)], "text string"), shared, most=part).collect()
     assert {r["text"]: r["forced"] for r in one} == {"x y": "abc", "q": "aa"}
 
 
