@@ -117,6 +117,21 @@ def near_top_k(corpus: DataFrame, questions: DataFrame, k: int, key: str = "chun
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", key, "distance")
 
 
+def asked_once(questions: DataFrame) -> DataFrame:
+    """``query_id, sub, embedding`` and the filters: a search asked twice is one search.
+
+    Of different ones under one name the smallest counts, however many
+    questions there are.
+    """
+    have = set(questions.columns)
+    questions = questions.select(
+        F.col("query_id").cast("string").alias("query_id"),
+        (F.col("sub") if "sub" in have else F.lit(0)).cast("int").alias("sub"), "embedding",
+        *[(F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in FILTERS])
+    same = F.min(F.struct("embedding", *FILTERS)).alias("_ask")
+    return questions.groupBy("query_id", "sub").agg(same).select("query_id", "sub", "_ask.*")
+
+
 def top_k(corpus: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """The ``k`` nearest chunks of every question: query_id, sub, rank, key, distance.
 
@@ -125,18 +140,11 @@ def top_k(corpus: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id"
     ``name_has``; a null filter is none.  Ties go to the smaller key.
     """
     have = set(questions.columns)
-    questions = questions.select(
-        F.col("query_id").cast("string").alias("query_id"),
-        (F.col("sub") if "sub" in have else F.lit(0)).cast("int").alias("sub"), "embedding",
-        *[(F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in FILTERS])
+    questions = asked_once(questions)
     optional = {"category": "category", "chapter": "chapter", "name_has": "name"}
     used = [optional[c] for c in FILTERS if c in have]
     corpus = corpus.select(
         key, "embedding", *[F.col(c).cast("string").alias(c) for c in used])
-    # A search asked twice is one search.  Of different ones under one name the
-    # smallest counts, however many questions there are.
-    same = F.min(F.struct("embedding", *FILTERS)).alias("_ask")
-    questions = questions.groupBy("query_id", "sub").agg(same).select("query_id", "sub", "_ask.*")
     hits = None
     for block in _blocks(questions):
         if len(block):
