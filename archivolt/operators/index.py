@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from archivolt.functions import paths
 from archivolt.functions.text import chunk_text, is_indexable
+from archivolt.session import checkpoint
 
 MANIFEST_SCHEMA = (
     "rel_path string, content_sha256 string, size_bytes long, modified_us long, indexed_at string, "
-    "chunk_count long, last_operation string, last_error string, segment string"
+    "chunk_count long, last_operation string, last_error string"
 )
 
 
@@ -58,7 +59,8 @@ def settle_changes(looks: DataFrame, hashes: DataFrame, rebuild: bool = False) -
 
 def detect_changes(library: DataFrame, manifest: DataFrame, rebuild: bool = False) -> DataFrame:
     """Both steps for a library that carries its text (a table, not files)."""
-    looks = stat_changes(library, manifest, rebuild)
+    # Written down: the join of library and manifest is made once.
+    looks = checkpoint(stat_changes(library, manifest, rebuild))
     wanted = looks.filter("look in ('new', 'check')").select("rel_path")
     # Hashed where the text is; only the hashes travel to the join.
     hashes = library.select("rel_path", content_hash("text").alias("content_sha256")).join(wanted, "rel_path")
@@ -69,6 +71,10 @@ def deleted_paths(library: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.select("rel_path").join(library.select("rel_path"), "rel_path", "left_anti")
 
 
+def chunk_id(doc_id: str, place: str) -> Column:
+    return F.concat(F.col(doc_id).cast("string"), F.lit(":chunk:"), F.col(place).cast("string"))
+
+
 def make_chunks(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Chunks of every indexable document with ids that never change.
 
@@ -79,7 +85,7 @@ def make_chunks(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
     cut = documents.filter(is_indexable(text)).select(
         doc_id, *rest, F.posexplode(chunk_text(text)).alias("chunk_ix", "_chunk"))
     return cut.select(
-        F.concat(F.col(doc_id).cast("string"), F.lit(":chunk:"), F.col("chunk_ix").cast("string")).alias("chunk_id"),
+        chunk_id(doc_id, "chunk_ix").alias("chunk_id"),
         doc_id, "chunk_ix", F.col("_chunk.text").alias("text"), F.col("_chunk.chapter").alias("chapter"), *rest)
 
 
@@ -154,9 +160,8 @@ def sync_summary(items: DataFrame, mode: str = "sync") -> DataFrame:
     ).withColumn("mode", F.lit(mode))
 
 
-def next_manifest(manifest: DataFrame, changes: DataFrame, items: DataFrame, indexed_at: str,
-                  segment: str | None = None) -> DataFrame:
-    """The manifest after a run, whose chunks are in ``segment``.
+def next_manifest(manifest: DataFrame, changes: DataFrame, items: DataFrame, indexed_at: str) -> DataFrame:
+    """The manifest after a run.
 
     Indexed documents get fresh rows, touched ones the new size and time;
     a failure keeps the last good state of a known document and adds no row
@@ -169,7 +174,6 @@ def next_manifest(manifest: DataFrame, changes: DataFrame, items: DataFrame, ind
     good, bad, moved = F.col("status") == "indexed", F.col("status") == "failed", F.col("change") == "touched"
     pick = lambda when, new, old: F.when(F.coalesce(when, F.lit(False)), new).otherwise(old)
     known = F.col("last_operation").isNotNull()
-    old_segment = F.col("segment") if "segment" in manifest.columns else F.lit(None).cast("string")
     return state.filter((F.coalesce("change", F.lit("unchanged")) != "deleted") & (known | good)).select(
         "rel_path",
         pick(good, F.col("_h"), F.col("content_sha256")).alias("content_sha256"),
@@ -178,7 +182,6 @@ def next_manifest(manifest: DataFrame, changes: DataFrame, items: DataFrame, ind
         pick(good, F.lit(indexed_at), F.col("indexed_at")).alias("indexed_at"),
         pick(good, F.col("_n"), F.col("chunk_count")).alias("chunk_count"),
         pick(good, F.lit("indexed"), pick(bad, F.lit("failed"), F.col("last_operation"))).alias("last_operation"),
-        pick(good, F.lit(None).cast("string"), pick(bad, F.col("error"), F.col("last_error"))).alias("last_error"),
-        pick(good, F.lit(segment).cast("string"), old_segment).alias("segment"))
+        pick(good, F.lit(None).cast("string"), pick(bad, F.col("error"), F.col("last_error"))).alias("last_error"))
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from archivolt.session import checkpoint
+
 SPAN = 1 << 16
 
 
@@ -102,18 +104,19 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
 
 
-# Up to this many keys (of about 100 bytes) are sent to the rows they select.
-BROADCAST_KEYS = 1_000_000
+# Keys of at most so many bytes, written out, are sent to the rows they select.
+BROADCAST_BYTES = 64 << 20
 
 
 def rows_of(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows whose key is in ``keys`` (unique), joined with its columns.
 
-    The keys are counted; while they are few the rows, which may carry whole
-    texts, stay where they are.
+    The keys are computed once and their bytes added up; while they fit, the
+    rows, which may carry whole texts, stay where they are.
     """
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return rows.join(F.broadcast(keys) if few else keys, on)
+    keys = checkpoint(keys)
+    size = keys.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*keys.columns)))), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, on)
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:

@@ -75,7 +75,7 @@ def streaming_ingest(t: Tables) -> DataFrame:
     folder = scratch_folder(t.spark)
     index = ChunkIndex(t.spark, f"{folder}/index")
     landed = _v1(Streamed(t))
-    ingest.start_ingest(landed, index, "documents", f"{folder}/state", lambda n: f"batch {n}", once=True).awaitTermination()
+    ingest.start_ingest(landed, index, f"{folder}/state", lambda n: f"batch {n}", once=True).awaitTermination()
     return index.manifest().select(F.col("rel_path").alias("doc_id"), "content_sha256")
 
 

@@ -25,25 +25,24 @@ def landing_files(spark: SparkSession, root: str, per_batch: int = 10_000) -> Da
     return rows.withColumn("text", lib.decode_text("content")).drop("content")
 
 
-def index_batch(index: ChunkIndex, stream: str, indexed_at: Callable[[int], str]) -> Callable[[DataFrame, int], None]:
+def index_batch(index: ChunkIndex, indexed_at: Callable[[int], str]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that brings a batch into the index.
 
     Nothing is deleted: a batch says nothing about files it does not hold.
-    The batch number is published with the version, so a batch that comes
-    again after a crash is seen to be in already.
+    Only the partitions of the batch's documents are read, and those rewritten
+    that change.  A batch that comes again after a crash finds its documents as
+    they are, or replaces them once more under the same ids.
     """
     def run(batch: DataFrame, number: int) -> None:
-        if index.state()["batches"].get(stream, -1) >= number:
-            return
         # Of a file that changed twice in one batch the newest state counts.
         newest = first_seen(batch, ["rel_path"], [F.desc("modified_us")])
-        index.sync_table(newest, indexed_at(number), remove_missing=False, batch=(stream, number))
+        index.sync_table(newest, indexed_at(number), remove_missing=False)
 
     return run
 
 
-def start_ingest(stream: DataFrame, index: ChunkIndex, name: str, checkpoint: str, indexed_at: Callable[[int], str],
+def start_ingest(stream: DataFrame, index: ChunkIndex, checkpoint: str, indexed_at: Callable[[int], str],
                  once: bool = False) -> StreamingQuery:
     """Starts the ingest; ``once`` works off what is there and ends."""
-    writer = stream.writeStream.foreachBatch(index_batch(index, name, indexed_at)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(index_batch(index, indexed_at)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()

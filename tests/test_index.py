@@ -22,6 +22,11 @@ def outcome(items):
     return {r["rel_path"]: (r["change"], r["status"]) for r in items.collect()}
 
 
+def stored(root):
+    """Every data file of an index, with its time."""
+    return {os.path.join(d, n): os.stat(os.path.join(d, n)).st_mtime_ns for d, _, names in os.walk(root) for n in names if n.endswith(".parquet")}
+
+
 def consistent(index):
     chunks, manifest = index.chunks(), index.manifest()
     ids = [r[0] for r in chunks.select("chunk_id").collect()]
@@ -56,9 +61,9 @@ def test_life_of_an_index(spark, scratch):
     assert known["a/change.md"]["indexed_at"] == "t2" and "a/short.md" not in known
     assert "nuevo" in index.chunks().filter("doc_id = 'a/change.md'").orderBy(F.desc("chunk_ix")).first()["text"]
 
-    version = index.state()["version"]
+    files = stored(scratch)
     third = index.sync_table(table(spark, [r for r in V2 if r[0] != "a/short.md"]), "t3")
-    assert {v[1] for v in outcome(third).values()} == {"skipped"} and index.state()["version"] == version
+    assert {v[1] for v in outcome(third).values()} == {"skipped"} and stored(scratch) == files
 
     rebuilt = index.sync_table(table(spark, V2), "t4", rebuild=True)
     assert ix.sync_summary(rebuilt, "rebuild").first()["reindexed_modified"] == 5
@@ -71,7 +76,7 @@ def test_rebuild_equals_first_build(spark, scratch):
     one.sync_table(table(spark, V2), "t")
     one.sync_table(table(spark, V2), "t", rebuild=True)
     two.sync_table(table(spark, V2), "t")
-    rows = lambda i: sorted(map(tuple, i.chunks().drop("segment").collect()))
+    rows = lambda i: sorted(map(tuple, i.chunks().collect()))
     assert rows(one) == rows(two)
 
 
@@ -98,59 +103,43 @@ def test_delete_is_idempotent_and_exact(spark, scratch):
     assert "b/keep.md" in consistent(index) and "a/keep.md" not in consistent(index)
 
 
-def test_compact_and_vacuum_change_nothing_visible(spark, scratch):
-    index = ChunkIndex(spark, scratch)
-    index.sync_table(table(spark, V1), "t1")
-    index.sync_table(table(spark, V2), "t2")
-    before = consistent(index)
-    index.compact()
-    assert consistent(index) == before and index.state()["dead"] == []
-    index.vacuum()
-    assert consistent(index) == before and len(os.listdir(scratch + "/chunks")) == 1
-    assert outcome(index.sync_table(table(spark, V2[:2]), "t3"))["c/new.md"] == ("deleted", "deleted")
-    assert set(consistent(index)) == {"a/keep.md", "a/touch.md"}
-
-
-def test_run_that_dies_before_publishing_leaves_the_old_version(spark, scratch, monkeypatch):
+def test_a_run_rewrites_touched_partitions_only(spark, scratch):
+    index = ChunkIndex(spark, scratch, buckets=8)
+    rows = [(f"d{i}.md", BODY + str(i), 1) for i in range(40)]
+    index.sync_table(table(spark, rows), "t1")
+    before = stored(scratch)
+    rows[3] = ("d3.md", BODY * 2, 2)
+    assert outcome(index.sync_table(table(spark, rows), "t2"))["d3.md"] == ("modified", "indexed")
+    place = lambda f: os.path.relpath(os.path.dirname(f), scratch)
+    changed = {place(f) for f in before.items() ^ stored(scratch).items() for f in [f[0]]}
+    assert len(changed) == 2 and {c.split("/")[0] for c in changed} == {"chunks_8", "documents_8"}
+    assert len({place(f) for f in before}) > 8 and len(consistent(index)) == 40
+    # The number of partitions stays, whatever is asked for later; an emptied partition holds nothing.
+    again = ChunkIndex(spark, scratch, buckets=3)
+    assert again.buckets == 8
+    again.sync_table(table(spark, rows[:1]), "t3")
+    assert set(consistent(again)) == {"d0.md"} and not [n for n in os.listdir(scratch) if n.startswith("stage")]
+
+
+@pytest.mark.parametrize("second", [V2, V1[:2]])
+def test_run_that_dies_between_its_tables_is_made_up_for(spark, scratch, monkeypatch, second):
+    """Chunks are in, documents are not: the next run settles it."""
     index = ChunkIndex(spark, scratch)
     index.sync_table(table(spark, V1), "t1")
-    before = consistent(index)
+    replace = ChunkIndex._replace
 
-    def die(self, state):
-        raise OSError("disk full")
+    def die(self, name, *rest):
+        if name == "documents":
+            raise OSError("disk full")
+        replace(self, name, *rest)
 
     with monkeypatch.context() as m:
-        m.setattr(ChunkIndex, "_publish", die)
+        m.setattr(ChunkIndex, "_replace", die)
         with pytest.raises(OSError):
-            index.sync_table(table(spark, V2), "t2")
-    assert consistent(index) == before
-    index.sync_table(table(spark, V2), "t2")
-    assert set(consistent(index)) == {"a/keep.md", "a/touch.md", "a/change.md", "b/keep.md", "c/new.md"}
-
-
-def test_two_runs_cannot_publish_one_version(spark, scratch):
-    index = ChunkIndex(spark, scratch)
-    index.sync_table(table(spark, V1[:1]), "t1")
-    with pytest.raises(RuntimeError):
-        index._publish({**index.state()})
-
-
-def test_a_run_that_is_overtaken_begins_anew(spark, scratch, monkeypatch):
-    """Another run publishes between this one's first look and its own commit; both documents are there afterwards."""
-    index, other = ChunkIndex(spark, scratch), ChunkIndex(spark, scratch)
-    index.sync_table(table(spark, V1[:1]), "t1")
-    calls, publish = [], ChunkIndex._publish
-
-    def slow(self, state):
-        if self is index and not calls:
-            calls.append(1)
-            other.sync_table(table(spark, V1[:2]), "other", remove_missing=False)
-        publish(self, state)
-
-    monkeypatch.setattr(ChunkIndex, "_publish", slow)
-    index.sync_table(table(spark, V1[2:3]), "t2", remove_missing=False)
-    assert calls and set(consistent(index)) == {r[0] for r in V1[:3]}
-    assert index.state()["version"] == 3 and not [n for n in os.listdir(scratch + "/commits") if n.endswith(".tmp")]
+            index.sync_table(table(spark, second), "t2")
+    assert {r["rel_path"] for r in index.manifest().collect()} == {r[0] for r in V1 if r[0] != "a/short.md"}
+    index.sync_table(table(spark, second), "t2")
+    assert set(consistent(index)) == {r[0] for r in second if r[0] != "a/short.md"}
 
 
 def test_documents_too_short_are_not_read_again(spark, scratch):
@@ -158,31 +147,18 @@ def test_documents_too_short_are_not_read_again(spark, scratch):
     rows = V1 + [("z/short.md", "corto", 1)]
     first = index.sync_table(table(spark, rows), "t1")
     assert outcome(first)["z/short.md"] == ("new", "failed")
-    version = index.state()["version"]
+    files = stored(scratch)
 
     def fetch(wanted):
         raise AssertionError("a text was asked for")
 
     again = index.sync(table(spark, rows).drop("text"), fetch, "t2")
     assert outcome(again)["z/short.md"] == ("new", "failed") and again.filter("status = 'failed'").first()["error"]
-    assert index.state()["version"] == version
+    assert stored(scratch) == files
     grown = V1 + [("z/short.md", BODY, 2)]
     assert outcome(index.sync_table(table(spark, grown), "t3"))["z/short.md"] == ("new", "indexed")
 
 
-def test_broken_commit_is_passed_over(spark, scratch):
-    index = ChunkIndex(spark, scratch)
-    index.sync_table(table(spark, V1[:2]), "t1")
-    with open(f"{scratch}/commits/00000002.json", "w") as f:
-        f.write("{broken")
-    with open(f"{scratch}/commits/00000003.json", "w") as f:
-        f.write('{"schema_version": 99, "version": 3}')
-    assert index.state()["version"] == 3 and len(consistent(index)) == 2
-    assert sorted(os.listdir(scratch + "/commits"))[-2:] == ["00000002.json", "00000003.json"]
-    index.sync_table(table(spark, V1), "t2")
-    assert index.state()["version"] == 4
-
-
 def test_empty_index(spark, scratch):
     index = ChunkIndex(spark, scratch + "/none")
     assert index.manifest().count() == 0 and index.chunks() is None
