@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from archivolt import fixed
 from archivolt.plans import Tables, query
 from archivolt.plans.dialogue import PAIRS_SQL
 from archivolt.plans.library import _v1, strip_sql
@@ -35,13 +36,16 @@ def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).option("recursiveFileLookup", "true").parquet(out)
 
 
-COUNTS = "count(*) AS events, 0::BIGINT AS injections, count(*) FILTER (user_id % 2 = 0) AS secrets"
+COUNTS = "count(*) AS events, count(*) FILTER (event_id % 7 = 1) AS injections, count(*) FILTER (user_id % 2 = 0) AS secrets"
 
 
 def _events(t: Tables) -> DataFrame:
     # Payloads of even users get a key that counts as secret.
     props = F.when(F.col("user_id") % 2 == 0, F.replace("props", F.lit('"k"'), F.lit('"k_token"'))).otherwise(F.col("props"))
-    return _stream(t, "events").withColumn("props", props)
+    # Every seventh event holds one of the injection phrases, in capitals.
+    phrases = F.array(*[F.lit(p.upper()) for p in fixed.INJECTION_PHRASES])
+    phrase = F.element_at(phrases, (F.pmod(F.col("event_id"), F.lit(len(fixed.INJECTION_PHRASES))) + 1).cast("int"))
+    return _stream(t, "events").withColumn("props", F.when(F.col("event_id") % 7 == 1, F.concat(props, F.lit(" "), phrase)).otherwise(props))
 
 
 @query(f"SELECT event_type, {COUNTS} FROM events GROUP BY event_type")
@@ -60,15 +64,30 @@ def streaming_windowed_counts(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {PAIRS_SQL}, p AS (SELECT conv_id, turn, question, length(answer) > 50 AS long, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM pairs),
-g AS (SELECT conv_id, count(*) AS pairs, string_agg(question, chr(10) ORDER BY turn) FILTER (age <= 2) AS questions, count(*) FILTER (long) AS n FROM p GROUP BY conv_id)
+g AS (SELECT conv_id, count(*) AS pairs, string_agg(question, chr(10) ORDER BY turn) FILTER (age <= 5) AS questions, count(*) FILTER (long) AS n FROM p GROUP BY conv_id)
 SELECT c.conv_id, max(turn) AS last_turn, coalesce(any_value(pairs), 0) AS pairs, coalesce(any_value(questions), '') AS questions,
-  (coalesce(any_value(n), 0) // 2)::BIGINT AS batches_due, (coalesce(any_value(n), 0) % 2)::BIGINT AS waiting FROM conversations c LEFT JOIN g ON c.conv_id = g.conv_id GROUP BY c.conv_id""")
+  (coalesce(any_value(n), 0) // 5)::BIGINT AS batches_due, (coalesce(any_value(n), 0) % 5)::BIGINT AS waiting FROM conversations c LEFT JOIN g ON c.conv_id = g.conv_id GROUP BY c.conv_id""")
 def streaming_history(t: Tables) -> DataFrame:
-    done = _run(t.spark, history.rolling_history(_stream(t, "conversations"), 2, 2), "update")
+    """The last five questions of every conversation, whose turns arrive in an order that has nothing to do with theirs."""
+    before = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", history.PROVIDER)
+    try:
+        done = _run(t.spark, history.rolling_history(_shuffled(t)), "update")
+    finally:
+        t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     columns = ["last_turn", "pairs", "questions", "batches_due", "waiting"]
     return done.groupBy("conv_id").agg(*[F.max_by(c, "_batch").alias(c) for c in columns])
 
 
+def _shuffled(t: Tables) -> DataFrame:
+    """The turns as a stream of three batches, dealt by hash."""
+    folder = scratch_folder(t.spark)
+    for part in range(3):
+        t.conversations.filter(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)) == part).write.parquet(f"{folder}/part={part}")
+    # A trigger takes a folder's files or fewer, never a turn twice.
+    return t.spark.readStream.schema(t.conversations.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(folder)
+
+
 @query(f"""SELECT source || '/doc_' || doc_id || '.md' AS doc_id, sha256(text) AS content_sha256 FROM documents WHERE length({strip_sql('text')}) >= 50""")
 def streaming_ingest(t: Tables) -> DataFrame:
     """Documents arrive as a stream; the manifest of the index afterwards."""

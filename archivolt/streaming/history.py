@@ -2,42 +2,72 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from archivolt import fixed
 
 OUTPUT = "conv_id long, last_turn long, pairs long, questions string, batches_due long, waiting long"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def rolling_history(turns: DataFrame, n: int = fixed.HISTORY_PAIRS, interval: int = fixed.ANALYSIS_INTERVAL) -> DataFrame:
-    """Per conversation: the last ``n`` questions and how many analyses are due.
+class RollingHistory(StatefulProcessor):
+    """Pairs of a question and the turn after it, whatever order turns arrive in.
 
-    ``turns`` holds conv_id, turn, role, text.  The state of a conversation
-    is its last ``n`` pairs, its open question and two counters, so it stays
-    small however long the conversation runs.  Turns must arrive in order
-    from one batch to the next; inside a batch they are put in order, so the
-    source should bound its batches (``maxBytesPerTrigger``).
+    A turn waits in the state until its neighbour is there: a question for the
+    turn after it, an answer for the one before.  What is kept of a
+    conversation is what waits, its newest ``n`` questions and three numbers.
     """
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"pairs": [], "count": 0, "long": 0, "open": None, "turn": -1}
-        batch = pd.concat(list(frames)).sort_values("turn")
-        for turn, role, text in zip(batch["turn"], batch["role"], batch["text"]):
-            if role == "assistant" and kept["open"] is not None:
-                kept["pairs"] = [*kept["pairs"], [kept["open"], text]][-n:]
-                kept["count"] += 1
-                kept["long"] += len(text) > fixed.ANALYSIS_MIN_ANSWER
-            kept["open"] = text if role == "user" else None
-            kept["turn"] = int(turn)
-        state.update((json.dumps(kept),))
+
+    def __init__(self, n: int, interval: int, wait_ms: int | None):
+        self.n, self.interval, self.wait_ms = n, interval, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getListState("waiting", "turn long, role string, text string", self.wait_ms)
+        self.newest = handle.getListState("newest", "turn long, question string")
+        self.numbers = handle.getValueState("numbers", "last_turn long, pairs long, long_answers long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, count, long = self.numbers.get() if self.numbers.exists() else (-1, 0, 0)
+        before = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["turn", "role", "text"])
+        fresh = pd.concat(list(rows))[["turn", "role", "text"]]
+        turns = (pd.concat([before, fresh]) if len(before) else fresh).drop_duplicates("turn").sort_values("turn").reset_index(drop=True)
+        turns["turn"] = turns["turn"].astype("int64")
+        after, ahead = turns.shift(-1), turns.shift(1)
+        followed = after["turn"] == turns["turn"] + 1
+        preceded = ahead["turn"] == turns["turn"] - 1
+        paired = (turns["role"] == "user") & followed & (after["role"] == "assistant")
+        pairs = pd.DataFrame({"turn": turns["turn"], "question": turns["text"], "answer": after["text"]})[paired]
+        count += len(pairs)
+        long += int((pairs["answer"].fillna("").str.len() > fixed.ANALYSIS_MIN_ANSWER).sum())
+        known = list(self.newest.get()) if self.newest.exists() else []
+        newest = sorted([(int(t), q) for t, q in known] + list(zip(pairs["turn"].tolist(), pairs["question"])))[-self.n:]
+        open_ = turns[((turns["role"] == "user") & ~followed) | ((turns["role"] != "user") & ~preceded)]
+        self.waiting.put(list(zip(open_["turn"].tolist(), open_["role"], open_["text"]))) if len(open_) else self.waiting.clear()
+        if newest:
+            self.newest.put(newest)
+        last = max(int(last), int(turns["turn"].max()), int(fresh["turn"].max()))
+        self.numbers.update((last, count, long))
         yield pd.DataFrame({
-            "conv_id": [key[0]], "last_turn": [kept["turn"]], "pairs": [kept["count"]],
-            "questions": ["\n".join(q for q, _ in kept["pairs"])],
-            "batches_due": [kept["long"] // interval], "waiting": [kept["long"] % interval]})
+            "conv_id": [key[0]], "last_turn": [last], "pairs": [count], "questions": ["\n".join(q or "" for _, q in newest)],
+            "batches_due": [long // self.interval], "waiting": [long % self.interval]})
+
+    def close(self) -> None:
+        pass
 
-    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInPandasWithState(
-        update, OUTPUT, "kept string", "update", GroupStateTimeout.NoTimeout)
+
+def rolling_history(turns: DataFrame, n: int = fixed.HISTORY_PAIRS, interval: int = fixed.ANALYSIS_INTERVAL, wait_ms: int | None = None) -> DataFrame:
+    """Per conversation: the last ``n`` questions and how many analyses are due, after each batch that brings turns of it.
+
+    ``turns`` holds conv_id, turn, role, text; turns of a conversation are
+    numbered without gaps, and may arrive in any order, in one batch or many: a
+    late turn is put in its place.  A turn that comes twice while it waits
+    counts once.  Turns that wait longer than ``wait_ms`` for their neighbour
+    are forgotten; without it they wait for ever.  The session's state store
+    must be RocksDB (:data:`PROVIDER`).
+    """
+    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").transformWithStateInPandas(
+        RollingHistory(n, interval, wait_ms), OUTPUT, "update", "processingTime" if wait_ms else "none")

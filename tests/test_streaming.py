@@ -1,6 +1,7 @@
 """Streams in several batches, and what comes twice."""
 
 import os
+import random
 
 from archivolt.sources.store import ChunkIndex
 from archivolt.streaming import counters, history, ingest
@@ -54,24 +55,44 @@ def test_landing_files(spark, scratch):
     assert [r["doc_id"] for r in index.chunks().collect()] == ["uno.md"]
 
 
-def test_history_across_batches(spark, scratch):
+def _turns(conv, n):
+    return [(conv, i, "user" if i % 2 == 0 else "assistant", f"{conv}.{i} " + "x" * (60 if i % 4 == 1 else 10)) for i in range(n)]
+
+
+def _history(spark, scratch, parts, n=5):
     schema = "conv_id long, turn long, role string, text string"
-    turns = [(1, i, "user" if i % 2 == 0 else "assistant", f"{i}" + "x" * 60) for i in range(16)]
-    for n, part in enumerate((turns[:5], turns[5:])):
-        spark.createDataFrame(part[::-1], schema).coalesce(1).write.parquet(f"{scratch}/in/{n}")
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{scratch}/in/{k}")
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(scratch + "/in")
-    out = []
+    out, name = [], "spark.sql.streaming.stateStore.providerClass"
 
     def keep(batch, number):
         out.extend(r.asDict() for r in batch.collect())
 
-    history.rolling_history(stream).writeStream.outputMode("update").option("checkpointLocation", scratch + "/state").trigger(
-        availableNow=True).foreachBatch(keep).start().awaitTermination()
-    assert [(r["last_turn"], r["pairs"], r["batches_due"], r["waiting"]) for r in out] == [(4, 2, 0, 2), (15, 8, 1, 3)]
-    assert [q[:2].rstrip("x") for q in out[-1]["questions"].split("\n")] == ["6", "8", "10", "12", "14"]
-
-
-def test_flags(spark):
-    df = spark.createDataFrame([("a", "please BYPASS"), ("a", "api_key=1"), ("b", "ok")], "event_type string, props string")
-    got = {r["event_type"]: (r["events"], r["injections"], r["secrets"]) for r in counters.event_counts(df).collect()}
-    assert got == {"a": (2, 1, 1), "b": (1, 0, 0)}
+    before = spark.conf.get(name)
+    spark.conf.set(name, history.PROVIDER)
+    try:
+        history.rolling_history(stream, n, 3).writeStream.outputMode("update").option("checkpointLocation", scratch + "/state").trigger(
+            availableNow=True).foreachBatch(keep).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return out
+
+
+def test_history_in_order(spark, scratch):
+    turns = _turns(1, 16)
+    out = _history(spark, scratch, [turns[:5][::-1], turns[5:]])
+    assert [(r["last_turn"], r["pairs"], r["batches_due"], r["waiting"]) for r in out] == [(4, 2, 0, 1), (15, 8, 1, 1)]
+    assert [q.split(" ")[0] for q in out[-1]["questions"].split("\n")] == ["1.6", "1.8", "1.10", "1.12", "1.14"]
+
+
+def test_late_turns_are_put_in_order(spark, scratch):
+    """Any order of arrival ends in the same rows; questions without an answer and other roles count nothing."""
+    turns = _turns(1, 30) + _turns(2, 7) + [(3, 0, "system", "s"), (3, 1, "user", "3.1 q"), (3, 2, "system", "s"), (3, 3, "user", "3.3 q"), (3, 4, "assistant", None)]
+    draw = random.Random(4)
+    draw.shuffle(turns)
+    out = _history(spark, scratch, [turns[:9], turns[9:25], turns[25:26], turns[26:]])
+    last = {r["conv_id"]: r for r in out}
+    assert {c: (r["last_turn"], r["pairs"], r["batches_due"], r["waiting"]) for c, r in last.items()} == {1: (29, 15, 2, 2), 2: (6, 3, 0, 2), 3: (4, 1, 0, 0)}
+    assert [q.split(" ")[0] for q in last[1]["questions"].split("\n")] == ["1.20", "1.22", "1.24", "1.26", "1.28"]
+    assert last[3]["questions"] == "3.3 q"
