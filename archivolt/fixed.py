@@ -5,6 +5,7 @@ CHUNK_SIZE = 500
 CHUNK_OVERLAP = 100
 MIN_CHUNK_CHARS = 20          # a chunk is kept when longer than this
 MIN_DOCUMENT_CHARS = 50       # a stripped document shorter than this gets no chunks
+NAMED_CHAPTERS = 5   # as many as an exam looks at; a chat looks at three
 CHAPTER_HEAD_CHARS = 500
 LARGE_TEXT_CHARS = 80000
 N_RESULTS = 5

@@ -93,29 +93,41 @@ def chapter_label(c) -> Column:
     return F.when(likely & found.isNotNull(), F.concat(F.lit("capitulo_"), number))
 
 
-# Of a range of chapters so many are named at most; searches look at the first five.
-NAMED_CHAPTERS = 1000
-
-
-def chapter_request(c, extra_word: str = "", named: int = NAMED_CHAPTERS) -> Column:
-    """Chapters a question asks for: a range, else a single one, else null.
+def chapter_range(c, extra_word: str = "") -> Column:
+    """What a question asks for: ``low, high`` of a range of chapters, else the ``label`` of a single one, else null.
 
     ``extra_word`` adds another range word (exam requests also say ``hasta``).
-    A range that runs backwards asks for nothing and gives an empty list; of a
-    longer one than ``named`` the first so many are named, whatever the question
-    says.
+    A range that runs backwards has a ``low`` above its ``high``.
     """
     c = _col(c)
     joiner = "al|a|y" + (f"|{extra_word}" if extra_word else "")
     span = rf"(?iuU)cap[íi]tulos?\s+(\d+)\s+(?:{joiner})\s+(\d+)"
-    low = F.try_to_number(F.regexp_extract(c, span, 1), F.lit("9" * 18)).cast("long")
-    high = F.try_to_number(F.regexp_extract(c, span, 2), F.lit("9" * 18)).cast("long")
+    number = lambda i: F.try_to_number(F.regexp_extract(c, span, i), F.lit("9" * 18)).cast("long")
+    low, high = number(1), number(2)
+    # Numbers of more than 18 digits name no chapters.
+    whole = low.isNotNull() & high.isNotNull()
     single = F.nullif(F.regexp_extract(c, r"(?iuU)cap[íi]tulo\s+(\d+)", 1), F.lit(""))
+    none = F.lit(None).cast("string")
+    return (
+        F.when(c.rlike(span), F.struct(F.when(whole, low).otherwise(1).alias("low"), F.when(whole, high).otherwise(0).alias("high"), none.alias("label")))
+        .when(single.isNotNull(), F.struct(F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"), F.concat(F.lit("capitulo_"), single).alias("label")))
+    )
+
+
+def chapter_request(c, extra_word: str = "", first: int = fixed.NAMED_CHAPTERS) -> Column:
+    """The ``first`` chapters that a question asks for, in order, null where it names none.
+
+    A range that runs backwards asks for nothing and gives an empty list.
+    Searches look at the first few chapters only (3 in a chat, 5 for an exam);
+    :func:`chapter_range` holds a whole range, however long, in two numbers.
+    """
+    asked = chapter_range(c, extra_word)
     label = lambda n: F.concat(F.lit("capitulo_"), n.cast("string"))
+    low, high = asked["low"], asked["high"]
     return (
-        F.when(low.isNotNull() & high.isNotNull() & (low <= high), F.transform(F.sequence(low, F.least(high, low + (named - 1))), label))
-        .when(c.rlike(span), F.array().cast("array<string>"))
-        .when(single.isNotNull(), F.array(label(single)))
+        F.when(asked["label"].isNotNull(), F.array(asked["label"]))
+        .when(low <= high, F.transform(F.sequence(low, F.least(high, low + (first - 1))), label))
+        .when(low > high, F.array().cast("array<string>"))
     )
 
 

@@ -11,6 +11,24 @@ from archivolt.operators.ordered import first_seen
 from archivolt.session import checkpoint
 
 
+def _asked(client: Callable, prompts: list, places: list[int], answers: list, errors: list, size: int) -> None:
+    """Fills in the answers to the prompts at ``places``; a batch that fails is asked row by row."""
+    for lo in range(0, len(places), size):
+        part = places[lo:lo + size]
+        try:
+            got = list(client([prompts[i] for i in part]))
+            if len(got) != len(part):
+                raise ValueError(f"{len(got)} answers to {len(part)} prompts")
+            for i, answer in zip(part, got):
+                answers[i] = answer
+        except Exception:  # noqa: BLE001 - each row keeps its own message
+            for i in part:
+                try:
+                    answers[i] = client([prompts[i]])[0]
+                except Exception as exc:  # noqa: BLE001
+                    errors[i] = f"{type(exc).__name__}: {exc}"
+
+
 def enrich(df: DataFrame, make_client: Callable[[], Callable[[list[str]], list[str]]], prompt: str,
            out: str = "answer", error: str = "error", batch_size: int = 64,
            partitions: int | None = None) -> DataFrame:
@@ -35,20 +53,7 @@ def enrich(df: DataFrame, make_client: Callable[[], Callable[[list[str]], list[s
             asked = [i for i, p in enumerate(prompts) if p is not None]
             answers: list[str | None] = [None] * len(prompts)
             errors: list[str | None] = [None] * len(prompts)
-            for at in range(0, len(asked), batch_size):
-                places = asked[at:at + batch_size]
-                try:
-                    got = list(client([prompts[i] for i in places]))
-                    if len(got) != len(places):
-                        raise ValueError(f"{len(got)} answers to {len(places)} prompts")
-                    for i, answer in zip(places, got):
-                        answers[i] = answer
-                except Exception:  # noqa: BLE001 - each row keeps its own message
-                    for i in places:
-                        try:
-                            answers[i] = client([prompts[i]])[0]
-                        except Exception as exc:  # noqa: BLE001
-                            errors[i] = f"{type(exc).__name__}: {exc}"
+            _asked(client, prompts, asked, answers, errors, batch_size)
             result = frame.drop(columns=[c for c in (out, error) if c in frame.columns])
             result[out], result[error] = answers, errors
             yield result[schema.names]
@@ -56,6 +61,26 @@ def enrich(df: DataFrame, make_client: Callable[[], Callable[[list[str]], list[s
     return df.mapInPandas(run, schema)
 
 
+def enrich_by(df: DataFrame, clients: dict[str, Callable], model: str, prompt: str, out: str = "answer", error: str = "error", batch_size: int = 64) -> DataFrame:
+    """:func:`enrich` where each row names the model in ``clients`` that is asked; a batch holds rows of one model."""
+    schema = T.StructType([f for f in df.schema.fields if f.name not in (out, error)] + [T.StructField(out, T.StringType()), T.StructField(error, T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict[str, Callable] = {}
+        for frame in batches:
+            result = frame.drop(columns=[c for c in (out, error) if c in frame.columns]).reset_index(drop=True)
+            answers, errors = [None] * len(result), [None] * len(result)
+            prompts = result[prompt].tolist()
+            for name, places in result.groupby(model).indices.items():
+                if name not in made:
+                    made[name] = clients[name]()
+                _asked(made[name], prompts, places.tolist(), answers, errors, batch_size)
+            result[out], result[error] = answers, errors
+            yield result[schema.names]
+
+    return df.mapInPandas(run, schema)
+
+
 def ask(df: DataFrame, make_client: Callable, prompt: str, out: str = "answer", error: str = "error", **options) -> DataFrame:
     """:func:`enrich` once and for all: only a row's number and its prompt go to the model, and the answers are written down."""
     numbered = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))

@@ -12,8 +12,9 @@ from archivolt.functions import dialogue as dlg
 from archivolt.functions import exam as ex
 from archivolt.functions.text import clean_text, strip
 from archivolt.functions.urls import safe_name, to_ascii
-from archivolt.operators.enrich import enrich, with_cache
-from archivolt.operators.ordered import joined_text
+from archivolt.operators.enrich import ask, enrich, enrich_by, with_cache
+from archivolt.operators.ordered import joined_text, running
+from archivolt.session import checkpoint
 from archivolt.sources.records import accepted_notes
 
 Client = Callable[[], Callable[[list[str]], list[str]]]
@@ -92,7 +93,7 @@ def theme_relevance(pages: DataFrame, client: Client, theme: str, text: str = "t
     A failed call means not relevant.
     """
     prompt = F.concat(F.lit(f"Tema: {theme}\n"), F.substring(text, 1, fixed.THEME_CHARS))
-    asked = enrich(pages.withColumn("_prompt", prompt), client, "_prompt", "_answer", "_error").drop("_prompt")
+    asked = ask(pages.withColumn("_prompt", prompt), client, "_prompt", "_answer", "_error").drop("_prompt")
     yes = F.upper(strip(to_ascii("_answer"))).startswith("SI")
     return asked.withColumn("relevant", F.coalesce(yes & F.col("_error").isNull(), F.lit(False))).drop("_answer", "_error")
 
@@ -100,24 +101,30 @@ def theme_relevance(pages: DataFrame, client: Client, theme: str, text: str = "t
 def subfolder(pages: DataFrame, client: Client, theme: str, text: str = "text") -> DataFrame:
     """Adds ``subfolder``, a safe name from the answer; ``general`` when the call fails."""
     prompt = F.concat(F.lit(f"Carpeta para: {theme}\n"), F.substring(text, 1, fixed.THEME_CHARS))
-    asked = enrich(pages.withColumn("_prompt", prompt), client, "_prompt", "_answer", "_error").drop("_prompt")
+    asked = ask(pages.withColumn("_prompt", prompt), client, "_prompt", "_answer", "_error").drop("_prompt")
     named = safe_name(F.coalesce("_answer", F.lit("")), "general", 50)
     return asked.withColumn("subfolder", F.when(F.col("_error").isNull(), named).otherwise(F.lit("general"))).drop("_answer", "_error")
 
 
 def route(questions: DataFrame, client: Client, text: str = "text") -> DataFrame:
     """Adds ``route``, one of the five labels; the default when the call fails."""
-    asked = enrich(questions, client, text, "_answer", "_error")
+    asked = ask(questions, client, text, "_answer", "_error")
     return asked.withColumn("route", F.when(F.col("_error").isNull(), dlg.route_label("_answer")).otherwise(
         F.lit(fixed.DEFAULT_ROUTE))).drop("_answer", "_error")
 
 
 def compare_models(prompts: DataFrame, clients: dict[str, Client], key: str, prompt: str) -> DataFrame:
-    """Answers of several models side by side, a column per model, joined by key."""
-    out = prompts
-    for name, client in clients.items():
-        out = enrich(out, client, prompt, name, f"{name}_error")
-    return out.select(key, prompt, *[c for n in clients for c in (n, f"{n}_error")])
+    """Answers of several models side by side, a column per model, for each prompt.
+
+    Every prompt becomes a row per model, so all models are asked in one pass,
+    each for a batch of its own; a row's number and prompt are all that travels.
+    """
+    numbered = checkpoint(prompts.select(key, prompt).withColumn("_row", F.monotonically_increasing_id()))
+    asked = numbered.filter(F.col(prompt).isNotNull()).select("_row", prompt, F.explode(F.array(*map(F.lit, clients))).alias("_model"))
+    answers = checkpoint(enrich_by(asked, clients, "_model", prompt).drop(prompt))
+    wide = answers.groupBy("_row").pivot("_model", list(clients)).agg(F.first("answer").alias("answer"), F.first("error").alias("error"))
+    named = wide.select("_row", *[F.col(c).alias(n) for m in clients for c, n in ((f"{m}_answer", m), (f"{m}_error", f"{m}_error"))])
+    return numbered.join(named, "_row", "left").drop("_row")
 
 
 # --- memory and notes ----------------------------------------------------------------
@@ -126,7 +133,7 @@ def memory_notes(pairs: DataFrame, client: Client, ts: Column | str = "") -> Dat
     """Notes found in turn pairs, with the status they would be stored under."""
     whole = pairs.filter((F.coalesce("question", F.lit("")) != "") & (F.coalesce("answer", F.lit("")) != ""))
     prompt = F.concat(F.col("question"), F.lit("\n---\n"), F.substring("answer", 1, fixed.MEMORY_ANSWER_CHARS))
-    asked = enrich(whole.withColumn("_prompt", prompt), client, "_prompt", "_answer", "_error")
+    asked = ask(whole.withColumn("_prompt", prompt), client, "_prompt", "_answer", "_error")
     noted = asked.withColumn("_note", dlg.memory_note("_answer")).filter(F.col("_note").isNotNull())
     rest = [c for c in pairs.columns if c not in ("question", "answer")]
     stamp = ts if isinstance(ts, Column) else F.lit(ts)
@@ -166,7 +173,7 @@ def exam_prompts(requests: DataFrame, contexts: DataFrame, key: str = "request_i
 
 def exam_questions(prompts: DataFrame, client: Client, prompt: str, key: str = "request_id") -> DataFrame:
     """Questions of the generated exams, one row each; a failed call keeps its error."""
-    asked = enrich(prompts, client, prompt, "_answer", "error")
+    asked = ask(prompts, client, prompt, "_answer", "error")
     # One pass, so that the model is asked once: a failed row has no questions.
     parsed = F.when(F.col("error").isNull(), ex.parse_questions("_answer"))
     return asked.select(key, "error", F.posexplode_outer(parsed).alias("place", "q")).select(key, "place", "q.*", "error")
@@ -174,7 +181,7 @@ def exam_questions(prompts: DataFrame, client: Client, prompt: str, key: str = "
 
 def grade_answers(answers: DataFrame, client: Client, prompt: str, max_points: str = "points") -> DataFrame:
     """Adds grade struct columns to student answers; a failed call scores 0."""
-    asked = enrich(answers.withColumnRenamed(max_points, "_max"), client, prompt, "_answer", "_error")
+    asked = ask(answers.withColumnRenamed(max_points, "_max"), client, prompt, "_answer", "_error")
     rest = [c for c in answers.columns if c != max_points]
     return asked.select(*rest, ex.parse_grade("_answer", "_max", "_error").alias("g")).select(*rest, "g.*")
 
@@ -201,13 +208,22 @@ def error_analysis(grades: DataFrame) -> DataFrame:
         F.substring("answer", 1, 200).alias("answer"))
 
 
-def corpus_sections(documents: DataFrame, group: str, order: str, name: str, text: str = "text", span: int = 256) -> DataFrame:
-    """Documents of a group joined under headings, in parts of bounded size.
+def corpus_sections(documents: DataFrame, group: str, order: str, name: str, text: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
+    """Documents of a group joined under headings, in parts of at most ``part_bytes``: group, part, text, bytes.
 
-    ``order`` is a number; a part holds the documents of one ``span`` of it,
-    so a group of any size stays many rows.  Parts in order are the whole.
+    ``order`` is a whole number, unique in its group; rows without group or
+    order are in no part.  Bytes are summed over the documents before each one,
+    span by span, and a long text is divided among parts, so neither a group nor
+    a document of any size is one row.  Parts in order are the whole.
     """
+    unit, piece = part_bytes // 2, max(1, part_bytes // 8)  # a character has four bytes at most
     section = F.concat(F.lit("\n\n===== "), name, F.lit(" =====\n"), text)
-    rows = documents.filter(F.coalesce(F.col(text), F.lit("")) != "").select(
-        group, F.floor(F.col(order) / span).cast("long").alias("part"), order, section.alias("_section"))
-    return joined_text(rows, [group, "part"], [order], "_section", "", "text")
+    rows = documents.filter((F.coalesce(F.col(text), F.lit("")) != "") & F.col(group).isNotNull() & F.col(order).isNotNull()).select(
+        group, F.col(order).cast("long").alias(order), section.alias("_section"))
+    before = running(rows.select(group, order, F.octet_length("_section").cast("long").alias("_bytes")), [group], order, "_bytes", "_before")
+    pieces = rows.join(before.select(group, order, "_before"), [group, order]).select(
+        group, order, "_before", "_section", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((char_length(_section) - 1) div {piece} AS INT)"))).alias("_i"))
+    at = F.col("_before") + F.octet_length(F.substring("_section", F.lit(1), F.col("_i") * piece))
+    cut = pieces.select(group, order, "_i", F.expr(f"substring(_section, _i * {piece} + 1, {piece})").alias("_piece"), at.alias("_at"))
+    return joined_text(cut.withColumn("part", F.expr(f"_at div {unit}")), [group, "part"], [order, "_i"], "_piece", "", "text").withColumn(
+        "bytes", F.octet_length("text").cast("long"))

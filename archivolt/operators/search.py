@@ -270,14 +270,20 @@ def sources_used(hits: DataFrame) -> DataFrame:
 # --- vectors -----------------------------------------------------------------------
 
 def _hashed_words(df: DataFrame, text: str, dims: int) -> DataFrame:
-    from pyspark.ml.feature import HashingTF
+    """Counts of signed places: the first 32 bits of a word's md5 choose its place, the next hexadecimal digit its sign."""
+    from pyspark.ml.feature import CountVectorizerModel
 
-    split = df.withColumn("_words", F.split(F.lower(strip(text)), r"(?U)\W+"))
-    return HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(split)
+    digest = lambda w: F.md5(w.cast("binary"))
+    place = lambda d: F.concat((F.conv(F.substring(d, 1, 8), 16, 10).cast("long") % dims).cast("string"), F.when(F.substring(d, 9, 1) < "8", "+").otherwise("-"))
+    words = F.split(F.lower(strip(text)), r"(?U)\W+")
+    split = df.withColumn("_words", F.coalesce(F.transform(words, lambda w: place(digest(w))), F.array().cast("array<string>")))
+    names = [f"{i}{sign}" for sign in "+-" for i in range(dims)]
+    model = CountVectorizerModel.from_vocabulary(names, inputCol="_words", outputCol="_tf", minTF=1.0)
+    return model.transform(split)
 
 
 def word_weights(df: DataFrame, text: str = "text", dims: int = 256):
-    """Weights of hashed words by their rarity in ``df`` (a fitted model of ``dims`` numbers)."""
+    """Weights of hashed words by their rarity in ``df`` (a fitted model of twice ``dims`` numbers)."""
     from pyspark.ml.feature import IDF
 
     return IDF(inputCol="_tf", outputCol="_weighted").fit(_hashed_words(df, text, dims))
@@ -286,18 +292,22 @@ def word_weights(df: DataFrame, text: str = "text", dims: int = 256):
 def lexical_vectors(df: DataFrame, text: str = "text", dims: int = 256, out: str = "embedding", weights=None) -> DataFrame:
     """Unit vectors of hashed words, for use without a model.
 
-    They compare words, not meaning.  Each row is hashed on its own, so this
-    needs no pass over the corpus and no shuffle; ``weights`` of
-    :func:`word_weights` (one pass) let rare words count for more.
+    They compare words, not meaning.  A word adds 1 to its place, or takes 1
+    away, as its md5 says, so that words that share a place do not add up.  Each
+    row is hashed on its own: no pass over the corpus and no shuffle;
+    ``weights`` of :func:`word_weights` (one pass) let rare words count for more.
     """
-    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import vector_to_array
 
     counted = _hashed_words(df, text, dims)
     if weights is not None:
         counted = weights.transform(counted)
-    unit = Normalizer(inputCol="_tf" if weights is None else "_weighted", outputCol="_unit", p=2.0).transform(counted)
-    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_weighted", "_unit")
+    both = counted.withColumn("_both", vector_to_array("_tf" if weights is None else "_weighted"))
+    signed = both.withColumn("_signed", F.zip_with(F.slice("_both", 1, dims), F.slice("_both", dims + 1, dims), lambda a, b: a - b))
+    length = F.sqrt(F.aggregate("_signed", F.lit(0.0), lambda s, x: s + x * x))
+    unit = signed.withColumn("_length", length)
+    vector = F.transform("_signed", lambda x: F.when(F.col("_length") > 0, x / F.col("_length")).otherwise(x).cast("float"))
+    return unit.withColumn(out, vector).drop("_words", "_tf", "_weighted", "_both", "_signed", "_length")
 
 
 def model_vectors(df: DataFrame, make_model, text: str = "text", out: str = "embedding", batch_size: int = 256) -> DataFrame:

@@ -8,6 +8,7 @@ from archivolt.functions import text as tx
 from archivolt.operators import cells, index as ix
 from archivolt.operators import search as se
 from archivolt.plans import Tables, query
+from archivolt.plans.library import chunks_sql, strip_sql
 
 # Chunks are the vectors with the text of the document of the same number;
 # questions are the mean vectors of the labels, so that every vector counts.
@@ -142,7 +143,21 @@ def sources_used(t: Tables) -> DataFrame:
     return se.sources_used(_hits(t).withColumn("name", F.substring_index("name", "_", 1)))
 
 
-@query()
+LEXICAL_SQL = f"""
+texts AS (SELECT 'c' AS kind, doc_id || ':chunk:' || chunk_ix AS id, text FROM chunks UNION ALL SELECT 'q', item_id::VARCHAR, text FROM benchmark),
+words AS (SELECT kind, id, unnest(string_split_regex(lower({strip_sql('text')}), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+')) AS w FROM texts),
+signed AS (SELECT kind, id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS place, sum(CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS x FROM words GROUP BY ALL),
+unit AS (SELECT s.kind, s.id, place, (x / l)::FLOAT::DOUBLE AS x FROM signed s JOIN (SELECT kind, id, sqrt(sum(x * x)) AS l FROM signed GROUP BY ALL) n ON n.kind = s.kind AND n.id = s.id AND l > 0),
+size AS (SELECT kind, id, sqrt(sum(x * x)) AS l FROM unit GROUP BY ALL),
+dots AS (SELECT q.id AS query_id, c.id AS chunk_id, sum(q.x * c.x) AS dot FROM unit q JOIN unit c ON q.kind = 'q' AND c.kind = 'c' AND q.place = c.place GROUP BY ALL),
+met AS (SELECT q.id AS query_id, c.id AS chunk_id, round(1 - coalesce(dot / (sq.l * sc.l), 0), 6) + 0.0 AS distance
+  FROM (SELECT id FROM texts WHERE kind = 'q') q CROSS JOIN (SELECT id FROM texts WHERE kind = 'c') c LEFT JOIN dots d ON d.query_id = q.id AND d.chunk_id = c.id
+  LEFT JOIN size sq ON sq.kind = 'q' AND sq.id = q.id LEFT JOIN size sc ON sc.kind = 'c' AND sc.id = c.id)"""
+
+
+@query(f"""WITH RECURSIVE {chunks_sql('SELECT doc_id, text FROM documents')}, {LEXICAL_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id)::INT AS rank FROM met)
+SELECT query_id, 0::INT AS sub, rank, chunk_id, distance FROM r WHERE rank <= 5""")
 def lexical_search(t: Tables) -> DataFrame:
     """Benchmark passages look for their nearest chunks by hashed words."""
     chunks = ix.make_chunks(t.spread("documents").select("doc_id", "text")).select("chunk_id", "text")

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import Window, functions as F
 
-from archivolt.functions import dialogue as dlg, exam as ex, paths, security
+from archivolt.functions import dialogue as dlg, exam as ex, paths, security, text as tx
 from archivolt.operators import dialogue as dl, enrich as en, jobs, ordered
 from archivolt.sources import records
 
@@ -250,3 +250,46 @@ def test_model_is_asked_once_per_row(spark, scratch):
     assert made.count() == 2
     with open(f"{scratch}/calls") as f:
         assert sorted(f.read().split()) == ["p1", "p2"]
+
+
+def test_ranges_of_any_length(spark):
+    asked = spark.createDataFrame([("capítulos 2 al 999999999999",), ("capítulos 9 a 3",), ("capítulo 12",), ("nada",), ("capitulos 1 y " + "9" * 30,)], "q string")
+    got = [tuple(r) for r in asked.select(tx.chapter_request("q").alias("c"), tx.chapter_range("q").alias("r")).collect()]
+    assert [g[0] for g in got] == [[f"capitulo_{i}" for i in range(2, 7)], [], ["capitulo_12"], None, []]
+    assert (got[0][1]["low"], got[0][1]["high"]) == (2, 999999999999) and got[3][1] is None
+
+
+def test_parts_are_bounded_in_bytes(spark):
+    """Parts of a group in order are its whole text; none is above the size, a long text is divided."""
+    rows = [("g", i, "é" * (5000 if i == 3 else 10 * i)) for i in range(40)] + [("h", 0, ""), ("h", 1, None), (None, 1, "x"), ("h", 2, "ñ")]
+    df = spark.createDataFrame(rows, "g string, i long, text string")
+    got = jobs.corpus_sections(df, "g", "i", F.col("i").cast("string"), part_bytes=1024).collect()
+    assert all(r["bytes"] == len(r.text.encode()) <= 1024 for r in got)
+    whole = lambda g: "".join(r.text for r in sorted((r for r in got if r.g == g), key=lambda r: r.part))
+    assert whole("g") == "".join(f"\n\n===== {i} =====\n{t}" for _, i, t in rows[:40] if t)
+    assert whole("h") == "\n\n===== 2 =====\nñ" and {r.g for r in got} == {"g", "h"}
+
+
+def test_models_are_asked_once_for_each_prompt(spark, scratch):
+    def counting(name, fails):
+        def make():
+            def client(prompts):
+                with open(f"{scratch}/{name}", "a") as f:
+                    f.write("".join(f"{p}\n" for p in prompts))
+                if fails in prompts:
+                    raise ValueError("no")
+                return [f"{name} {p}" for p in prompts]
+            return client
+        return make
+
+    prompts = spark.createDataFrame([(i, f"p{i}" if i != 4 else None) for i in range(6)] + [(0, "p0")], "id long, prompt string")
+    out = jobs.compare_models(prompts, {"a": counting("a", None), "b": counting("b", "p2")}, "id", "prompt")
+    for _ in range(2):
+        got = sorted((r["id"], r["a"], r["b"], r["b_error"]) for r in out.collect())
+    assert got == [(i, None, None, None) if i == 4 else (i, f"a p{i}", None if i == 2 else f"b p{i}", "ValueError: no" if i == 2 else None) for i in (0, 0, 1, 2, 3, 4, 5)]
+    with open(f"{scratch}/a") as f:
+        assert sorted(f.read().split()) == sorted(["p0", "p0", "p1", "p2", "p3", "p5"])
+    routed = jobs.route(prompts.filter("prompt IS NOT NULL"), counting("r", None), "prompt")
+    assert routed.count() == routed.count() == 6
+    with open(f"{scratch}/r") as f:
+        assert len(f.read().split()) == 6
