@@ -79,16 +79,27 @@ def parse_robots(files: DataFrame, agent: str) -> DataFrame:
 
 
 def robots_allowed(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Adds ``allowed``: the first rule of the origin whose prefix fits decides."""
+    """Adds ``allowed``: the first rule of the origin whose prefix fits decides, of rules with one place that which forbids.
+
+    A target is cut to every length that prefixes of its origin have, and each
+    cut meets the rules as an equal key; the first of those that meet is an
+    aggregate.  So rules of an origin are rows, however many, and are never
+    gathered; an origin has at most as many lengths as its longest prefix.
+    """
     origin = F.array_join(F.array(*[urls.origin(url)[p].cast("string") for p in ("scheme", "host", "port")]), "|")
     part = urls.parts(url)
     target = F.concat(F.when(part["path"] == "", F.lit("/")).otherwise(part["path"]),
                       F.when(part["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), part["query"])))
-    # One robots file is one bounded text, so its rules fit in one array.
-    listed = rules.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("pos", "allow", "prefix"))).alias("_rules"))
-    out = pages.withColumn("origin", origin).join(listed, "origin", "left")
-    fits = F.filter("_rules", lambda r: target.startswith(r["prefix"]) | (r["prefix"] == "*"))
-    return out.withColumn("allowed", F.coalesce(F.get(fits, F.lit(0))["allow"], F.lit(True))).drop("origin", "_rules")
+    # A star alone fits everything, as the empty prefix does.
+    once = rules.filter(F.col("prefix").isNotNull()).groupBy(
+        "origin", F.when(F.col("prefix") == "*", "").otherwise(F.col("prefix")).alias("_cut")).agg(F.min(F.struct("pos", "allow")).alias("_rule"))
+    lengths = once.groupBy("origin").agg(F.collect_set(F.length("_cut")).alias("_lengths"))
+    placed = pages.withColumn("origin", origin).withColumn("_target", target)
+    asked = placed.select("origin", "_target").distinct().join(lengths, "origin").select(
+        "origin", "_target", F.explode(F.filter("_lengths", lambda n: n <= F.length("_target"))).alias("_n"))
+    cuts = asked.select("origin", "_target", F.substring("_target", F.lit(1), F.col("_n")).alias("_cut"))
+    first = cuts.join(once, ["origin", "_cut"]).groupBy("origin", "_target").agg(F.min("_rule")["allow"].alias("_allow"))
+    return placed.join(first, ["origin", "_target"], "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).select(*pages.columns, "allowed")
 
 
 # --- traversal ---------------------------------------------------------------------

@@ -6,6 +6,7 @@ from urllib.parse import parse_qsl, urlencode, urlsplit
 from urllib.robotparser import RobotFileParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from archivolt.functions import html, urls
 from archivolt.operators import crawl
@@ -124,6 +125,25 @@ def test_robots_like_the_standard_library(spark, agent):
     assert got == want
 
 
+def test_an_origin_with_very_many_rules(spark):
+    """Rules that begin one another, repeat, and forbid or allow: the first that fits decides, and nothing gathers them."""
+    draw = random.Random(2)
+    path = lambda n: "/" + "".join(draw.choice("ab/") for _ in range(n))
+    rules = [("https|big.example|443", i, draw.random() < 0.5, draw.choice([path(draw.randrange(0, 9)), "*" if i > 2900 else path(12)])) for i in range(3000)]
+    rules += [("https|small.example|443", 5, False, "/"), ("https|small.example|443", 2, True, "/a"), ("https|empty.example|443", 1, True, "")]
+    pages = [(f"https://{h}.example{path(draw.randrange(0, 14))}{draw.choice(['', '?q=a'])}",) for h in ("big",) * 300 + ("small",) * 30 + ("empty", "none") for _ in range(2)]
+    df = spark.createDataFrame(pages + pages[:3] + [(None,)], "url string").withColumn("prefix", F.lit("own"))
+    out = crawl.robots_allowed(df, spark.createDataFrame(rules, "origin string, pos int, allow boolean, prefix string"))
+    assert out.columns == ["url", "prefix", "allowed"] and out.count() == len(pages) + 4
+
+    def plain(url):
+        host, target = url[8:].split("/", 1)
+        own = sorted(r[1:] for r in rules if r[0] == f"https|{host}|443")
+        return next((allow for _, allow, prefix in own if prefix == "*" or f"/{target}".startswith(prefix)), True)
+
+    assert all(r.allowed == plain(r.url) for r in out.collect() if r.url)
+
+
 # --- crawls --------------------------------------------------------------------------
 
 def walk(start, outcome, links, max_pages, max_requests, max_depth, size):
