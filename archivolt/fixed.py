@@ -90,6 +90,8 @@ MEMORY_CATEGORIES = [
     "Perfil", "Aprendizajes", "Decisiones", "Universidad",
     "Proyectos", "Diario", "Salud", "Finanzas",
 ]
+DIGEST_PART_FAILED = "⚠️ Error procesando parte"
+DIGEST_FAILED = "❌ Error en digestión"
 MEMORY_DEFAULT_REASON = "Información relevante sobre el usuario"
 
 # --- keyword extraction ----------------------------------------------------
@@ -144,6 +146,18 @@ MEMORY_ANSWER_CHARS = 300
 
 # --- exam ------------------------------------------------------------------
 EXAM_DEFAULT_TOTAL = 10
+EXAM_COUNTS = {   # what a request counts, by kind; the first number in it is the count
+    "concept": r"(\d+)\s*(?:preguntas?\s*(?:de\s*)?)?conceptuales?",
+    "essay": r"(\d+)\s*(?:preguntas?\s*(?:de\s*)?)?desarrollo",
+    "truth": r"(\d+)\s*(?:preguntas?\s*(?:de\s*)?)?(?:verdadero\s*(?:y|o)\s*falso|v\s*(?:y|o)?\s*f)",
+    "total": r"(\d+)\s*preguntas?",
+}
+EXAM_KIND = r"\[(CONCEPTUAL|DESARROLLO|V/F|VF|VERDADERO/FALSO)\]"
+EXAM_TRUTH_KINDS = ["V/F", "VF", "VERDADERO/FALSO"]
+EXAM_HEADING = "PREGUNTA"
+EXAM_NUMBER = r"PREGUNTA\s*(?:N[°º:]?\s*)?(\d+)"
+EXAM_POINTS = r"PUNTAJE\s*:\s*(\d+)"
+EXAM_FEEDBACK = r"FEEDBACK\s*:\s*(.+)"
 EXAM_LABELS = ["ENUNCIADO", "OPCIONES", "RESPUESTA", "JUSTIFICACION", "CRITERIOS", "PUNTAJE"]
 # Fixed patterns: what a request says besides its material, cut in this order.
 EXAM_REQUEST_PARTS = [

@@ -69,7 +69,7 @@ def digest(documents: DataFrame, client: Client, key: str = "doc_id", text: str
     fit = documents.filter(F.length(strip(F.coalesce(F.col(text), F.lit("")))) >= 100)
     parts = text_parts(fit.select(key, F.col(source).alias("_source"), text), key, text, max_chars)
     answered = enrich(parts, client, "part_text", "_answer", "_error", partitions=partitions).drop("part_text")
-    warning = F.format_string("\n\n⚠️ Error procesando parte %d: %s\n", F.col("part") + 1, "_error")
+    warning = F.format_string(f"\n\n{fixed.DIGEST_PART_FAILED} %d: %s\n", F.col("part") + 1, "_error")
     line = F.when(F.col("_error").isNull(), F.coalesce("_answer", F.lit(""))).otherwise(warning)
     rows = F.array_sort(F.collect_list(F.struct("part", line.alias("t"))))
     whole = answered.groupBy(key).agg(
@@ -82,7 +82,7 @@ def digest(documents: DataFrame, client: Client, key: str = "doc_id", text: str
     return whole.select(
         key, "parts", "failed",
         F.when(lost, F.lit(None)).when(F.col("parts") > 1, F.concat(heading, body)).otherwise(body).alias("digest"),
-        F.when(lost, F.concat(F.lit("❌ Error en digestión: "), "_error")).alias("error"))
+        F.when(lost, F.concat(F.lit(f"{fixed.DIGEST_FAILED}: "), "_error")).alias("error"))
 
 
 # --- classification --------------------------------------------------------------

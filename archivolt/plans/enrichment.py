@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from archivolt import fixed
+from archivolt.functions import html
 from archivolt.operators import dialogue as dl, enrich as en, jobs
 from archivolt.plans import Tables, query
 from archivolt.session import scratch_folder
 from archivolt.plans.dialogue import PAIRS_SQL, ROUTE_WORDS
 from archivolt.plans.library import NL, strip_sql
+from archivolt.plans.web import RUNS, unescape_sql, without_tags_sql
 from archivolt.sources import records
 
 PART = 2000
@@ -46,11 +49,11 @@ def large_text_parts(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {PARTS_SQL},
-a AS (SELECT doc_id, part, parts, length(t) % 10 = 0 AS bad, CASE WHEN length(t) % 10 = 0 THEN {NL} || {NL} || '⚠️ Error procesando parte ' || (part + 1) || ': ValueError: bad prompt' || {NL}
+a AS (SELECT doc_id, part, parts, length(t) % 10 = 0 AS bad, CASE WHEN length(t) % 10 = 0 THEN {NL} || {NL} || '{fixed.DIGEST_PART_FAILED} ' || (part + 1) || ': ValueError: bad prompt' || {NL}
   ELSE length(t) || ':' || substr(t, 1, 20) END AS line FROM parts WHERE doc_id IN (SELECT doc_id FROM src WHERE length({strip_sql('text')}) >= 100)),
 g AS (SELECT doc_id, count(*) AS parts, count(*) FILTER (bad) AS failed, string_agg(line, {NL} || {NL} || '---' || {NL} || {NL} ORDER BY part) AS body FROM a GROUP BY doc_id)
 SELECT doc_id, g.parts, failed, CASE WHEN g.parts = 1 AND failed = 1 THEN NULL WHEN g.parts > 1 THEN md5('# ' || doc_id || {NL} || {NL} || '> Fuente: ' || source || {NL} || '> Procesado con modelo' || {NL} || {NL} || body)
-  ELSE md5(body) END AS digest_md5, CASE WHEN g.parts = 1 AND failed = 1 THEN '❌ Error en digestión: ValueError: bad prompt' END AS error FROM g JOIN src USING (doc_id)""")
+  ELSE md5(body) END AS digest_md5, CASE WHEN g.parts = 1 AND failed = 1 THEN '{fixed.DIGEST_FAILED}: ValueError: bad prompt' END AS error FROM g JOIN src USING (doc_id)""")
 def document_digests(t: Tables) -> DataFrame:
     model = _model(lambda p: f"{len(p)}:{p[:20]}", fails=10)
     return jobs.digest(_spaced(t), model, max_chars=PART).select("doc_id", "parts", "failed", F.md5("digest").alias("digest_md5"), "error")
@@ -71,6 +74,17 @@ def page_subfolders(t: Tables) -> DataFrame:
     return jobs.subfolder(t.documents.select("doc_id", "text"), model, "historia").select("doc_id", "subfolder")
 
 
+@query(f"""WITH r AS (SELECT page_id, list_filter(list_transform({RUNS.format(c=without_tags_sql('html', fixed.HTML_SKIP_TAGS))}, lambda x: {strip_sql('x')}), lambda x: x <> '') AS runs FROM pages),
+n AS (SELECT page_id, least(length({unescape_sql("array_to_string(runs, ' ')")}), 2000) AS n FROM r)
+SELECT page_id, (15 + n) % 7 <> 0 AND (15 + n) % 3 = 0 AS relevant, CASE WHEN (23 + n) % 7 = 0 OR (23 + n) % 5 = 0 THEN 'general' ELSE 'carpeta_no_' || (23 + n) % 5 END AS subfolder FROM n""")
+def crawled_page_themes(t: Tables) -> DataFrame:
+    """What crawled pages are about: whether a model finds the theme in their text, and the folder that it names."""
+    text = t.spread("pages").select("page_id", html.page_content("html")["text"].alias("text"))
+    theme = _model(lambda p: " sí, claro" if len(p) % 3 == 0 else "NO", fails=7)
+    folder = _model(lambda p: f"«Carpeta Nº {len(p) % 5}»" if len(p) % 5 else "¿?", fails=7)
+    return jobs.subfolder(jobs.theme_relevance(text, theme, "historia"), folder, "historia").select("page_id", "relevant", "subfolder")
+
+
 @query("""SELECT conv_id, turn, CASE WHEN length(text) % 11 = 0 THEN 'general' ELSE ['general', 'researcher', 'mentor', 'general', 'estadistica', 'general', 'general'][length(text) % 7 + 1] END AS route
 FROM conversations WHERE role = 'user'""")
 def question_routes(t: Tables) -> DataFrame:

@@ -455,3 +455,16 @@ def changed_bodies(t: Tables) -> DataFrame:
     toxic = t.labels.filter("toxic = 1").select("doc_id").distinct().join(t.documents.select("doc_id", path.alias("rel_path")), "doc_id")
     wanted = lib.scan(t.spark, root).join(toxic.select("rel_path").distinct(), "rel_path")
     return lib.read_bodies(t.spark, root, wanted).select("rel_path", "size_bytes", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(f"""WITH RECURSIVE wanted AS (SELECT doc_id FROM labels WHERE toxic = 1), {chunks_sql('SELECT doc_id, text FROM documents')}
+SELECT source || '/doc_' || d.doc_id || '.md' AS doc_id, count(*) AS chunks, count(*) AS listed FROM chunks c JOIN documents d ON d.doc_id = c.doc_id
+WHERE d.doc_id NOT IN (SELECT doc_id FROM wanted) GROUP BY ALL""")
+def stored_index_deletion(t: Tables) -> DataFrame:
+    """A real index folder from which toxic documents are deleted: the chunks that stay, and what the manifest says of them."""
+    index = ChunkIndex(t.spark, scratch_folder(t.spark))
+    index.sync_table(_v1(t), "2024-01-01T00:00:00+00:00")
+    path = F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    index.delete(t.labels.filter("toxic = 1").select("doc_id").distinct().join(t.documents, "doc_id").select(path.alias("doc_id")))
+    held = index.chunks().groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return held.join(index.manifest().select(F.col("rel_path").alias("doc_id"), F.col("chunk_count").alias("listed")), "doc_id", "full_outer")
