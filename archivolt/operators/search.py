@@ -191,59 +191,65 @@ def with_payload(hits: DataFrame, corpus: DataFrame, columns: list[str], key: st
 
 # --- the kinds of search -------------------------------------------------------
 
+def _plain_and_named(corpus: DataFrame, questions: DataFrame, k: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """Plain hits of every question, and its hits by name in the order first seen: one scan of the chunks for both."""
+    plain = questions.select(F.col("query_id").cast("string").alias("query_id"), F.lit(-1).alias("sub"), "embedding", F.lit(None).cast("string").alias("name_has"))
+    named = questions.select(F.col("query_id").cast("string").alias("query_id"), F.posexplode("keywords").alias("sub", "name_has"), "embedding").filter(
+        F.length("name_has") >= fixed.MIN_KEYWORD_CHARS).select(*plain.columns)
+    hits = top_k(corpus, plain.unionByName(named), k, key)
+    first = first_seen(hits.filter("sub >= 0"), ["query_id", key], ["sub", "rank"])
+    placed = Window.partitionBy("query_id").orderBy("sub", "rank")
+    return hits.filter("sub < 0"), first.withColumn("position", F.row_number().over(placed))
+
+
+def _named_else_plain(plain: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    missing = plain.join(named.select("query_id").distinct(), "query_id", "left_anti").withColumn("position", F.col("rank"))
+    columns = ["query_id", "position", key, "distance"]
+    return named.select(*columns, F.lit("name").alias("found_by")).unionByName(missing.select(*columns, F.lit("semantic").alias("found_by")))
+
+
 def name_search(corpus: DataFrame, questions: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
     """Chunks of files whose name holds one of the question's keywords.
 
     Keyword by keyword, each chunk once where first seen; a question without
     any hit gets plain search.  ``questions`` also holds ``keywords``.
     """
-    asked = questions.select("query_id", "embedding", F.posexplode("keywords").alias("sub", "name_has")).filter(
-        F.length("name_has") >= fixed.MIN_KEYWORD_CHARS)
-    named = top_k(corpus, asked, k, key)
-    named = first_seen(named, ["query_id", key], ["sub", "rank"])
-    placed = Window.partitionBy("query_id").orderBy("sub", "rank")
-    named = named.withColumn("position", F.row_number().over(placed))
-    missing = questions.select(F.col("query_id").cast("string").alias("query_id"), "embedding").join(
-        named.select("query_id").distinct(), "query_id", "left_anti")
-    plain = top_k(corpus, missing, k, key).withColumn("position", F.col("rank"))
-    columns = ["query_id", "position", key, "distance"]
-    return named.select(*columns, F.lit("name").alias("found_by")).unionByName(
-        plain.select(*columns, F.lit("semantic").alias("found_by")))
+    return _named_else_plain(*_plain_and_named(corpus, questions, k, key), key)
 
 
 def hybrid_search(corpus: DataFrame, questions: DataFrame, k: int = fixed.HYBRID_RESULTS,
                   threshold: int = fixed.HYBRID_THRESHOLD, key: str = "chunk_id") -> DataFrame:
     """Plain search, unless its hits hold too little text and there are keywords."""
     asked = questions.withColumn("query_id", F.col("query_id").cast("string"))
-    plain = top_k(corpus, asked.select("query_id", "embedding"), k, key)
+    plain, named = _plain_and_named(corpus, asked, k, key)
     # A stored length spares the scan of all texts.
     length = F.col("n_chars") if "n_chars" in corpus.columns else F.length("text")
     sized = with_payload(plain, corpus.select(key, length.alias("_n")), ["_n"], key)
     total = sized.groupBy("query_id").agg(F.sum("_n").alias("_total"))
     verdict = asked.join(total, "query_id", "left").withColumn(
-        "_keep", (F.coalesce("_total", F.lit(0)) >= threshold) | F.coalesce(F.size("keywords") == 0, F.lit(True)))
-    kept = plain.join(verdict.filter("_keep").select("query_id"), "query_id", "left_semi")
-    renamed = name_search(corpus, verdict.filter(~F.col("_keep")).select("query_id", "embedding", "keywords"), k, key)
-    return kept.select("query_id", F.col("rank").alias("position"), key, "distance", F.lit("semantic").alias("found_by")).unionByName(
-        renamed.select("query_id", "position", key, "distance", "found_by"))
+        "_keep", (F.coalesce("_total", F.lit(0)) >= threshold) | F.coalesce(F.size("keywords") == 0, F.lit(True))).select("query_id", "_keep").distinct()
+    kept, other = (verdict.filter(F.col("_keep") == keep).select("query_id") for keep in (True, False))
+    only = lambda hits, which: hits.join(which, "query_id", "left_semi")
+    by_name = _named_else_plain(only(plain, other), only(named, other), key)
+    return only(plain, kept).select("query_id", F.col("rank").alias("position"), key, "distance", F.lit("semantic").alias("found_by")).unionByName(
+        by_name.select("query_id", "position", key, "distance", "found_by"))
 
 
 def chapter_search(corpus: DataFrame, questions: DataFrame, chapters: int = 3, per_chapter: int = 3,
                    otherwise: int = 7, key: str = "chunk_id") -> DataFrame:
-    """Hits per chapter for questions that name chapters, plain search for the rest.
+    """Hits per chapter for questions that name chapters, plain search for the rest; one scan of the chunks for both.
 
     ``questions`` also holds ``chapters`` (null or empty for none); only the
     first few chapters are searched, in order.
     """
-    asked = questions.select(
-        "query_id", "embedding", F.posexplode(F.slice("chapters", 1, chapters)).alias("sub", "chapter"))
-    within = top_k(corpus, asked, per_chapter, key)
-    rest = questions.filter(F.coalesce(F.size("chapters"), F.lit(0)) <= 0).select("query_id", "embedding")
-    plain = top_k(corpus, rest, otherwise, key)
+    within = questions.select("query_id", "embedding", F.posexplode(F.slice("chapters", 1, chapters)).alias("sub", "chapter"))
+    rest = questions.filter(F.coalesce(F.size("chapters"), F.lit(0)) <= 0).select(
+        "query_id", "embedding", F.lit(-1).alias("sub"), F.lit(None).cast("string").alias("chapter"))
+    found = top_k(corpus, within.unionByName(rest), max(per_chapter, otherwise), key)
+    wanted = found.filter(F.col("rank") <= F.when(F.col("sub") < 0, otherwise).otherwise(per_chapter))
     placed = Window.partitionBy("query_id").orderBy("sub", "rank")
-    both = within.withColumn("found_by", F.lit("chapter")).unionByName(plain.withColumn("found_by", F.lit("semantic")))
-    return both.withColumn("position", F.row_number().over(placed)).select(
-        "query_id", "position", key, "distance", "found_by")
+    return wanted.withColumn("found_by", F.when(F.col("sub") < 0, "semantic").otherwise("chapter")).withColumn(
+        "position", F.row_number().over(placed)).select("query_id", "position", key, "distance", "found_by")
 
 
 # --- hits to text ----------------------------------------------------------------
