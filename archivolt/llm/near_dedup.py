@@ -201,44 +201,52 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(left), len(right)), np.float32)
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
-    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
-        a, b = np.searchsorted(code, (lo, lo + 4096))
-        part = np.zeros((len(sizes), 4096), np.float32)
+    width = max(256, min(4096, (1 << 24) // len(sizes)))
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        a, b = np.searchsorted(code, (lo, lo + width))
+        part = np.zeros((len(sizes), width), np.float32)
         part[owner[a:b], code[a:b] - lo] = 1
         out += part[:len(left)] @ part[len(left):].T
     return out
 
 
-#: Shingles of the sets on one side of a test of many sets against many.
-SIDE = 1 << 16
+#: Shingles of the sets on one side of a test of many sets against many, and of small buckets that share a task.
+SIDE, PACK = 1 << 18, 1 << 16
+#: Shingles of large buckets of one component that are tested as one, on the average.
+BUNDLE = 64 * SIDE
 
 
 def _links_between(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links inside the buckets of ``placed (key, class, root, main)`` that lead out of a component.
-
-    Members outside a bucket's main component are tested against all its
-    members.  Both sides are dealt into parts of about :data:`SIDE` shingles by
-    hash, and a task gets one part of either; small buckets share a task.  Only
-    links leave it, never pairs.
+    """All links between the members of ``placed (key, class, root, main, out)`` that are ``out`` and those of their buckets in other components.
+
+    Small buckets share a task.  Large ones with one main component are mostly
+    the same members again, band after band: up to :data:`BUNDLE` shingles of
+    them are tested as one.  Both sides are dealt into parts of about
+    :data:`SIDE` shingles by hash, and a task gets one part of either; what is
+    one part on both sides is shipped once.  Only links leave a task, never
+    pairs.
     """
     sized = placed.join(sets.select("class", (F.length("members") / 8).cast("long").alias("size")), "class")
-    total = sized.groupBy("key").agg(F.sum("size").alias("total"))
-    small = total.where(F.col("total") < SIDE // 2).agg(F.sum("total").alias("all"))
-    packs = 1 + (small.collect()[0][0] or 0) // SIDE
-    pack = F.when(F.col("total") < SIDE // 2, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.col("key"))
-    dealt = sized.join(total, "key").select(pack.alias("key"), "class", "size", "root", (F.col("root") != F.col("main")).alias("out"))
-    dealt = checkpoint(dealt.groupBy("key", "class").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.max("out").alias("out")))
+    total = checkpoint(sized.groupBy("key").agg(F.sum("size").alias("total"), F.first("main").alias("main")))
+    small = F.col("total") < PACK // 2
+    packs = 1 + (total.where(small).agg(F.sum("total").alias("all")).collect()[0][0] or 0) // PACK
+    bundles = total.where(~small).groupBy("main").agg(F.ceil(F.sum("total") / BUNDLE).alias("bundles"))
+    pack = F.when(small, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.xxhash64("main", F.pmod(F.xxhash64("key"), F.col("bundles"))))
+    packed = total.join(bundles, "main", "left").select("key", pack.alias("pack"))
+    dealt = sized.join(packed, "key").groupBy(F.col("pack").alias("key"), "class").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.max("out").alias("out"))
+    dealt = checkpoint(dealt)
     parts = dealt.groupBy("key").agg(
         F.ceil(F.sum("size") / SIDE).alias("wide"), F.ceil(F.sum(F.when(F.col("out"), F.col("size"))) / SIDE).alias("tall")
-    )
+    ).where("tall > 0")
     dealt = dealt.join(parts, "key")
     part = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    left = dealt.where("out").select("key", part("tall").alias("i"), each("wide").alias("j"), "class", "root", F.lit(True).alias("out"))
-    right = dealt.select("key", each("tall").alias("i"), part("wide").alias("j"), "class", "root", F.lit(False).alias("out"))
+    left = dealt.where("out AND wide + tall > 2").select("key", part("tall").alias("i"), each("wide").alias("j"), "class", "root", F.lit(True).alias("left"), "out")
+    right = dealt.select("key", each("tall").alias("i"), part("wide").alias("j"), "class", "root", F.lit(False).alias("left"), (F.col("out") & (F.col("wide") + F.col("tall") == 2)).alias("out"))
 
     def work(table: pa.Table) -> pa.Table:
-        sides = [table.filter(pc.equal(table["out"], side)) for side in (True, False)]
+        # Of what is shipped once, those that are out are the left side too.
+        sides = [table.filter(table["out"]), table.filter(pc.invert(table["left"]))]
         names, roots, members = ([side[c].to_pylist() for side in sides] for c in ("class", "root", "members"))
         a, b = [], []
         if names[0] and names[1]:
@@ -257,6 +265,27 @@ def _links_between(placed: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return rows.groupBy("key", "i", "j").applyInArrow(work, "a binary, b binary")
 
 
+def _tops(links: DataFrame) -> DataFrame:
+    """``node, root`` of the links ``(a, b)`` from each ``b`` to one ``a``: three steps up, all of the way in most groups.
+
+    A class and its pivot's pivot are of one component; what is not yet seen to
+    be costs tests, no links.
+    """
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    for _ in range(2):
+        higher = up.select(F.col("node").alias("root"), F.col("root").alias("_higher"))
+        up = checkpoint(up.join(higher, "root", "left").select("node", F.coalesce("_higher", "root").alias("root")))
+    return up
+
+
+def _outsiders(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, class, root, main, out`` of the buckets whose members lie in several components; ``out`` are those outside the main one."""
+    placed = members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    per_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = per_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    return checkpoint(placed.join(mixed.select("key", F.col("most.root").alias("main")), "key").select("key", "class", "root", "main", (F.col("root") != F.col("main")).alias("out")))
+
+
 def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The :func:`signatures` of ``docs``, and ``class, low, root`` of each class.
 
@@ -265,12 +294,13 @@ def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     No group is gathered and no group's pairs become rows.  Each class is first
     tested against the pivot that most of its buckets share; a bucket's pivot is
     the class whose buckets are fullest, the centre of a group of copies.  That
-    joins most of a large group.  Buckets whose members then still lie in
-    different components are tested exhaustively, see :func:`_links_between`.
+    joins most of a large group.  Members that then lie outside their bucket's
+    main component are tested against all of it, see :func:`_links_between`.
     """
     signed = checkpoint(signatures(docs, n))
     full = signed.where("class IS NOT NULL")
-    bands = full.select("class", F.explode("bands").alias("key"))
+    # Dealt by key once: the aggregate and the join below find it so.
+    bands = full.select("class", F.explode("bands").alias("key")).repartition("key")
     # Buckets of one class have no pairs; short hashes of the classes tell.
     shared = bands.groupBy("key").agg(F.min(F.xxhash64("class")).alias("low"), F.max(F.xxhash64("class")).alias("high")).where("low <> high")
     members = checkpoint(bands.join(shared.select("key"), "key").distinct())
@@ -286,11 +316,7 @@ def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     links = checkpoint(confirmed(best.select(F.col("best.pivot.class").alias("a"), F.col("class").alias("b")), sets, percent))
     roots = components(links)
 
-    placed = members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    per_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = per_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    placed = checkpoint(placed.join(mixed.select("key", F.col("most.root").alias("main")), "key"))
-    links = checkpoint(links.unionByName(_links_between(placed, sets, percent)))
+    links = checkpoint(links.unionByName(_links_between(_outsiders(members, roots), sets, percent)))
     roots = components(links)
     return signed, classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("root", "class").alias("root"))
 

@@ -54,6 +54,8 @@ def _corpus(seed, bases, copies, words, edits):
 @pytest.mark.parametrize("n, percent, side", [(3, 85, 1 << 16), (5, 80, 1 << 16), (3, 85, 300)])
 def test_groups_match_brute_force(monkeypatch, docs, n, percent, side):
     monkeypatch.setattr(nd, "SIDE", side)
+    monkeypatch.setattr(nd, "PACK", min(side, nd.PACK))
+    monkeypatch.setattr(nd, "BUNDLE", 64 * side)
     rows = _corpus(n, 3, 40, 60, 9) + _corpus(n + 1, 20, 2, 12, 3) + [
         (1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  B"), (6, "a"), (7, "a b c"), (8, "a b c"), (8, "a b c"), (None, "a b c"), (9, "long " * 3000), (10, "long " * 2000)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.groups(docs(rows), n, percent).collect()), key=repr)
