@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from archivolt.llm.tables import checkpoint, count_words, doc_key, map_batches
 from archivolt.llm.words import mix
+from archivolt.operators.ordered import positions
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source is repeated more often.
@@ -75,26 +76,38 @@ def _ranked(sizes: DataFrame) -> DataFrame:
     return ranged.withColumn("own", own).join(before, "range").select("source_key", "source_size", (F.col("before") + F.col("own")).alias("place"))
 
 
-def streams(docs: DataFrame) -> DataFrame:
-    """``doc_id, doc_key, source_key, size, begin``: where each document's words begin in its source's stream.
+def streams(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """``row, doc_id, doc_key, source_key, size, begin``: where each document's words begin in its source's stream.
 
-    The order inside a source is by hash of the id, then id and size; rows equal
-    in these are interchangeable.  A source is cut in pieces by the same hash,
-    about :data:`PIECE` documents each on the average of the whole table; sums
-    of pieces are added up first, so no task orders a whole source.
+    ``row`` names a column that tells rows apart; without one they are numbered.
+    The order inside a source is by hash of id and text.  Rows equal in both are
+    interchangeable: they are one entry of the stream, as long as all of them,
+    and each row has its own part of it.  A source is cut in pieces by the same
+    hash, about :data:`PIECE` entries each on the average of the whole table;
+    sums of pieces are added up first, so no task orders a whole source.
     """
-    order = F.xxhash64("doc_id", F.lit(11))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key(docs).alias("doc_key"), _code(F.col("source")).alias("source_key"), count_words(F.col("text").cast("string")).alias("size"))
-    rows = checkpoint(rows.withColumn("order", order))
-    pieces = max(1, rows.count() // PIECE)
-    rows = rows.withColumn("piece", F.floor((F.shiftrightunsigned("order", 32) * pieces) / F.lit(float(1 << 32))))
-    own = Window.partitionBy("source_key", "piece").orderBy(F.shiftrightunsigned("order", 32), "order", "doc_id", "size", "doc_key").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source_key", "piece").agg(F.sum("size").alias("sum"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = checkpoint(docs.select(
+        number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), doc_key(docs).alias("doc_key"), _code(F.col("source")).alias("source_key"),
+        count_words(F.col("text").cast("string")).alias("size"),
+    ))
+    entries = rows.groupBy("source_key", "doc_key").agg(F.first("size").alias("size"), F.count("*").alias("copies"))
+    entries = checkpoint(entries.withColumn("order", F.xxhash64("doc_key", F.lit(11))))
+    pieces = max(1, entries.count() // PIECE)
+    entries = entries.withColumn("piece", F.floor((F.shiftrightunsigned("order", 32) * pieces) / F.lit(float(1 << 32)))).withColumn("words", F.col("size") * F.col("copies"))
+    own = Window.partitionBy("source_key", "piece").orderBy(F.shiftrightunsigned("order", 32), "order", "doc_key").rowsBetween(Window.unboundedPreceding, -1)
+    sums = entries.groupBy("source_key", "piece").agg(F.sum("words").alias("sum"))
     earlier = Window.partitionBy("source_key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("source_key", "piece", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
-    return rows.join(before, ["source_key", "piece"]).select(
-        "doc_id", "doc_key", "source_key", "size", (F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))).alias("begin")
+    begun = entries.join(before, ["source_key", "piece"]).select(
+        "doc_key", "source_key", "copies", (F.col("before") + F.coalesce(F.sum("words").over(own), F.lit(0))).alias("begin")
     )
+    placed = rows.join(begun, ["source_key", "doc_key"])
+    once = placed.where("copies = 1").drop("copies")
+    # Numbered span by span: a row that fills a third of the table is no one task's.
+    repeated = positions(placed.where("copies > 1").drop("copies"), ["source_key", "doc_key"], "row", "copy")
+    repeated = repeated.withColumn("begin", F.col("begin") + (F.col("copy") - 1) * F.col("size")).drop("copy")
+    return once.unionByName(repeated).select("row", "doc_id", "doc_key", "source_key", "size", "begin")
 
 
 def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -146,14 +159,14 @@ class Tree:
         return np.stack([self.leaf(s)[0] for s in range(self.shards)] + [self.quotas])
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = 1) -> DataFrame:
-    """``doc_id, doc_key, source_key, size, source_size, target, pieces`` for each document.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = 1, row: str | None = None) -> DataFrame:
+    """``row, doc_id, doc_key, source_key, size, source_size, target, pieces`` for each document; see :func:`streams` for ``row``.
 
     ``pieces`` are its parts of the mix: ``(shard, turn, start, words, place)``,
     ``words`` words of the text from ``start`` in the ``turn``-th pass, ``place``
     their order in the shard.  Parts of one shard and pass that meet are one.  No
     word occurs more than ``most`` times.  A document without words has size 0
-    and no pieces; null sources are one source.  Rows of one id, source and size
+    and no pieces; null sources are one source.  Rows of one id, source and text
     are interchangeable, other columns are not read, an empty table gives no
     rows.  Reruns agree, whatever the partitioning.
 
@@ -161,7 +174,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     are sent to them; that is three numbers a source, refused beyond 16 million
     sources.  Everything about documents stays in Spark.
     """
-    rows = checkpoint(streams(docs))
+    rows = checkpoint(streams(docs, row))
     aims = checkpoint(targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, most))
     if aims.count() > 1 << 24:
         raise ValueError("more than 16 million sources; their numbers would not fit every task")
@@ -212,10 +225,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
         place = mix(mix(begin[d].astype(np.uint64) + a[head].astype(np.uint64)) + (source[d] * 64 + turn[head]).astype(np.uint64)).view(np.int64)
         values = [shard[head].astype(np.int32), turn[head].astype(np.int32), a[head] - begin[d], b[tail] - a[head], place]
         lists = pa.ListArray.from_arrays(np.searchsorted(d, np.arange(len(source) + 1)).astype(np.int32), pa.StructArray.from_arrays([pa.array(v) for v in values], fields=list(fields)))
-        yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3, 9)] + [lists], ["doc_id", "doc_key", "source_key", "size", "source_size", "target", "pieces"])
+        yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3, 10)] + [lists], ["row", "doc_id", "doc_key", "source_key", "size", "source_size", "target", "pieces"])
 
-    ready = rows.join(aims, "source_key").select("place", "size", "begin", "doc_id", "doc_key", "source_key", F.col("size").alias("own_size"), "source_size", "target")
-    return map_batches(ready, work, "doc_id long, doc_key long, source_key string, size long, source_size long, target double, "
+    ready = rows.join(aims, "source_key").select("place", "size", "begin", "row", "doc_id", "doc_key", "source_key", F.col("size").alias("own_size"), "source_size", "target")
+    return map_batches(ready, work, "row long, doc_id long, doc_key long, source_key string, size long, source_size long, target double, "
                        "pieces array<struct<shard:int,turn:int,start:long,words:long,place:long>>")
 
 
@@ -234,15 +247,14 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     Columns of these names that the table has already are replaced.
     """
     added = ["size", "source_size", "target", "taken", "pieces"]
-    mixed = mix_sources(docs, **settings)
-    mixed = mixed.withColumn("taken", _taken()).where("taken > 0")
-    # Rows of one id and text are interchangeable and numbered on either side.
-    number = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(key))
-    right = mixed.select(F.col("doc_key").alias("_key"), number("doc_key").alias("_number"), *(F.col(c).alias(f"_{c}") for c in added))
-    kept = docs.drop(*added)
-    left = kept.withColumn("_own_key", doc_key(docs)).withColumn("_own_number", number("_own_key"))
-    both = left.join(right, (F.col("_own_key") == F.col("_key")) & (F.col("_own_number") == F.col("_number")))
-    return both.select(*kept.columns, *(F.col(f"_{c}").alias(c) for c in added))
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    # Written once with numbers that stay, so that the texts are shuffled once and no row is looked for by its text.
+    kept = checkpoint(docs.drop(*added).withColumn(name, F.monotonically_increasing_id()))
+    mixed = mix_sources(kept, row=name, **settings).withColumn("taken", _taken()).where("taken > 0")
+    both = kept.join(mixed.select(F.col("row").alias(name), *added), name)
+    return both.select(*[c for c in kept.columns if c != name], *added)
 
 
 def shard_rows(mixed: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from archivolt.llm import mixing as m
 
@@ -71,6 +72,24 @@ def test_mixed_documents(docs, rows):
     assert all(len(r.text.split()) == r["size"] for r in out.collect())
 
 
+def test_users_columns_and_repeated_rows(frame):
+    """Columns of the names used inside stay as they are; rows of one id and text have parts of their own."""
+    text = lambda i, n: " ".join(f"w{i}_{k}" for k in range(n))
+    rows = [(None, text(i, 20 + i % 7), "a") for i in range(150)] + [(7, text(999, 30), "a")] * 150 + [(i, text(i, 10), "b") for i in range(100, 140)]
+    names = ("_key", "_number", "_own_key", "_own_number", "_row", "row", "begin", "order", "copies", "size")
+    table = frame(rows, "doc_id long, text string, source string", extra=names)
+    out = m.mixed_documents(table)
+    assert out.columns == [c for c in table.columns if c != "size"] + ["size", "source_size", "target", "taken", "pieces"]
+    got = out.collect()
+    assert all(r[c] == "x" for r in got for c in names if c != "size")
+    assert all(r["size"] == len(r.text.split()) and r.taken <= 3 * r["size"] for r in got)
+    mixed = m.mix_sources(table)
+    assert sorted(r.taken for r in got) == sorted(r.taken for r in m.taken(mixed).collect() if r.taken)
+    # Each source's words come near its target, copies and rows without an id included.
+    sums = {r.source_key: (r.t, r.target) for r in mixed.withColumn("t0", m._taken()).groupBy("source_key", "target").agg(F.sum("t0").alias("t")).collect()}
+    assert all(abs(t - target) <= 2 for t, target in sums.values())
+
+
 def test_empty_tables(docs):
     assert m.mix_sources(docs([])).collect() == []
     got = m.taken(m.mix_sources(docs([(1, None), (2, "")]))).collect()
