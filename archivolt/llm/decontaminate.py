@@ -27,6 +27,8 @@ from archivolt.llm.tables import as_long, doc_key, map_batches, may_hold, slot_f
 from archivolt.llm.words import _BYTE, LOWER, Words, mix, ranges, span_hashes, stretches, words_of
 
 WINDOW = 8
+#: Windows that get their keys at a time: at most ``2**WINDOW`` keys for each.
+AT_ONCE = 1 << 13
 #: So many words of an item in a row are a leak, however long the item is.
 ROW = 13
 UNITS = (
@@ -137,6 +139,16 @@ def window_keys(
     return mix(sums), at, names
 
 
+def sought_windows(codes: np.ndarray, slots: np.ndarray, first: np.ndarray, maybe: np.ndarray, wide: int, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`window_keys` that pass a filter, range by range of words, so that a text full of names holds no more than :data:`AT_ONCE` windows' keys at a time."""
+    for lo in range(0, len(codes), AT_ONCE):
+        part = slice(lo, min(len(codes), lo + AT_ONCE + wide - 1))
+        keys, at, names = window_keys(codes[part], slots[part], np.clip(first, part.start, part.stop) - lo, maybe[part], wide)
+        some = np.flatnonzero(may_hold(bits, keys))
+        if len(some):
+            yield keys[some], at[some] + lo, names[some]
+
+
 def _slot_lists(codes: np.ndarray, slots: np.ndarray, at: np.ndarray, names: np.ndarray, wide: int) -> pa.Array:
     place, named = at[:, None] + np.arange(wide), (names[:, None] >> np.arange(wide) & 1) > 0
     flat = np.where(named, codes[place], slots[place]).ravel()
@@ -199,14 +211,11 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.4, wide: int = WIN
         for lo, hi, words in stretches(batch.column(2), fold=False):
             codes, slots, first, maybe = template(words)
             for w in widths:
-                keys, at, names = window_keys(codes, slots, first, maybe, w)
-                some = np.flatnonzero(may_hold(bits.value, keys))
-                if len(some):
-                    at, names = at[some], names[some]
+                for keys, at, names in sought_windows(codes, slots, first, maybe, w, bits.value):
                     own = np.searchsorted(first, at, "right") - 1
                     rows = pa.array(lo + own)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), batch.column(1).take(rows), as_long(keys[some]), pa.array(np.full(len(some), w, np.int32)),
+                        [batch.column(0).take(rows), batch.column(1).take(rows), as_long(keys), pa.array(np.full(len(keys), w, np.int32)),
                          pa.array(at - first[own]), _slot_lists(codes, slots, at, names, w), pa.array(names > 0)],
                         ["doc_key", "doc_id", "key", "wide", "place", "values", "names"],
                     )

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,23 @@ def test_planted_passages_against_plain_search(spark):
     texts = [(r.doc_id, plain(r.text)) for r in docs.collect()]
     want = {(i, r.item_id) for i, t in texts for r in items.collect() if plain(r.text) in t}
     assert {(r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()} == want != set()
+
+
+@pytest.mark.parametrize("wide", [3, 8])
+def test_windows_range_by_range_are_all_windows(monkeypatch, wide):
+    """Keys that are made range by range are those made at once, whatever the range and the texts' edges."""
+    draw = np.random.default_rng(3)
+    first = np.array([0, 0, 5, 6, 40, 90, 90, 97, 200])
+    codes, slots = draw.integers(1, 9, 200).astype(np.uint64), (draw.integers(0, 3, 200) == 0).astype(np.uint64)
+    maybe = draw.integers(0, 4, 200) == 0
+    everything = np.full(1 << 22, 255, np.uint8)
+    whole = sorted(zip(*(x.tolist() for x in d.window_keys(codes, slots, first, maybe, wide))))
+    for size in (1, 7, 64, 1 << 13):
+        monkeypatch.setattr(d, "AT_ONCE", size)
+        assert sorted(t for part in d.sought_windows(codes, slots, first, maybe, wide, everything) for t in zip(*(x.tolist() for x in part))) == whole
+
+
+def test_a_long_list_of_names_keeps_to_its_memory(docs, items):
+    """Tens of thousands of sentences of one capitalised word in one text, with an item at its end."""
+    text = " ".join(f"Name{i}." for i in range(60_000))
+    assert _found(docs, items, [(1, text), (2, text + " " + LONG)]) == {(2, 8)}
