@@ -20,6 +20,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int
     the same for any order or partitioning.  Its size is bounded by the
     parameter, so the ids can be broadcast.  Labels other than 0 and 1 and rows
     without an id are passed over; a document with two labels counts for each.
+    Of documents with one id, however many, the smallest text is taken.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label")).where(~held_out(F.col("_id"), folds, fold))
     # Ties go by id; a label row that repeats counts once.
@@ -27,7 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int
     one = lambda value: rows.where(F.col("label") == value).orderBy("_place", "_id").limit(per_class)
     chosen = one(0).unionByName(one(1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"]).select("doc_id", "text", "label", "_place")
+    found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"])
+    return found.groupBy("doc_id", "label", "_place").agg(F.min("text").alias("text")).select("doc_id", "text", "label", "_place")
 
 
 def rate(labels: DataFrame, label: str, folds: int, fold: int) -> float:

@@ -60,6 +60,13 @@ def inputs(words: Words) -> Iterator[Inputs]:
         yield Inputs((words.hash[lo:hi] % np.uint64(WORDS)).astype(np.int64), (chars % np.uint64(CHARS)).astype(np.int64), first)
 
 
+def joined(parts: list[Inputs]) -> Inputs:
+    """Inputs of consecutive ranges as those of one."""
+    before = np.cumsum([0, *(p.first[-1] for p in parts)])
+    first = np.concatenate([np.zeros(1, np.int64), *(p.first[1:] + n for p, n in zip(parts, before))])
+    return Inputs(np.concatenate([p.word for p in parts]), np.concatenate([p.chars for p in parts]), first)
+
+
 def fresh(seed: int = 7) -> dict[str, np.ndarray]:
     """Parameters before learning.  ``U`` and ``in`` hold update, reset and new state side by side."""
     draw = np.random.default_rng(seed)
@@ -219,9 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
             for i, text in enumerate(batch.column(1)):
                 for _, _, words in stretches(pa.array([text.as_py()], pa.large_string())):
                     if 0 < len(words.hash) <= longest:
-                        parts = list(inputs(words))
-                        if len(parts) == 1:
-                            rows.append((places[i], ys[i], parts[0]))
+                        rows.append((places[i], ys[i], joined(list(inputs(words)))))
         rows.sort(key=lambda r: (r[0], r[1], len(r[2].word)))
         p = learn([(x, y) for _, y, x in rows]) if rows else fresh()
         yield pa.RecordBatch.from_arrays([pa.array(list(p)), pa.array([v.tobytes() for v in p.values()], pa.binary())], ["name", "value"])

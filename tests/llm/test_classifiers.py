@@ -5,8 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from archivolt.llm import quality, toxicity
-from archivolt.llm.words import stretches
+from archivolt.llm import labelled, quality, toxicity
+from archivolt.llm.words import stretches, words_of
 
 DRAW = random.Random(11)
 WORDS = ["".join(DRAW.choice("abcdefghij") for _ in range(DRAW.randrange(2, 7))) for _ in range(300)]
@@ -113,3 +113,27 @@ def test_a_long_text_scores_as_in_one_piece(monkeypatch):
     whole = toxicity.text_logits(p, words)
     monkeypatch.setattr(w, "STRETCH", 300)
     assert np.allclose(whole, toxicity.text_logits(p, words, at_once=5), atol=1e-5)
+
+
+def test_an_id_that_repeats_is_one_row_of_the_sample(docs, frame):
+    """The sample is bounded by rows: of the texts of one id the smallest is learnt from."""
+    rows = [(4, f"text {i}") for i in range(500)] + [(i, f"other {i}") for i in range(10, 40)] + [(41, None)]
+    labels = frame([(4, 1, 1)] + [(i, i % 2, i % 2) for i in range(10, 42)], "doc_id long, quality int, toxic int", extra=("text",))
+    got = labelled.sample(docs(rows), labels, "quality", 10_000, 9_999, 10).collect()
+    assert len(got) <= 20 and len({(r.doc_id, r.label) for r in got}) == len(got)
+    every = labelled.sample(docs(rows), labels, "quality", 10_000, 9_999, 1000).collect()
+    assert sorted((r.doc_id, r.text) for r in every if r.doc_id in (4, 41)) == [(4, "text 0"), (41, None)]
+
+
+def test_texts_of_several_ranges_are_learnt_from():
+    """Words longer than a range give the inputs that they give in one piece."""
+    text = " ".join(["a" * 300_000, "bc", "d" * 400_000, "efg hij"]).encode()
+    words = words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    parts = list(toxicity.inputs(words))
+    whole = toxicity.joined(parts)
+    assert len(parts) > 1 and len(whole.word) == len(words.hash) == 5 and whole.first[-1] == len(whole.chars)
+    at = 0
+    for p in parts:
+        for i in range(len(p.word)):
+            assert whole.word[at] == p.word[i] and (whole.chars[whole.first[at]:whole.first[at + 1]] == p.chars[p.first[i]:p.first[i + 1]]).all()
+            at += 1
