@@ -15,6 +15,7 @@ union-find.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.components import components
-from archivolt.llm.tables import WORD, as_long, checkpoint, doc_key, map_batches, may_hold, slot_filter
+from archivolt.llm.tables import WORD, as_long, doc_key, map_batches, may_hold, slot_filter
 from archivolt.llm.words import Words, mix, n_grams, stretches
+from archivolt.session import checkpoint as _written
 
 #: Places of a signature and places of a band.  Two sets of similarity 0.85 miss
 #: each other in all 21 bands with a chance of (1 - 0.85**3)**21 = 2e-9, of
@@ -33,6 +35,20 @@ from archivolt.llm.words import Words, mix, n_grams, stretches
 PLACES, ROWS = 63, 3
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of ``df`` and lets the shuffle files of what led to it go.
+
+    Spark deletes them when the driver's collector finds their plans unused,
+    which may be long after; there are many steps here, each with its own.
+    """
+    jvm = df.sparkSession._jvm
+    out = _written(df)
+    del df
+    gc.collect()
+    jvm.System.gc()
+    return out
+
+
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, and where each text's begin.
 
@@ -305,6 +321,7 @@ def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     shared = bands.groupBy("key").agg(F.min(F.xxhash64("class")).alias("low"), F.max(F.xxhash64("class")).alias("high")).where("low <> high")
     members = checkpoint(bands.join(shared.select("key"), "key").distinct())
     classes = full.groupBy("class").agg(F.min("doc_id").alias("low"), F.min("doc_key").alias("doc_key"))
+    del bands, shared
     wanted = checkpoint(classes.join(members.select("class").distinct(), "class", "left_semi").select("class", "doc_key"))
     sets = checkpoint(_sets(docs, wanted, n))
 
@@ -316,6 +333,7 @@ def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     links = checkpoint(confirmed(best.select(F.col("best.pivot.class").alias("a"), F.col("class").alias("b")), sets, percent))
     roots = components(links)
 
+    del counts, weights, pivots, votes, best
     links = checkpoint(links.unionByName(_links_between(_outsiders(members, roots), sets, percent)))
     roots = components(links)
     return signed, classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("root", "class").alias("root"))
