@@ -36,3 +36,7 @@ PAGE = "page_id long, url string, html string"
 
 def test_html_document_text(spark, scratch):
     assert differences(spark, scratch, "html_document_text", pages=(PAGES + [(90, "u", None), (91, "u", "")], PAGE)) == []
+
+
+def test_page_text_and_links(spark, scratch):
+    assert differences(spark, scratch, "page_text_and_links", pages=(PAGES + [(90, "u", None), (91, "u", "")], PAGE)) == []
