@@ -40,3 +40,7 @@ def test_html_document_text(spark, scratch):
 
 def test_page_text_and_links(spark, scratch):
     assert differences(spark, scratch, "page_text_and_links", pages=(PAGES + [(90, "u", None), (91, "u", "")], PAGE)) == []
+
+
+def test_crawled_page_themes(spark, scratch):
+    assert differences(spark, scratch, "crawled_page_themes", pages=(PAGES + [(90, "u", None), (91, "u", "")], PAGE)) == []
