@@ -44,3 +44,8 @@ def test_page_text_and_links(spark, scratch):
 
 def test_crawled_page_themes(spark, scratch):
     assert differences(spark, scratch, "crawled_page_themes", pages=(PAGES + [(90, "u", None), (91, "u", "")], PAGE)) == []
+
+
+def test_model_comparison(spark, scratch):
+    texts = ["ßtraße im Regen", "ﬁne ŉ ǰ ΐ", "ςσ ıİ ǆ", "straßen", "ab", "", None, "a\nß\tc", "𐐨ßx"]
+    assert differences(spark, scratch, "model_comparison", benchmark=(list(enumerate(texts)), "item_id long, text string")) == []
