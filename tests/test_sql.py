@@ -49,3 +49,8 @@ def test_crawled_page_themes(spark, scratch):
 def test_model_comparison(spark, scratch):
     texts = ["ßtraße im Regen", "ﬁne ŉ ǰ ΐ", "ςσ ıİ ǆ", "straßen", "ab", "", None, "a\nß\tc", "𐐨ßx"]
     assert differences(spark, scratch, "model_comparison", benchmark=(list(enumerate(texts)), "item_id long, text string")) == []
+
+
+def test_recommendation_store(spark, scratch):
+    urls = ["a", "A ", "b", "c", "b", " B", "d", "e", "E", "f\xa0", "F", "", None, None, " ", "c", "d", "g"]
+    assert differences(spark, scratch, "recommendation_store", pages=([(i, u, "") for i, u in enumerate(urls)], PAGE)) == []
