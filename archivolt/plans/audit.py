@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from archivolt import fixed
 from archivolt.functions import security, text as tx
 from archivolt.plans import Tables, query
-from archivolt.plans.library import strip_sql
+from archivolt.plans.web import BLANKS_SQL
 from archivolt.session import scratch_folder
 from archivolt.sources import records
 
@@ -50,8 +50,11 @@ def redacted_texts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(security.redact_text(secret, ["tion", ""])).alias("text_md5"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, regexp_split_to_array({strip_sql('text')}, '\\s+')[1] AS w FROM documents)
-SELECT doc_id, 'run --token *** ' || w || ' --api-key=*** https://***@h PASSWORD *** ' || w AS command FROM w""")
+# The first word may itself be a secret flag: then what follows it is hidden, or what stands behind its equals sign.
+@query(f"""WITH w AS (SELECT doc_id, nullif(regexp_extract(coalesce(text, ''), '[^' || {BLANKS_SQL} || ']+'), '') AS w FROM documents),
+f AS (SELECT *, coalesce({' OR '.join(f"contains(lower(w), '{m}')" for m in fixed.SECRET_MARKERS)}, false) AS secret, coalesce(contains(w, '='), false) AS valued FROM w),
+s AS (SELECT *, CASE WHEN secret AND valued THEN split_part(w, '=', 1) || '=***' WHEN secret THEN w ELSE regexp_replace(w, '([Hh][Tt][Tt][Pp][Ss]?://)[^/@]+@', '\\1***@', 'g') END AS shown FROM f)
+SELECT doc_id, concat_ws(' ', 'run --token ***', shown, CASE WHEN secret AND NOT valued THEN '***' ELSE '--api-key=***' END, 'https://***@h PASSWORD ***', shown) AS command FROM s""")
 def redacted_commands(t: Tables) -> DataFrame:
     word = F.get(tx.words("text"), F.lit(0))
     args = F.array(F.lit("run"), F.lit("--token"), F.lit("--secret"), word, F.lit("--api-key=abc=d"), F.lit("https://u:p@h"),

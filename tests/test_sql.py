@@ -7,6 +7,7 @@ import duckdb
 from oracle import compare, connect
 
 from archivolt import plans
+from archivolt.functions.security import redact_arguments
 from archivolt.plans.web import charrefs_sql
 
 plans.load_all()
@@ -54,3 +55,14 @@ def test_model_comparison(spark, scratch):
 def test_recommendation_store(spark, scratch):
     urls = ["a", "A ", "b", "c", "b", " B", "d", "e", "E", "f\xa0", "F", "", None, None, " ", "c", "d", "g"]
     assert differences(spark, scratch, "recommendation_store", pages=([(i, u, "") for i, u in enumerate(urls)], PAGE)) == []
+
+
+def test_redacted_commands(spark, scratch):
+    texts = ["token and more", "password=abc x", "My-KEY= x", "KEYS", "https://u:p@h/x y", "http://a:b@c:d@e", "bearer abc", "", None, " \n", "\xa0uno\x1cdos", "uno\x0bdos", "a=b"]
+    documents = [(i, text) for i, text in enumerate(texts)]
+    assert differences(spark, scratch, "redacted_commands", documents=(documents, "doc_id long, text string")) == []
+    # A null argument leaves what is secret after it hidden.
+    row = spark.createDataFrame([(["--token", None, "--key=x", None, "--secret", "y"],)], "a array<string>").select(redact_arguments("a").alias("o")).first()
+    assert row["o"] == ["--token", "***", "--key=***", None, "--secret", "***"]
+    row = spark.createDataFrame([(["run", None, "--key=x"],)], "a array<string>").select(redact_arguments("a").alias("o")).first()
+    assert row["o"] == ["run", None, "--key=***"]
