@@ -14,10 +14,10 @@ from archivolt.streaming import counters, history, ingest
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
-    schema = getattr(t, name).schema
-    return (
-        t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxBytesPerTrigger", str(256 << 20)).parquet(t.folder))
+    """A table as a stream, be it one file or a folder of files."""
+    # A pattern, since Spark takes a path without one for a folder.
+    path = f"{t.folder}/{name}.parque[t]"
+    return t.spark.readStream.schema(getattr(t, name).schema).option("maxBytesPerTrigger", str(256 << 20)).parquet(path)
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:

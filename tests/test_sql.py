@@ -4,6 +4,7 @@ from html import unescape
 from html.entities import html5
 
 import duckdb
+import pytest
 from oracle import compare, connect
 
 from archivolt import plans
@@ -66,3 +67,16 @@ def test_redacted_commands(spark, scratch):
     assert row["o"] == ["--token", "***", "--key=***", None, "--secret", "***"]
     row = spark.createDataFrame([(["run", None, "--key=x"],)], "a array<string>").select(redact_arguments("a").alias("o")).first()
     assert row["o"] == ["run", None, "--key=***"]
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_streamed_tables_of_one_or_more_files(spark, scratch, files):
+    """A table is a folder of files where it is large."""
+    folder = "/root/testdata/sf0.001"
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{folder}/{name}.parquet").repartition(files).write.parquet(f"{scratch}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{scratch}/{name}.parquet/*.parquet'")
+    for name in ("streaming_ingest", "streaming_event_counts", "streaming_windowed_counts"):
+        assert compare(spark, con, plans.QUERIES[name], plans.ORACLES[name], scratch) == []
