@@ -80,12 +80,16 @@ def streaming_history(t: Tables) -> DataFrame:
 
 
 def _shuffled(t: Tables) -> DataFrame:
-    """The turns as a stream of three batches, dealt by hash."""
+    """The turns as a stream of three batches or a few more, dealt by hash; a batch holds 256 MiB of files at most, however many they are."""
     folder = scratch_folder(t.spark)
+    turns = t.spread("conversations")
     for part in range(3):
-        t.conversations.filter(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)) == part).write.parquet(f"{folder}/part={part}")
+        turns.filter(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)) == part).write.parquet(f"{folder}/part={part}")
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    size = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     # A trigger takes a folder's files or fewer, never a turn twice.
-    return t.spark.readStream.schema(t.conversations.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(folder)
+    return t.spark.readStream.schema(t.conversations.schema).option("recursiveFileLookup", "true").option(
+        "maxBytesPerTrigger", str(min(256 << 20, 1 + size // 3))).parquet(folder)
 
 
 @query(f"""SELECT source || '/doc_' || doc_id || '.md' AS doc_id, sha256(text) AS content_sha256 FROM documents WHERE length({strip_sql('text')}) >= 50""")

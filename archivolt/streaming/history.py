@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from archivolt import fixed
@@ -27,33 +26,37 @@ class RollingHistory(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.waiting = handle.getListState("waiting", "turn long, role string, text string", self.wait_ms)
-        self.newest = handle.getListState("newest", "turn long, question string")
-        self.numbers = handle.getValueState("numbers", "last_turn long, pairs long, long_answers long")
+        # One value, so that a conversation costs one read and one write of it.
+        self.known = handle.getValueState("known", "last_turn long, pairs long, long_answers long, turns array<long>, questions array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, count, long = self.numbers.get() if self.numbers.exists() else (-1, 0, 0)
-        before = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["turn", "role", "text"])
-        fresh = pd.concat(list(rows))[["turn", "role", "text"]]
-        turns = (pd.concat([before, fresh]) if len(before) else fresh).drop_duplicates("turn").sort_values("turn").reset_index(drop=True)
-        turns["turn"] = turns["turn"].astype("int64")
-        after, ahead = turns.shift(-1), turns.shift(1)
-        followed = after["turn"] == turns["turn"] + 1
-        preceded = ahead["turn"] == turns["turn"] - 1
-        paired = (turns["role"] == "user") & followed & (after["role"] == "assistant")
-        pairs = pd.DataFrame({"turn": turns["turn"], "question": turns["text"], "answer": after["text"]})[paired]
-        count += len(pairs)
-        long += int((pairs["answer"].fillna("").str.len() > fixed.ANALYSIS_MIN_ANSWER).sum())
-        known = list(self.newest.get()) if self.newest.exists() else []
-        newest = sorted([(int(t), q) for t, q in known] + list(zip(pairs["turn"].tolist(), pairs["question"])))[-self.n:]
-        open_ = turns[((turns["role"] == "user") & ~followed) | ((turns["role"] != "user") & ~preceded)]
-        self.waiting.put(list(zip(open_["turn"].tolist(), open_["role"], open_["text"]))) if len(open_) else self.waiting.clear()
-        if newest:
-            self.newest.put(newest)
-        last = max(int(last), int(turns["turn"].max()), int(fresh["turn"].max()))
-        self.numbers.update((last, count, long))
-        yield pd.DataFrame({
-            "conv_id": [key[0]], "last_turn": [last], "pairs": [count], "questions": ["\n".join(q or "" for _, q in newest)],
-            "batches_due": [long // self.interval], "waiting": [long % self.interval]})
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, count, long, known, questions = self.known.get() or (-1, 0, 0, [], [])
+        before = [tuple(r) for r in self.waiting.get()]
+        fresh = [(int(r.turn), r.role, r.text) for r in rows]
+        turns = {}
+        for turn, role, text in before + fresh:
+            turns.setdefault(turn, (role, text))
+        newest, open_ = list(zip(known, questions)), []
+        for turn in sorted(turns):
+            role, text = turns[turn]
+            if role != "user":
+                if turn - 1 not in turns:
+                    open_.append((turn, role, text))
+            elif turn + 1 not in turns:
+                open_.append((turn, role, text))
+            elif turns[turn + 1][0] == "assistant":
+                count += 1
+                long += len(turns[turn + 1][1] or "") > fixed.ANALYSIS_MIN_ANSWER
+                newest.append((turn, text))
+        newest = sorted(newest, key=lambda pair: pair[0])[-self.n:]
+        if open_:
+            self.waiting.put(open_)
+        elif before:
+            self.waiting.clear()
+        last = max(last, max(turns))
+        self.known.update((last, count, long, [t for t, _ in newest], [q for _, q in newest]))
+        yield Row(conv_id=key[0], last_turn=last, pairs=count, questions="\n".join(q or "" for _, q in newest),
+                  batches_due=long // self.interval, waiting=long % self.interval)
 
     def close(self) -> None:
         pass
@@ -69,5 +72,5 @@ def rolling_history(turns: DataFrame, n: int = fixed.HISTORY_PAIRS, interval: in
     are forgotten; without it they wait for ever.  The session's state store
     must be RocksDB (:data:`PROVIDER`).
     """
-    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").transformWithStateInPandas(
+    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").transformWithState(
         RollingHistory(n, interval, wait_ms), OUTPUT, "update", "processingTime" if wait_ms else "none")

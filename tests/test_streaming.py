@@ -96,3 +96,13 @@ def test_late_turns_are_put_in_order(spark, scratch):
     assert {c: (r["last_turn"], r["pairs"], r["batches_due"], r["waiting"]) for c, r in last.items()} == {1: (29, 15, 2, 2), 2: (6, 3, 0, 2), 3: (4, 1, 0, 0)}
     assert [q.split(" ")[0] for q in last[1]["questions"].split("\n")] == ["1.20", "1.22", "1.24", "1.26", "1.28"]
     assert last[3]["questions"] == "3.3 q"
+
+
+def test_batches_do_not_grow_with_the_files(spark, scratch):
+    from archivolt.plans import Tables, streams
+
+    spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").repartition(12).write.parquet(f"{scratch}/conversations.parquet")
+    seen = []
+    streams._shuffled(Tables(spark, scratch)).writeStream.option("checkpointLocation", scratch + "/state").trigger(
+        availableNow=True).foreachBatch(lambda batch, number: seen.append(batch.count())).start().awaitTermination()
+    assert 3 <= len(seen) <= 5 and sum(seen) == spark.read.parquet(f"{scratch}/conversations.parquet").count()
