@@ -293,3 +293,11 @@ def test_models_are_asked_once_for_each_prompt(spark, scratch):
     assert routed.count() == routed.count() == 6
     with open(f"{scratch}/r") as f:
         assert len(f.read().split()) == 6
+
+
+def test_other_columns_stay_as_they_are_and_prompts_need_not_come_back(spark):
+    rows = [(i, f"p{i}" if i % 3 else None, [i, None], (None, "x") if i % 2 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, p string, a array<long>, s struct<x:int,y:string>").coalesce(1)
+    got = en.enrich(df, en.per_row(lambda p: p.upper()), "p", batch_size=7, keep_prompt=False)
+    assert got.columns == ["i", "a", "s", "answer", "error"]
+    assert [(r.i, r.a, tuple(r.s) if r.s else None, r.answer) for r in got.orderBy("i").collect()] == [(i, a, s, p and p.upper()) for i, p, a, s in rows]
