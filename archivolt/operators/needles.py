@@ -35,14 +35,25 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 def pieces_of(text: str, length: int) -> np.ndarray:
     """A 64-bit hash of every piece of ``length`` characters, in order."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - length + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    sums = np.full(n, length, np.uint64)
-    for k in range(length):
-        sums = _spread(sums * _ODD + codes[k:k + n])
-    return sums
+    return next((own for n, own, _ in _pieces([text]) if n == length), np.empty(0, np.uint64))
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length the hashes of all pieces of the texts, in order, and the text that each is of.
+
+    Texts are hashed side by side; a piece is hashed from the one that is a
+    character shorter, so each length costs what it adds.
+    """
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from here to the text's end
+    sums = np.ones(len(codes), np.uint64)
+    for k in range(max(LENGTHS)):
+        sums = _spread(sums[:max(0, len(codes) - k)] * _ODD + codes[k:])
+        if k + 1 in LENGTHS:
+            whole = left[:len(sums)] > k
+            yield k + 1, sums[whole], owner[:len(sums)][whole]
 
 
 def _length_of(text: str) -> int:
@@ -72,13 +83,17 @@ def _text_pieces(texts: DataFrame, row: str, text: str, wanted: DataFrame) -> Da
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 owner, found = [], []
-                for i, value in enumerate(part.column(1).to_pylist()):
-                    for length in lengths:
-                        own = pieces_of(value or "", length)
+                for length, own, of in _pieces([value or "" for value in part.column(1).to_pylist()]):
+                    if length in lengths:
                         slot = (own >> np.uint64(64 - BITS)).astype(np.int64)
-                        own = np.unique(own[(bits.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0])
-                        owner.append(np.full(len(own), i))
-                        found.append(own)
+                        held = np.flatnonzero((bits.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                        # Each piece of a text once.
+                        order = held[np.lexsort((own[held], of[held]))]
+                        own, of = own[order], of[order]
+                        first = np.ones(len(order), bool)
+                        first[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
+                        owner.append(of[first])
+                        found.append(own[first])
                 at = np.concatenate(owner) if owner else np.empty(0, np.int64)
                 if len(at):
                     values = pa.array(np.concatenate(found).view(np.int64))

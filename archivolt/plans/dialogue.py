@@ -225,7 +225,7 @@ SELECT conv_id, turn, needle FROM conversations JOIN n ON contains(lower(text),
 def held_words(t: Tables) -> DataFrame:
     """Every word of any benchmark item in every turn, found by joins on the words' rarest pieces."""
     words = t.benchmark.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("needle"))
-    turns = t.conversations.select(F.struct("conv_id", "turn").alias("at"), F.lower("text").alias("text"))
+    turns = t.spread("conversations").select(F.struct("conv_id", "turn").alias("at"), F.lower("text").alias("text"))
     return needles.joined_needles(turns, words, "at", "text", "needle").select("at.*", "needle")
 
 

@@ -56,3 +56,10 @@ def test_pieces_are_the_same_wherever_they_stand():
     a, b = nd.pieces_of("xxabcdyy", 4), nd.pieces_of("abcd", 4)
     assert b[0] in a and len(a) == 5 and len(np.unique(a)) == 5
     assert len(nd.pieces_of("abc", 4)) == 0
+
+
+def test_pieces_of_many_texts_are_those_of_each(spark):
+    texts = ["the quick brown fox", "", "a", "𝄞 clef", "aaaaaaaaaaaa", "the quick"]
+    for length, own, of in nd._pieces(texts):
+        assert sorted(zip(of.tolist(), own.tolist())) == sorted((i, h) for i, t in enumerate(texts) for h in nd.pieces_of(t, length).tolist())
+        assert np.bincount(of, minlength=len(texts)).tolist() == [max(0, len(t) - length + 1) for t in texts]
