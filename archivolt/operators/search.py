@@ -10,6 +10,7 @@ More questions than one block holds are worked off block by block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -305,10 +306,10 @@ def lexical_vectors(df: DataFrame, text: str = "text", dims: int = 256, out: str
     """
     from pyspark.ml.functions import vector_to_array
 
-    counted = _hashed_words(df, text, dims)
-    if weights is not None:
-        counted = weights.transform(counted)
-    both = counted.withColumn("_both", vector_to_array("_tf" if weights is None else "_weighted"))
+    if weights is None:
+        # Words are never blank, so a blank may stand for what divides them.
+        return df.withColumn(out, _signed_unit(dims)(F.regexp_replace(F.lower(strip(text)), r"(?U)\W+", " ")))
+    both = weights.transform(_hashed_words(df, text, dims)).withColumn("_both", vector_to_array("_weighted"))
     signed = both.withColumn("_signed", F.zip_with(F.slice("_both", 1, dims), F.slice("_both", dims + 1, dims), lambda a, b: a - b))
     length = F.sqrt(F.aggregate("_signed", F.lit(0.0), lambda s, x: s + x * x))
     unit = signed.withColumn("_length", length)
@@ -316,6 +317,38 @@ def lexical_vectors(df: DataFrame, text: str = "text", dims: int = 256, out: str
     return unit.withColumn(out, vector).drop("_words", "_tf", "_weighted", "_both", "_signed", "_length")
 
 
+# Words whose digests a task remembers.
+REMEMBERED = 1 << 18
+
+
+def _signed_unit(dims: int):
+    """A function from words, a blank between them, to the unit vector of their signed places; see :func:`_hashed_words`."""
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def unit(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places: dict[str, int] = {}  # a place, plus dims where the sign is negative
+
+        def place(word: str) -> int:
+            digest = md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+            return int(digest[:8], 16) % dims + (0 if digest[8] < "8" else dims)
+
+        def one(text: str | None) -> np.ndarray:
+            words = [] if text is None else text.split(" ")
+            for word in words:
+                if word not in places:
+                    places[word] = place(word)
+            both = np.bincount([places[word] for word in words], minlength=2 * dims) if words else np.zeros(2 * dims)
+            signed = (both[:dims] - both[dims:]).astype(np.float64)
+            length = np.sqrt((signed * signed).sum())
+            return (signed / length if length > 0 else signed).astype(np.float32)
+
+        for part in texts:
+            yield pd.Series([one(text) for text in part], dtype=object)
+            if len(places) > REMEMBERED:
+                places.clear()
+
+    return unit
+
+
 def model_vectors(df: DataFrame, make_model, text: str = "text", out: str = "embedding", batch_size: int = 256) -> DataFrame:
     """Vectors from a user's model: ``make_model()`` gives texts -> list of vectors."""
     schema = T.StructType([f for f in df.schema.fields if f.name != out] + [

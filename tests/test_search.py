@@ -133,3 +133,19 @@ def test_chunks_stay_in_place(spark, data):
     joined = se.with_payload(se.top_k(corpus, questions, 3), corpus, ["text"])
     joined.collect()
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashed_words_with_and_without_weights_share_their_places(spark):
+    """Vectors without weights equal those counted by the vectoriser of the weights, blanks and words of other scripts included."""
+    from pyspark.ml.functions import vector_to_array
+
+    texts = ["Uno dos, uno!", "¿qué? ñandú_1 日本", "", " ", "--", "ẞ İ ΑΣ", "a\x0bb\nc", None, "x y " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = [r.embedding for r in se.lexical_vectors(df, dims=32).orderBy("i").collect()]
+    counted = [r.v for r in se._hashed_words(df, "text", 32).select("i", vector_to_array("_tf").alias("v")).orderBy("i").collect()]
+    for own, both in zip(got, counted):
+        signed = np.array(both[:32]) - np.array(both[32:])
+        length = np.sqrt((signed * signed).sum())
+        assert own == (signed / length if length else signed).astype(np.float32).tolist()
+    plan = se.lexical_vectors(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "zip_with" not in plan
