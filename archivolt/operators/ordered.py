@@ -108,6 +108,12 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 BROADCAST_BYTES = 64 << 20
 
 
+def sent_if_small(keys: DataFrame) -> DataFrame:
+    """``keys``, to be sent to the rows they are joined with while their bytes fit; they are read twice."""
+    size = keys.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*keys.columns)))), F.lit(0))).first()[0]
+    return F.broadcast(keys) if size <= BROADCAST_BYTES else keys
+
+
 def rows_of(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows whose key is in ``keys`` (unique), joined with its columns.
 
@@ -115,8 +121,7 @@ def rows_of(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     rows, which may carry whole texts, stay where they are.
     """
     keys = checkpoint(keys)
-    size = keys.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*keys.columns)))), F.lit(0))).first()[0]
-    return rows.join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, on)
+    return rows.join(sent_if_small(keys), on)
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from archivolt.functions.paths import normalise
 from archivolt.functions.text import chunk_text, is_indexable
 from archivolt.operators import index as ops
-from archivolt.operators.ordered import rows_of
+from archivolt.operators.ordered import rows_of, sent_if_small
 from archivolt.session import checkpoint
 from archivolt.sources import library as lib
 
@@ -101,7 +101,8 @@ class ChunkIndex:
         kept = self.chunks(buckets)
         parts = [fresh] if fresh is not None else []
         if kept is not None:
-            parts.append(ops.without_documents(kept, retired))
+            # Chunks are shuffled once, to be written: the ids go to them as long as they fit.
+            parts.append(ops.without_documents(kept, sent_if_small(retired)))
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         self._replace("chunks", rows, "doc_id", buckets)
 

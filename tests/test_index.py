@@ -217,3 +217,21 @@ def test_bodies_of_wanted_files_only(spark, scratch):
     wanted = lib.scan(spark, scratch).filter("rel_path in ('1.md', '3.md', '5.md')").select("rel_path", "modified_us")
     assert {r[0] for r in lib.read_bodies(spark, scratch, wanted).select("rel_path").collect()} == {"1.md", "3.md", "5.md"}
     assert lib.read_bodies(spark, scratch, wanted.limit(0)).count() == 0
+
+
+def test_chunks_are_not_shuffled_to_meet_the_documents_that_go(spark, scratch):
+    """However low Spark's own limit, which ids of many documents pass."""
+    index, plans = ChunkIndex(spark, scratch, buckets=4), []
+    body = "Texto de prueba con largo suficiente para formar un fragmento del indice. " * 2
+    rows = spark.createDataFrame([(f"d{i}.md", body, len(body), 1) for i in range(40)], "rel_path string, text string, size_bytes long, modified_us long")
+    index.sync_table(rows, "t")
+    replace = index._replace
+    index._replace = lambda table, rows, doc, buckets: (plans.append(rows._jdf.queryExecution().executedPlan().toString()) if table == "chunks" else None, replace(table, rows, doc, buckets))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index.delete(rows.filter("rel_path < 'd2'").select(F.col("rel_path").alias("doc_id")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+    assert index.chunks().filter("doc_id < 'd2'").count() == 0 < index.chunks().count()
