@@ -1,12 +1,12 @@
 """Language model scores by a probabilistic suffix tree over words.
 
 A state of the tree is a context: the last one or more words.  Contexts that
-make up a share of :data:`CONTEXT` of all training tokens are candidates; one is
+occur :data:`LEAST` times or more in the training texts are candidates; one is
 retained if its next-word distribution diverges from that of its longest
 retained suffix by more than chance explains.  A state keeps the counts of next
-words that follow it in a share of :data:`ENTRY` of all tokens; what else
-follows is left to its suffix.  A token is scored by the longest suffix of what
-stands before it that is a state:
+words that follow it :data:`LEAST` times or more; what else follows is left to
+its suffix.  A token is scored by the longest suffix of what stands before it
+that is a state:
 
     P(w | s) = (c(s w) + (m + rest(s)) P(w | suffix of s)) / (c(s) + m)
 
@@ -15,13 +15,20 @@ kept, m one more than the number of kept words; without a suffix the base
 distribution (c(w) + 1) / (N + V + 1).  Each P sums to 1 over the V known words
 and the unknown.
 
-Counts of all words come from all training texts.  Shares bound what tasks are
-sent: at most ``1 / ENTRY`` words and as many kept counts a level, however
-large the corpus.  Rarer words are looked up by a join.
+Both limits are counts, the same for a corpus of any size, so the tree grows
+with the corpus and no task holds it.  Texts are put in parts of about
+:data:`PART` tokens.  Level by level, a part asks for the counts of its distinct
+runs of words and for what the tree knows of its contexts; questions are dealt
+by ranges of hashes, added up there, and answered to the parts that asked
+(:func:`_answered`).  A run is asked for only where the two runs one word
+shorter occur often enough, so nothing that counts is passed over.  :func:`fit`
+makes the same tree in memory, of tables that fit there.
 """
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,15 +38,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.labelled import held_out
-from archivolt.llm.tables import as_long, checkpoint, map_batches
-from archivolt.llm.words import Words, stretches
-from archivolt.session import scratch_folder
+from archivolt.llm.near_dedup import checkpoint
+from archivolt.llm.tables import as_long
+from archivolt.llm.words import Words, mix, stretches
 
-CONTEXT, ENTRY, DEPTH = 1e-4, 2e-7, 2
+#: How often a context, and a word after it, must occur; words of the longest context.
+LEAST, DEPTH = 2, 2
 #: The end of a text as a token.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Distinct keys that a task holds before it passes its counts on.
 HELD = 1 << 21
+#: Tokens of a part; a longer text is a part of its own.
+PART = 1 << 21
+#: Tokens of the corpus for each range of hashes.
+RANGE = 1 << 22
 
 
 def with_ends(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -206,14 +218,16 @@ def grow(model: Model, suffix: np.ndarray, context_count: np.ndarray, keys: np.n
 
 
 def fit(train: DataFrame, counts: DataFrame, depth: int = DEPTH) -> tuple[Model, list[np.ndarray]]:
-    """The tree learnt from all of ``train``'s texts with their word ``counts``, and the candidates of each level."""
+    """The tree learnt from all of ``train``'s texts with their word ``counts``, and the candidates of each level.
+
+    It is held in memory, so this is for small corpora; :func:`scored` holds a
+    tree of any size in parts and gives the same scores.
+    """
     spark = train.sparkSession
     tokens, kinds = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    least = max(2, int(np.ceil(ENTRY * tokens)))
-    # At most 1 / ENTRY words occur so often.
-    words, count = _table(counts.where((F.col("n") >= least) | (F.col("key") == int(END.view(np.int64)))))
+    words, count = _table(counts.where((F.col("n") >= LEAST) | (F.col("key") == int(END.view(np.int64)))))
     model, candidates = Model(tokens, kinds, words, count), []
-    place = np.flatnonzero(count >= CONTEXT * tokens)
+    place = np.flatnonzero(count >= LEAST)
     keys, size = place, count[place]
     for d in range(depth):
         candidates.append(keys)
@@ -227,7 +241,7 @@ def fit(train: DataFrame, counts: DataFrame, depth: int = DEPTH) -> tuple[Model,
             some = np.flatnonzero((context >= 0) & (word >= 0))
             return (context[some] << 32) + word[some]
 
-        pairs = checkpoint(counted(train, followers).where(F.col("n") >= least))
+        pairs = checkpoint(counted(train, followers).where(F.col("n") >= LEAST))
         both, n = _table(pairs)
         both = both.view(np.int64)
         if d == 0:
@@ -257,9 +271,7 @@ def _extended(model: Model, candidates: list[np.ndarray], both: np.ndarray, n: n
     Context ``e c`` of ``d + 2`` words occurs as often as its first ``d + 1``
     words are followed by its last, so the counts at hand suffice.
     """
-    frequent = n >= CONTEXT * model.tokens
-    context, last = both[frequent] >> 32, both[frequent] & ((1 << 32) - 1)
-    size = n[frequent]
+    context, last, size = both >> 32, both & ((1 << 32) - 1), n
     # Words of the context, earliest first.
     chain = []
     place = context
@@ -280,6 +292,236 @@ def _extended(model: Model, candidates: list[np.ndarray], both: np.ndarray, n: n
     return keys[order], size[good][order]
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """A checkpoint that has its shuffle files gone before the next stage writes its own.
+
+    PySpark hands dropped references on once a second; the collector of the
+    driver's JVM comes after them.
+    """
+    out = checkpoint(df)
+    del df
+    gc.collect()
+    time.sleep(1.1)
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, first bytes first."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    if not packed:
+        return np.empty(0, kind)
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed, np.uint64), dtype=np.uint64)
+
+
+_PIECE = "part long, tokens long, word binary, first binary, keys binary, doc_id array<long>, train array<boolean>"
+
+
+def _pieces(rows: DataFrame) -> DataFrame:
+    """A row for each part: its tokens as places in the sorted hashes of its words, where texts begin, their ids and folds."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 32
+        tokens, lengths, ids, train, size = [], [], [], [], 0
+
+        def piece() -> pa.RecordBatch:
+            keys, word = np.unique(np.concatenate(tokens), return_inverse=True)
+            first = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
+            values = [part, size, _pack(word.astype(np.int32)), _pack(first), _pack_keys(keys), pa.concat_arrays(ids).to_pylist(), pa.concat_arrays(train).to_pylist()]
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+            names = ["part", "tokens", "word", "first", "keys", "doc_id", "train"]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
+
+        for batch in batches:
+            for lo, hi, words in stretches(batch.column(1)):
+                token, first = with_ends(words)
+                if size and size + len(token) > PART:
+                    yield piece()
+                    part += 1
+                    tokens, lengths, ids, train, size = [], [], [], [], 0
+                tokens.append(token)
+                lengths.append(np.diff(first))
+                ids.append(batch.column(0).slice(lo, hi - lo))
+                train.append(batch.column(2).slice(lo, hi - lo))
+                size += len(token)
+        if size:
+            yield piece()
+
+    return rows.mapInArrow(work, _PIECE)
+
+
+#: What a part asks: counts of runs of words (RUNS), or what the tree knows of contexts (STATES), of a level.
+RUNS, STATES = 0, 1
+_ASKED = "part long, level int, kind int, range long, keys binary, a binary, b binary, c binary, d binary, e binary"
+_ANSWER = "part long, level int, kind int, range long, a binary, b binary, tokens long, kinds long"
+
+
+def _asked(part: int, level: int, kind: int, bits: int, keys: np.ndarray, values: list[np.ndarray]) -> Iterator[list]:
+    """Rows of questions for sorted keys, one for each range of keys."""
+    cuts = np.searchsorted(keys, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))) if bits else np.empty(0, np.int64)
+    cuts = np.concatenate(([0], cuts, [len(keys)]))
+    for k in np.flatnonzero(np.diff(cuts)):
+        span = slice(cuts[k], cuts[k + 1])
+        yield [part, level, kind, int(k), _pack_keys(keys[span]), *[_pack(v[span]) for v in values], *[None] * (5 - len(values))]
+
+
+def _table_of(rows: list[list], schema: str) -> pa.Table:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    columns = zip(*rows) if rows else [[]] * len(names)
+    return pa.table([pa.array(list(c), types[k]) for c, k in zip(columns, kinds)], list(names))
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Adds up what the parts sent of one range of keys, and answers each part in the order of its keys.
+
+    To RUNS: how often each occurs.  To STATES: one more than the kept words,
+    0 for a context that is not retained, and the tokens of the kept words.
+    """
+    asked = asked.sort_by("part").to_pylist()
+    level, kind, place = asked[0]["level"], asked[0]["kind"], asked[0]["range"]
+    sizes = [0]
+    every = []
+    for row in asked:
+        every.append(_unpack_keys(row["keys"]))
+        sizes.append(sizes[-1] + len(every[-1]))
+    keys, at = np.unique(np.concatenate(every), return_inverse=True)
+    del every
+
+    def joined(column: str, kind: type) -> np.ndarray:
+        return np.concatenate([_unpack(row[column], kind) for row in asked])
+
+    tokens = kinds = 0
+    if kind == RUNS:
+        # Weights of bincount are doubles: exact up to 2**53.
+        total = np.bincount(at, joined("a", np.int64), len(keys)).astype(np.int64)
+        tokens, kinds = int(total.sum()), int((total > 0).sum())
+        out = [total]
+    else:
+        count = np.zeros(len(keys))
+        sent = joined("a", np.int64)
+        count[at[sent > 0]] = sent[sent > 0]
+        seen = np.bincount(at, joined("b", np.int64), len(keys))
+        kept, logs, q = (np.bincount(at, joined(c, t), len(keys)) for c, t in (("c", np.float32), ("d", np.float32), ("e", np.float64)))
+        kept = np.rint(kept)
+        size = np.maximum(1, count)
+        other_p, other_q = 1 - seen / size, 1 - q
+        other = np.where((other_p > 1e-12) & (other_q > 1e-12), other_p * np.log(np.maximum(other_p, 1e-300) / np.maximum(other_q, 1e-300)), 0.0)
+        divergence = logs / size + other
+        # As in grow().
+        retained = (kept > 0) & (2 * count * divergence > kept + 4 * np.sqrt(2 * kept))
+        out = [np.where(retained, kept + 1, 0).astype(np.int64), np.where(retained, seen, 0).astype(np.int64)]
+    rows = []
+    for k, row in enumerate(asked):
+        own = at[sizes[k]:sizes[k + 1]]
+        sent = [_pack(x[own]) for x in out]
+        rows.append([row["part"], level, kind, place, sent[0], sent[1] if len(sent) > 1 else None, tokens if k == 0 else 0, kinds if k == 0 else 0])
+    return _table_of(rows, _ANSWER)
+
+
+class _Part:
+    """A part's tokens, followed through the levels of the tree that were answered so far.
+
+    A run of ``k`` words ends at a token; ``run[i]`` is its place among the
+    part's distinct ones, -1 where it does not occur often enough.  ``log`` is
+    log10 P of each token under the states of up to ``k - 1`` words.
+    """
+
+    def __init__(self, piece: dict, answers: list[dict], tokens: int, kinds: int):
+        self.part, self.tokens, self.kinds = piece["part"], tokens, kinds
+        self.word, self.first, self.keys = _unpack(piece["word"], np.int32), _unpack(piece["first"], np.int64), _unpack_keys(piece["keys"])
+        self.ids, self.train = piece["doc_id"], np.array(piece["train"], bool)
+        self.answers = {}
+        for row in sorted(answers, key=lambda r: r["range"]):
+            self.answers.setdefault((row["level"], row["kind"]), []).append(row)
+
+    def answer(self, level: int, kind: int, column: str) -> np.ndarray:
+        """Answers to what the part asked, in the order of its questions."""
+        return np.concatenate([np.empty(0, np.int64), *(_unpack(r[column], np.int64) for r in self.answers.get((level, kind), []))])
+
+    def follow(self, stage: int, depth: int, bits: int) -> Iterator[list]:
+        """What the part asks in a stage, once those before it are answered: for RUNS of that level and STATES of the one below.
+
+        After the last stage ``known``, ``base`` and ``log`` of each token are final.
+        """
+        learnt = np.repeat(self.train, np.diff(self.first))
+        if stage == 1:
+            yield from _asked(self.part, 1, RUNS, bits, self.keys, [np.bincount(self.word[learnt], minlength=len(self.keys))])
+            return
+        keys, count = self.keys, self.answer(1, RUNS, "a")
+        word_log = np.log10((count + 1.0) / (self.tokens + self.kinds + 1.0))
+        self.known, self.base, self.log = count[self.word] > 0, word_log[self.word], word_log[self.word]
+        run = np.where(count[self.word] >= LEAST, self.word, -1)
+        for level in range(2, min(stage, depth + 1) + 1):
+            before = np.concatenate(([-1], run[:-1]))
+            before[self.first[:-1]] = -1
+            after = np.flatnonzero(before >= 0)
+            # A run is frequent only where its context and its suffix are.
+            at = after[run[after] >= 0]
+            pair, own = np.unique((before[at] << 32) + self.word[at], return_inverse=True)
+            context = pair >> 32
+            hashes = mix(mix(keys[context] * np.uint64(3) + np.uint64(1)) + self.keys[pair & ((1 << 32) - 1)])
+            order = np.argsort(hashes)
+            n = np.bincount(own[learnt[at]], minlength=len(pair))
+            if level == stage:
+                yield from _asked(self.part, level, RUNS, bits, hashes[order], [n[order]])
+                return
+            total = np.empty(len(pair), np.int64)
+            total[order] = self.answer(level, RUNS, "a")
+            frequent = total >= LEAST
+            suffix_log = np.empty(len(pair))
+            suffix_log[own] = self.log[at]
+            # Contexts in the order of their keys, and which of them is a run's.
+            contexts = np.unique(before[after])
+            contexts = contexts[np.argsort(keys[contexts])]
+            place = np.zeros(len(keys), np.int64)
+            place[contexts] = np.arange(len(contexts))
+            size = count[contexts]
+            if level == stage - 1:
+                # Each part sends its share of what a kept word adds, so that the shares of all parts are the whole.  What only
+                # decides whether a context is retained goes in single precision; distributions sum to 1 for any m.
+                some = np.flatnonzero(frequent & (n > 0))
+                share, log_q, of = n[some] / total[some], suffix_log[some] * np.log(10), place[context[some]]
+                sums = lambda x: np.bincount(of, x, len(contexts))
+                seen, gain = sums(n[some]).astype(np.int64), n[some] * (np.log(total[some] / size[of]) - log_q)
+                values = [np.where(seen > 0, size, 0), seen, sums(share).astype(np.float32), sums(gain).astype(np.float32), sums(share * np.exp(log_q))]
+                yield from _asked(self.part, level, STATES, bits, keys[contexts], values)
+            else:
+                m, seen = self.answer(level, STATES, "a"), self.answer(level, STATES, "b")
+                of, state = place[context], place[before[after]]
+                # Kept words go by their counts, others by what is left to the suffix.
+                run_log = suffix_log.copy()
+                some = np.flatnonzero(frequent)
+                some = some[m[of[some]] > 0]
+                c = of[some]
+                run_log[some] = np.log10((total[some] + (m[c] + size[c] - seen[c]) * 10 ** suffix_log[some]) / (size[c] + m[c]))
+                kept = np.zeros(len(run), bool)
+                kept[at] = frequent[own]
+                left = (m[state] > 0) & ~kept[after]
+                c = state[left]
+                self.log[after[left]] += np.log10((m[c] + size[c] - seen[c]) / (size[c] + m[c]))
+                self.log[at[frequent[own]]] = run_log[own[frequent[own]]]
+            run = np.full(len(run), -1)
+            run[at] = np.where(frequent[own], own, -1)
+            keys, count = hashes, total
+
+
 def scored(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -288,40 +530,36 @@ def scored(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     rows are scored each.  Without training texts every score is that of the
     base, 0.  Other columns are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = rows.where(~held_out(F.col("doc_id"), folds, fold))
-    counts = checkpoint(counted(train, lambda words: with_ends(words)[0]))
-    model, candidates = fit(train, counts)
-    shared = docs.sparkSession.sparkContext.broadcast((model, candidates))
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        model, candidates = shared.value
-        for lo, hi, words in stretches(batch.column(1)):
-            tokens, first = with_ends(words)
-            word = find(model.words, tokens)
-            known = word >= 0
-            base = np.where(known, model.base(model.counts[np.maximum(word, 0)]) if len(model.counts) else 0.0, 0.0)
-            score = model.score(word, first, candidates)
-            tail = np.concatenate(([0], np.cumsum(~known)))[first]
-            sums = lambda x: pa.array(np.add.reduceat(x, first[:-1]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), sums(known.astype(np.int64)), sums(base), sums(score),
-                 pa.ListArray.from_arrays(tail.astype(np.int32), as_long(tokens[~known]))],
-                ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
-            )
-
-    folder = f"{scratch_folder(docs.sparkSession)}/scored"
-    map_batches(rows, work, "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>").withColumn(
-        "row", F.monotonically_increasing_id()).write.parquet(folder)
-    written = docs.sparkSession.read.parquet(folder)
-    # Words that are not in the table: their counts come from the join.
-    rare = written.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-    total = float(model.tokens + model.kinds + 1)
-    found = rare.join(counts, "key", "left").select(
-        "row", F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("more"),
-        (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(total))).alias("log"))
-    more = found.groupBy("row").agg(F.sum("more").alias("more"), F.sum("log").alias("log"))
-    plus = lambda name, other: (F.col(name) + F.coalesce(other, F.lit(0))).alias(name)
-    return written.drop("rare").join(more, "row", "left").select(
-        "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", plus("n_known", "more"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        plus("base_score", "log"), plus("score", "log"))
+    fields = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = fields.withColumn("train", ~held_out(F.col("doc_id"), folds, fold))
+    pieces = checkpoint(_pieces(rows))
+    parts, size = (int(x or 0) for x in pieces.agg(F.count("*"), F.sum("tokens")).first())
+    depth, bits, stages, tokens, kinds = DEPTH, max(0, -(-size // RANGE) - 1).bit_length(), DEPTH + 2, 0, 0
+    answers, tasks = docs.sparkSession.createDataFrame([], _ANSWER), max(1, parts)
+    pieces = pieces.repartition(tasks, "part")
+
+    def met(work, schema: str) -> DataFrame:
+        """``work`` of each part with its answers."""
+        def run(piece: pa.Table, own: pa.Table) -> pa.Table:
+            return _table_of([row for p in piece.to_pylist() for row in work(p, own.to_pylist())], schema)
+
+        return pieces.groupBy("part").cogroup(answers.repartition(tasks, "part").groupBy("part")).applyInArrow(run, schema)
+
+    for stage in range(1, stages + 1):
+        def ask(piece: dict, own: list[dict], stage=stage, total=(tokens, kinds)) -> Iterator[list]:
+            return _Part(piece, own, *total).follow(stage, depth, bits)
+
+        new = _settled(met(ask, _ASKED).repartition(2 << bits, "kind", "range").groupBy("kind", "range").applyInArrow(_answer, _ANSWER))
+        if stage == 1:
+            tokens, kinds = (int(x or 0) for x in new.agg(F.sum("tokens"), F.sum("kinds")).first())
+        answers = answers.unionByName(new)
+
+    def score(piece: dict, own: list[dict]) -> Iterator[tuple]:
+        part = _Part(piece, own, tokens, kinds)
+        for _ in part.follow(stages + 1, depth, bits):
+            pass
+        sums = lambda x: np.add.reduceat(x, part.first[:-1]).tolist()
+        return zip(part.ids, (~part.train).tolist(), np.diff(part.first).tolist(), sums(part.known.astype(np.int64)), [tokens] * len(part.ids),
+                   sums(part.base), sums(part.log))
+
+    return met(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

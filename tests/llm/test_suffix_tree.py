@@ -89,3 +89,50 @@ def test_counts_of_many_tasks_and_small_stores(monkeypatch, docs, rows):
     whole = {tuple(r) for r in st.counted(table, keys).collect()}
     monkeypatch.setattr(st, "HELD", 8)
     assert {tuple(r) for r in st.counted(table, keys).collect()} == whole
+
+
+def _plain_scores(rows, least=2, depth=st.DEPTH):
+    """Score of each row by a plain reading of the module's rule."""
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [_tokens(t) for _, t in rows]
+    train = [t for (i, _), t in zip(rows, texts) if not held(i)]
+    count = collections.Counter(w for t in train for w in t)
+    total = sum(count.values()) + len(count) + 1
+    runs = collections.Counter(tuple(t[i - k:i + 1]) for t in train for i in range(len(t)) for k in range(depth + 1) if i >= k)
+    follow = collections.defaultdict(dict)
+    for run, n in runs.items():
+        if len(run) > 1 and n >= least:
+            follow[run[:-1]][run[-1]] = n
+    states = {}
+
+    def p(s, w):
+        while s and s not in states:
+            s = s[1:]
+        if not s:
+            return (count[w] + 1) / total
+        m, rest, c = states[s]
+        return (follow[s].get(w, 0) + (m + rest) * p(s[1:], w)) / (c + m)
+
+    for s in sorted(follow, key=len):
+        c, kept, seen = runs[s], len(follow[s]), sum(follow[s].values())
+        q = {w: p(s[1:], w) for w in follow[s]}
+        divergence = sum(n / c * math.log(n / c / q[w]) for w, n in follow[s].items())
+        other_p, other_q = 1 - seen / c, 1 - sum(q.values())
+        if other_p > 1e-12 and other_q > 1e-12:
+            divergence += other_p * math.log(other_p / other_q)
+        if 2 * c * divergence > kept + 4 * math.sqrt(2 * kept):
+            states[s] = (kept + 1, c - seen, c)
+    return [sum(math.log10(p(tuple(t[max(0, i - depth):i]), w)) for i, w in enumerate(t)) for t in texts], states
+
+
+@pytest.mark.parametrize("size", [1 << 22, 2000])
+def test_rare_contexts_count_in_a_corpus_of_any_size(monkeypatch, docs, rows, size):
+    # Contexts that occur a few times among 50,000 tokens, and a word that only two words before foretell.
+    table = rows + [(2000 + i, "x y z " + "a" * i) for i in range(5)] + [(3000 + i, "m n o" if i % 2 else "r n s") for i in range(20)]
+    monkeypatch.setattr(st, "RANGE", size)
+    want, states = _plain_scores(table)
+    assert ("x",) in states and ("m", "n") in states and ("r", "n") in states
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in st.scored(docs(table)).collect()))
+    plain = sorted((i is None, i or 0, len(_tokens(t)), s) for (i, t), s in zip(table, want))
+    assert [g[:3] for g in got] == [w[:3] for w in plain]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in plain], rel=1e-9)
