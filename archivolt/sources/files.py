@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from archivolt.operators.ordered import running
+from archivolt.session import checkpoint
 
 # Bytes of files in one task, and what opening one counts beside its size.
 TASK_BYTES, OPEN_BYTES = 128 << 20, 1 << 20
@@ -46,7 +47,12 @@ def _system(place: tuple[str, str, str]):
 
 
 def dealt_by_bytes(files: DataFrame, size: str = "size_bytes", task_bytes: int = TASK_BYTES) -> DataFrame:
-    """``files`` in partitions of about ``task_bytes``, by a running sum of sizes; a larger file is a partition of its own."""
+    """``files`` in partitions of about ``task_bytes``, by a running sum of sizes; a larger file is a partition of its own.
+
+    The rows are written down first: sums and dealing use them three times, and
+    behind them is mostly the listing of a folder, with a look at every file.
+    """
+    files = checkpoint(files)
     names = files.columns
     sized = files.withColumn("_cost", F.coalesce(F.col(size), F.lit(0)).cast("long") + OPEN_BYTES).withColumn("_order", F.xxhash64("rel_path"))
     n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("_cost"), F.lit(0))).first()

@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,20 @@ def test_files_are_dealt_by_bytes(spark):
     assert all(r.b <= 64 * mib + r.m + files.OPEN_BYTES for r in sizes)
 
 
+def test_the_listing_is_made_once(spark, scratch):
+    """Each row leaves a file wherever it is made; there are as many as rows."""
+    def listed(batches):
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                tempfile.mkstemp(dir=scratch)
+            yield batch
+
+    rows = spark.createDataFrame([(f"f{i}", 10 * i) for i in range(40)], "rel_path string, size_bytes long")
+    dealt = files.dealt_by_bytes(rows.mapInArrow(listed, rows.schema), task_bytes=8 << 20)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, rows.collect()))
+    assert len(os.listdir(scratch)) == 40
+
+
 LINES = [f"2024-01-01 00:00:{i % 60:02d} - INFO - e{i}: d" if i % 3 else ("" if i % 2 else f"free {i} é") for i in range(2000)] + [" ", "last"]
 
 
