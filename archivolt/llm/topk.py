@@ -1,19 +1,23 @@
 """Exact nearest vectors by inner product from an impact-ordered index, score at a time.
 
 Vectors become integer vectors.  The index holds blocks of vectors; in a block
-each dimension's vectors are sorted by quantised impact, the values of one
-impact being a posting segment.  A query gives a segment the largest
-contribution that a member can make.  Segments are processed by descending
-contribution, added up in accumulators, in classes whose contributions halve.
+each dimension's values are quantised to impacts, the vectors whose impacts lie
+within a factor of four being a posting segment.  A query gives a segment the
+largest contribution that a member can make.  Segments are processed by
+descending size of contribution, added up in accumulators, in classes whose
+contributions halve; a batch of queries, each with classes of its own, is added
+up at once by a product of its weights of segments and the segments' impacts.
 After a class the best accumulators are scored exactly; the k-th best exact
 score is a floor.  What a vector can still gain is bounded by the segments not
-yet processed; processing stops only when no more than a few vectors can reach
-the floor, or no segment is left that can add, and those vectors are rescored
-exactly.  So the answer is exact, whatever the data.
+yet processed and by what quantising leaves; processing stops only when no more
+than a few vectors can reach the floor, or no segment is left that can add, and
+those vectors are rescored exactly.  So the answer is exact, whatever the data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +28,10 @@ from archivolt.llm.tables import checkpoint
 
 #: Vectors in a block of the index, and queries in a block of questions, on the average.
 BLOCK, QUESTIONS = 1 << 15, 1 << 10
+#: Blocks of questions that a task takes at most, tasks wanted for each core, and tasks that blocks are dealt to at most.
+SHEETS, WAVES, TASKS = 16, 4, 1 << 14
+#: Queries that are answered together; each has an accumulator for every vector of a block.
+BATCH = 1 << 7
 #: Impacts of a dimension in a block.
 LEVELS = 64
 #: A query goes over to exact scores when so many vectors for each wanted one, or this part of all, are left.
@@ -42,64 +50,83 @@ class Index:
     """The posting segments of a block of integer vectors, all of one length."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, levels: int = LEVELS):
-        # Sums of products below 2**53 are exact in floating point, where products of matrices are fast.
-        small = float(np.abs(values).max(initial=0)) ** 2 * max(1, values.shape[1]) < 2.0**53
-        self.ids, self.exact = ids, values.astype(np.float64) if small else values
-        dim, low, high, first, last, posts = ([np.empty(0, np.int64)] for _ in range(6))
-        for d in range(values.shape[1] if len(values) else 0):
-            order = np.argsort(values[:, d], kind="stable")
-            column = values[order, d]
-            step = max(1, -(-int(column[-1] - column[0] + 1) // levels))
-            level = (column - column[0]) // step
-            edge = np.flatnonzero(np.append(True, level[1:] != level[:-1]))
-            end = np.append(edge[1:], len(order))
-            for part, own in zip((dim, low, high, first, last, posts), (np.full(len(edge), d), column[edge], column[end - 1], edge + d * len(order), end + d * len(order), order)):
-                part.append(own)
-        self.dim, self.low, self.high, first, last = map(np.concatenate, (dim, low, high, first, last))
-        posts = np.concatenate(posts)
-        self.size = last - first
-        self.members = [posts[a:b] for a, b in zip(first.tolist(), last.tolist())]
-
-    def _add(self, total: np.ndarray, segments: np.ndarray, gain: np.ndarray) -> np.ndarray:
-        """Adds each segment's contribution to its members."""
-        rows = np.concatenate([self.members[s] for s in segments.tolist()])
-        each = np.repeat(gain[segments], self.size[segments])
-        if self.exact.dtype == np.float64:
-            total += np.bincount(rows, each, len(total))
-            return total
-        np.add.at(total, rows, each)
-        return total
-
-    def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return (self.exact[rows] @ query.astype(self.exact.dtype)).astype(np.int64)
+        self.ids, self.values = ids, values
+        low, high = values.min(axis=0), values.max(axis=0)
+        step = np.maximum(1, -(-(high - low + 1) // levels))
+        # A value is its impact and a rest of 0 to step - 1.
+        self.rest, self.impact = step - 1, low + (values - low) // step * step
+        # The largest impact of each range of segments; the next range begins at a quarter of it.
+        self.size, self.tops = np.abs(self.impact), []
+        top = self.size.max(initial=0)
+        while top:
+            self.tops.append(top)
+            top = self.size.max(initial=0, where=self.size <= top // 4)
+
+    def _kind(self, queries: np.ndarray) -> type:
+        """Numbers in which all sums and bounds are exact; products of matrices are fast in the first two."""
+        most = 4.0 * np.abs(self.values).max(initial=0) * np.abs(queries).max(initial=0) * max(1, queries.shape[1])
+        return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
 
     def search(self, query: np.ndarray, k: int, skip: int | None = None, enough: int = ENOUGH) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the ``k`` best vectors and their scores, best first, ties to the smaller id; row ``skip`` takes no part."""
-        n = len(self.ids)
-        gain = np.maximum(query[self.dim] * self.low, query[self.dim] * self.high)
-        order = np.argsort(-gain, kind="stable")
-        order = order[gain[order] > 0]
-        # The largest contributions come first, so ``left`` is read off the segments that follow.
-        total, candidates, floor, done = np.zeros(n, self.exact.dtype), np.arange(n), None, 0
-        while done < len(order) and n > k + 1:
-            to = max(done + 1, int(np.searchsorted(-gain[order], -(int(gain[order[done]]) // 2), "left")))
-            total, done = self._add(total, order[done:to], gain), to
-            left = np.zeros(len(query), np.int64)
-            np.maximum.at(left, self.dim[order[done:]], gain[order[done:]])
-            if 2 * left.sum() > total.max() and done < len(order):
-                continue  # too much is left for a proof
-            # A vector's score is at most what it has and what every dimension can still add.
-            best = np.argpartition(total, n - k - 1)[n - k - 1:]
-            found = self.scores(query, best[best != skip] if skip is not None else best)
-            low = int(np.partition(found, len(found) - k)[len(found) - k])
-            floor = low if floor is None else max(floor, low)
-            candidates = np.flatnonzero(total + left.sum() >= floor)
-            if len(candidates) <= max(enough * k, n // SHARE):
-                break
-        rows = candidates if skip is None else candidates[candidates != skip]
-        found = self.scores(query, rows)
-        keep = np.lexsort((self.ids[rows], -found))[:k]
-        return rows[keep], found[keep]
+        return next(self.answers(query[None], k, np.array([-1 if skip is None else skip]), enough))[1:]
+
+    def _segments(self, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row for each segment with its members' impacts, of other vectors 0; the lowest and the highest of each row."""
+        segments = np.empty((len(self.tops), self.values.shape[1], len(self.ids)), kind)
+        for rows, top in zip(segments, self.tops):
+            rows[:] = np.where((self.size > top // 4) & (self.size <= top), self.impact, 0).T
+        segments = segments.reshape(-1, len(self.ids))
+        return segments, segments.min(axis=1, initial=0).astype(np.int64), segments.max(axis=1, initial=0).astype(np.int64)
+
+    def answers(self, queries: np.ndarray, k: int, skip: np.ndarray, enough: int = ENOUGH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """:meth:`search` of many queries: each one's number, rows and scores, in no order; a ``skip`` of -1 is no row."""
+        n, kind = len(self.ids), self._kind(queries)
+        asks, exact = queries.astype(kind), self.values.astype(kind)
+        segments, low, high = self._segments(kind)
+        # No score is larger than the product of two lengths; few are half of it.
+        length = lambda x: np.sqrt(np.square(x, dtype=np.float64).sum(axis=1))
+        large = length(queries) * length(self.values).max(initial=0) / 2
+
+        def rescored(q: int, rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+            rows = rows[rows != skip[q]]
+            score = (exact[rows] @ asks[q]).astype(np.int64)
+            if len(rows) > k:
+                good = score >= np.partition(score, len(score) - k)[len(score) - k]
+                rows, score = rows[good], score[good]
+            keep = np.lexsort((self.ids[rows], -score))[:k]
+            return q, rows[keep], score[keep]
+
+        def left(level: np.ndarray, size: np.ndarray, gain: np.ndarray, batch: np.ndarray) -> np.ndarray:
+            """What a vector can still gain from segments of contributions up to ``level``, one a dimension, and from rests."""
+            each = np.where(size <= level[:, None], gain, 0).reshape(len(batch), len(self.tops), -1)
+            return each.max(axis=1).sum(axis=1) + np.maximum(queries[batch], 0) @ self.rest
+
+        for start in range(0, len(queries), BATCH):
+            # The queries without a proof, their weights of segments, and the accumulators.
+            batch = np.arange(start, min(start + BATCH, len(queries)))
+            weight = np.tile(queries[batch], len(self.tops))
+            least, gain = np.minimum(weight * low, weight * high), np.maximum(weight * low, weight * high)
+            size = np.maximum(-least, gain)
+            total, best, level = np.zeros((len(batch), n), kind), large[batch], size.max(axis=1, initial=0)
+            while n > k + 1 and self.tops and len(batch):
+                to = level // 2
+                while (more := (to > 0) & (2 * left(to, size, gain, batch) > best)).any():
+                    to[more] //= 2  # too much is left for a proof
+                total += np.where((size > to[:, None]) & (size <= level[:, None]), weight, 0).astype(kind) @ segments
+                level, best = to, total.max(axis=1)
+                leaders = np.argpartition(total, n - k - 1, axis=1)[:, n - k - 1:]
+                score = np.einsum("qkd,qd->qk", exact[leaders], asks[batch]).astype(np.int64)
+                score[leaders == skip[batch, None]] = np.iinfo(np.int64).min
+                # Of k + 1 scores, a query's own row among them or not, the k-th best.
+                floor = np.partition(score, 1, axis=1)[:, 1]
+                can = total >= (floor - left(level, size, gain, batch)).astype(kind)[:, None]
+                done = (level == 0) | (np.count_nonzero(can, axis=1) <= max(enough * k, n // SHARE))
+                for q, may in zip(batch[done].tolist(), can[done]):
+                    yield rescored(q, np.flatnonzero(may))
+                batch, weight, gain, size, total, best, level = (x[~done] for x in (batch, weight, gain, size, total, best, level))
+            for q in batch.tolist():
+                yield rescored(q, np.arange(n))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -112,6 +139,12 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def layout(vectors: int, queries: int, cores: int) -> tuple[int, int]:
+    """Blocks of the index, and parts of the queries that each block meets; each part is sent a copy of the vectors."""
+    blocks, sheets = max(1, -(-vectors // BLOCK)), max(1, -(-queries // QUESTIONS))
+    return blocks, min(sheets, max(-(-sheets // SHEETS), -(-WAVES * cores // blocks)))
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` best rows for each row where the column ``is_query`` (of vec_id) holds.
 
@@ -123,33 +156,35 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     answered as often.  Other columns are not read; an empty table gives no
     rows.  Scores must fit a long.
 
-    Vectors are dealt by hash into blocks, queries into blocks of questions; a
-    task answers one block of questions from one block of the index, and only
-    its ``k`` best for each are shuffled.
+    Vectors are dealt by hash into blocks, queries into parts of several blocks
+    of questions, as many as keep all cores busy; a task answers one part from
+    one block of the index, so that vectors are shuffled once for each part.
+    Only a task's ``k`` best for each query are shuffled.
     """
     rows = checkpoint(quantised(vectors).withColumn("row", F.monotonically_increasing_id()))
-    n = rows.count()
-    asked = rows.where(is_query(F.col("vec_id")))
-    blocks, sheets = max(1, -(-n // BLOCK)), max(1, -(-asked.count() // QUESTIONS))
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    block, sheet = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(sheets)).cast("int")
-    left = asked.select(sheet.alias("sheet"), each(blocks).alias("block"), "row", "vec_id", "values", F.lit(True).alias("asks"))
-    right = rows.select(each(sheets).alias("sheet"), block.alias("block"), "row", "vec_id", "values", F.lit(False).alias("asks"))
+    counts = rows.agg(F.count("*"), F.count_if(is_query(F.col("vec_id")))).first()
+    blocks, parts = layout(*counts, rows.sparkSession.sparkContext.defaultParallelism)
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    block, part = F.pmod(F.xxhash64("row"), F.lit(blocks)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts))
+    left = rows.where(is_query(F.col("vec_id"))).select(part.alias("part"), each(blocks).alias("block"), "row", "vec_id", "values", F.lit(True).alias("asks"))
+    right = rows.select(each(parts).alias("part"), block.alias("block"), "row", "vec_id", "values", F.lit(False).alias("asks"))
 
     def work(table: pa.Table) -> pa.Table:
         width = int(pc.max(pc.list_value_length(table["values"])).as_py() or 0)
         index, asks = table.filter(pc.invert(table["asks"])), table.filter(table["asks"])
-        ids = index["vec_id"].to_numpy()
-        own = {r: i for i, r in enumerate(index["row"].to_pylist())}
         out = [[], [], [], []]
-        if len(ids):
+        if len(index) and len(asks):
+            ids, row, query_id = index["vec_id"].to_numpy(), asks["row"].to_numpy(), asks["vec_id"].to_numpy()
+            own = pc.fill_null(pc.index_in(asks["row"], value_set=index["row"].combine_chunks()), -1).to_numpy()
             segments = Index(ids, _matrix(index["values"], width))
-            for row, query_id, query in zip(asks["row"].to_pylist(), asks["vec_id"].to_pylist(), _matrix(asks["values"], width)):
-                found, score = segments.search(query, k, own.get(row))
-                for part, values in zip(out, (np.full(len(found), row), np.full(len(found), query_id), ids[found], score)):
-                    part.append(values)
-        return pa.table({n: np.concatenate([np.empty(0, np.int64), *part]) for n, part in zip(("row", "query_id", "vec_id", "score"), out)})
-
-    found = left.unionByName(right).groupBy("sheet", "block").applyInArrow(work, "row long, query_id long, vec_id long, score long")
+            for q, found, score in segments.answers(_matrix(asks["values"], width), k, own):
+                for column, values in zip(out, (np.full(len(found), row[q]), np.full(len(found), query_id[q]), ids[found], score)):
+                    column.append(values)
+        return pa.table({n: np.concatenate([np.empty(0, np.int64), *column]) for n, column in zip(("row", "query_id", "vec_id", "score"), out)})
+
+    # A tile takes long and holds few bytes, so each gets a task of its own.
+    tile, tasks = F.col("block") * parts + F.col("part"), min(TASKS, blocks * parts)
+    dealt = left.unionByName(right).withColumn("tile", tile).withColumn("task", (F.col("tile") % tasks).cast("int")).repartitionById(tasks, "task")
+    found = dealt.groupBy("task", "tile").applyInArrow(work, "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -53,3 +53,40 @@ def test_the_index_is_exact(high, levels):
             exact = values @ values[i]
             want = sorted((-int(exact[j]), 399 - j) for j in range(400) if j != i)[:k]
             assert [(-int(s), int(index.ids[r])) for r, s in zip(rows, score)] == want
+
+
+def test_many_queries_are_answered_together(monkeypatch):
+    monkeypatch.setattr(topk, "BATCH", 16)
+    values = np.random.default_rng(5).integers(-30, 30, (600, 8))
+    values[::9] = values[0]
+    index, own = topk.Index(np.arange(600), values), np.append(np.arange(0, 600, 20), -1)
+    asks = values[own]
+    got = {q: (rows.tolist(), score.tolist()) for q, rows, score in index.answers(asks, 5, own)}
+    assert sorted(got) == list(range(len(own)))
+    for q, skip in enumerate(own):
+        best = sorted((-int(values[j] @ asks[q]), j) for j in range(600) if j != skip)[:5]
+        assert got[q] == ([j for _, j in best], [-s for s, _ in best])
+
+
+def test_a_query_far_larger_than_its_block_is_exact():
+    values = np.array([[2**20 - i, i] for i in range(40)])
+    rows, score = topk.Index(np.arange(40), values).search(np.array([2**41 + 1, 2**41]), 3)
+    assert rows.tolist() == [0, 1, 2]
+    assert score.tolist() == [(2**41 + 1) * (2**20 - i) + 2**41 * i for i in range(3)]
+
+
+def test_vectors_are_not_copied_for_each_block_of_questions(monkeypatch, frame):
+    for vectors in (10**5, 10**6, 10**8):
+        blocks, parts = topk.layout(vectors, vectors // 20, 12)
+        sheets = -(-vectors // 20 // topk.QUESTIONS)
+        assert blocks * parts >= 12 or parts == sheets
+        assert parts <= max(-(-sheets // topk.SHEETS), -(-12 * topk.WAVES // blocks))
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUESTIONS", 1)
+    monkeypatch.setattr(topk, "WAVES", 0)
+    df = frame(_rows(2, 300, 6, 0.2), "vec_id long, embedding array<float>", extra=())
+    found = topk.nearest(df, lambda v: v % 20 == 0, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Each tile is dealt to a task by its number, and dealt once.
+    assert plan.count("Exchange ") == 2 and plan.count("shufflepartitionidpassthrough(") == 1
+    assert found.count() == 45
